@@ -135,19 +135,40 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     for i in np.flatnonzero(size > LONG_WORD):
         w = buf[starts[i]:ends[i]]
         out[i] = int.from_bytes(hashlib.blake2b((_LOWER[w] if lower else w).tobytes(), digest_size=8).digest(), "little")
-    short = np.flatnonzero(size <= LONG_WORD)
-    order = short[np.argsort(-size[short], kind="stable")]
-    s, left = starts[order], -size[order]
-    h = np.full(len(order), 0x2545F4914F6CDD1D, np.uint64)
-    table = ((np.arange(1, 257, dtype=np.uint64)) * np.uint64(0xD1342543DE82EF95))
+    table = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
     table = table[_LOWER] if lower else table
-    for j in range(int(-left[0]) if len(order) else 0):
-        m = int(np.searchsorted(left, -j, "left"))  # those with more than j bytes
-        h[:m] = h[:m] * MULT + table[buf[s[:m] + j]]
-    out[order] = mix(h ^ (size[order].astype(np.uint64) << np.uint64(56)))
+    i = 0
+    while i < n:  # words of up to SPAN bytes at a time
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
+        a, b = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        if b[-1] <= SPAN:  # else one very long word, done above
+            up, back = _powers()
+            sums = np.zeros(int(b[-1]) + 1, np.uint64)
+            np.cumsum(table[buf[starts[i]:ends[j - 1]]] * back[:b[-1]], out=sums[1:])
+            h = mix(((sums[b] - sums[a]) * up[b - 1]) ^ (size[i:j].astype(np.uint64) << np.uint64(56)))
+            short = size[i:j] <= LONG_WORD
+            out[i:j][short] = h[short]
+        i = j
     return out
 
 
+SPAN = 1 << 16
+_power_table: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of MULT and of its inverse modulo 2^64."""
+    if not _power_table:
+        _power_table.extend(np.cumprod(np.concatenate([[np.uint64(1)], np.full(SPAN, x, np.uint64)]), dtype=np.uint64) for x in (MULT, np.uint64(pow(int(MULT), -1, 1 << 64))))
+    return _power_table[0], _power_table[1]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's k-word shingles (fewer words: the whole sequence as one; none: none), and where each text's begin."""
     n = np.diff(first)
@@ -239,3 +260,22 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+# ---------------------------------------------------------------- ranks
+
+def ranked(scratch: Scratch, df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with `rank`: 1, 2, ... within each value of `group` (nulls last, one group) in the order given.
+
+    One range-partitioned sort over (group, *order); no group is gathered in one task. A row's global rank is its number
+    in its partition plus the sizes of the partitions before; subtracting the rows of the groups before gives its rank. Only
+    one row for each partition and for each group takes part in the window sums.
+    """
+    from pyspark.sql import Window
+
+    s = scratch.write(df.sort(F.col(group).asc_nulls_last(), *order).withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.withColumn("_part", F.shiftright("_mid", 33))
+    parts = s.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    groups = s.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_skip", F.sum("_n").over(Window.orderBy(F.col(group).asc_nulls_last())) - F.col("_n")).select(F.col(group).alias("_g"), "_skip")
+    out = s.join(F.broadcast(parts), "_part").join(groups, s[group].eqNullSafe(groups["_g"]))
+    return out.withColumn("rank", F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1) - F.col("_skip") + 1).drop("_mid", "_part", "_before", "_g", "_skip")

@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks_of, components, hash_words, mix, semi_join, shingles, small_rows, utf8, word_spans
+from .common import Scratch, blocks_of, components, distinct, hash_words, mix, semi_join, shingles, small_rows, utf8, word_spans
 
 BANDS, ROWS, BITS = 40, 5, 1024
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _SALT = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
 
 
@@ -42,16 +41,18 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     for i, j in blocks_of(texts):
         buf, starts, ends, first = word_spans(texts[i:j])
         hashes, begin = shingles(hash_words(buf, starts, ends), first, k)
-        out += [np.unique(hashes[begin[x]:begin[x + 1]]) for x in range(j - i)]
+        out += [distinct(hashes[begin[x]:begin[x + 1]]) for x in range(j - i)]
     return out
 
 
 def min_samples(one: np.ndarray) -> np.ndarray:
-    """BANDS x ROWS minima of random 32-bit permutations of a non-empty set."""
+    """BANDS x ROWS minima of random 32-bit permutations (odd multipliers; the hashes are random) of a non-empty set."""
     x = (one >> np.uint64(32)).astype(np.uint32) ^ one.astype(np.uint32)
     out = np.full(len(_A), 0xFFFFFFFF, np.uint32)
+    room = np.empty((min(256, len(x)), len(_A)), np.uint32)
     for i in range(0, len(x), 256):  # blocks that stay in cache
-        np.minimum(out, (x[i:i + 256, None] * _A[None, :] + _B[None, :]).min(axis=0), out=out)
+        part = x[i:i + 256, None]
+        np.minimum(out, np.multiply(part, _A, out=room[: len(part)]).min(axis=0), out=out)
     return out
 
 
@@ -61,10 +62,16 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_ones(threshold: float) -> int:
-    """The largest XOR population count that a pair at the threshold has, but for odds below 1e-9."""
+    """An XOR population count that pairs at the threshold pass but with odds of about 1e-9: six deviations above the mean.
+
+    Of the samples, a binomial share 1 - threshold differs; each flips two of BITS bits, some of them back.
+    """
     k = BANDS * ROWS
-    differ = k * (1 - threshold) + 6.5 * (k * threshold * (1 - threshold)) ** 0.5
-    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ)) + 45)
+    ones = lambda differ: BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ))
+    mean, spread = k * (1 - threshold), (k * threshold * (1 - threshold)) ** 0.5
+    by_samples = ones(mean + spread) - ones(mean)
+    by_folding = (2 * mean) / BITS**0.5 * 1.5
+    return int(ones(mean) + 6 * (by_samples**2 + by_folding**2) ** 0.5 + 1)
 
 
 _SKETCH = "id long, h long, n long, f1 long, f2 long, bands array<long>, sketch array<long>"
@@ -93,23 +100,38 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, _SKETCH)
 
 
-def verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id and the sorted 64-bit hashes of its shingles, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(utf8(batch.column(1).to_pylist()), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) that are similar: first by their sketches and sizes, then on their full sets."""
     percent = round(threshold * 1e6)
 
     def by_set(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            keep = []
-            known: dict[int, np.ndarray] = {}
-            for i, a in enumerate(rows["a"]):
-                if a not in known:
-                    known = {a: shingle_sets(utf8([rows["ta"][i]]), k)[0]}  # runs of one centre are common
-                x, y = known[a], shingle_sets(utf8([rows["tb"][i]]), k)[0]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 1_000_000 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            a = np.asarray(batch.column(0))
+            left, right = batch.column(2), batch.column(3)
+            size_b = np.diff(np.frombuffer(right.buffers()[1], np.int32)[right.offset:right.offset + len(right) + 1]) // 8
+            keep = np.zeros(len(a), bool)
+            runs = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+            for i, j in zip(runs[:-1], runs[1:], strict=True):  # pairs of one a come together
+                x = np.frombuffer(left[int(i)].as_buffer(), np.uint64)
+                for s in range(i, j, 64):
+                    e = min(j, s + 64)
+                    y = np.frombuffer(b"".join(right[int(q)].as_py() for q in range(s, e)), np.uint64)
+                    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    n = size_b[s:e]
+                    both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+                    keep[s:e] = 1_000_000 * both >= percent * (len(x) + n - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     s = sketch.select("id", "n", "sketch")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
@@ -121,9 +143,9 @@ def verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, thre
         .select("a", "b")
     )
     return (
-        near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
+        near.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        .select("a", "b", "sa", "sb")
         .mapInArrow(by_set, "a long, b long")
     )
 
@@ -148,6 +170,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     ids = buckets.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = tmp.write(semi_join(texts, ids, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    full = tmp.write(full_sets(texts, k))
+    tmp.drop(texts)
 
     links, comp = same_id, None
     for turn in ("least", "star", "other star", "rest"):
@@ -168,7 +192,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         pairs = tmp.write(pairs.distinct())
         if comp is not None and pairs.isEmpty():
             break
-        links = links.unionByName(tmp.write(verified(pairs, sketch, texts, k, threshold)))
+        links = links.unionByName(tmp.write(verified(pairs, sketch, full, threshold)))
         comp = tmp.write(components(links, tmp))
 
     group = member.select("id", "rep")
