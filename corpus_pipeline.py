@@ -1,3 +1,72 @@
-STAGES = []
+"""A corpus pipeline: language ID, line dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), docs having the columns of `documents`, and returns what the next one takes; run() writes each
+result as Parquet under the shared folder and reads it again, so a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import language_id, line_dedup, minhash_dedup, mixing, packing
+from skein.llm.common import Scratch
+from skein.shipping import ship_package
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter have no language and go; lang becomes the one predicted from the text."""
+    ship_package(spark)
+    model = language_id.train(docs)
+    names = docs.columns
+    out = language_id.predict(spark, docs, model, "text", *[F.col(f"`{c}`") for c in names])
+    out = out.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in names])
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go but for their first place; a document that loses all its lines was a copy and goes with them."""
+    ship_package(spark)
+    names = docs.columns
+    out = line_dedup.dedup_lines(spark, docs)
+    out = out.where((F.col("_ld_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out.select(*names)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    ship_package(spark)
+    return minhash_dedup.one_per_group(spark, docs, k=5, threshold=0.8).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(spark, docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    ship_package(spark)
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), most=2048)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("minhash_dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL has no tokenizer and no trained language profiles: tests/llm compares run() with brute force stage by stage.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tmp = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = tmp.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
