@@ -238,6 +238,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """
     e = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
+    def few(df: DataFrame, rows: int) -> DataFrame:
+        return df.coalesce(max(4, rows // 100_000))  # small results need few files
+
     def mark(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
@@ -250,7 +253,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        new = scratch.write(small)
+        new = scratch.write(few(small, before[0]))
         now = mark(new)
         scratch.drop(e)
         e = new

@@ -5,9 +5,11 @@ Links documents whose sets of word shingles have a Jaccard similarity of at leas
 1. One pass over the texts: the shingle set's size and 128-bit fingerprint, BANDS x ROWS MinHash samples as band keys, and the
    samples folded into a parity bitmap (odd sketch) of BITS bits.
 2. Documents of equal sets are one class, represented by its smallest id; copies are never expanded into pairs.
-3. Representatives that share a band key are candidates. Three rounds compare each bucket as a star around one centre, so pairs
-   grow with a bucket's members; a member already connected to its centre is left out. In buckets that still hold several
-   components, only members of different components meet, so that no link is lost and no bucket is capped.
+3. Representatives that share a band key are candidates. Two rounds compare a bucket's members with one of them (first each member with
+   its smallest partner only, then each bucket with a centre drawn by a hash), so pairs grow with the members; members already known
+   to be connected are left out. What is still apart goes to families (all that candidates reach), which are compared in blocks of
+   BLOCK x BLOCK inside tasks: every pair of different components that shares a band is decided there, likeliest first, and a block
+   returns a spanning forest of its links. So no link is lost, no bucket is capped, and rows never grow with a bucket's square.
 4. A candidate pair whose sketches' XOR has too many ones cannot reach the threshold (odds below 1e-9) and is left out; all
    others are decided on their full sets.
 5. Components by star contraction (common.components).
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks_of, components, distinct, hash_words, mix, semi_join, shingles, small_rows, utf8, word_spans
+from .common import Forest, Scratch, blocks_of, components, distinct, hash_words, mix, semi_join, shingles, small_rows, utf8, word_spans
 
-BANDS, ROWS, BITS = 40, 5, 1024
+BANDS, ROWS, BITS, BLOCK = 40, 5, 1024, 512
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
 _SALT = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
@@ -150,6 +152,56 @@ def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: fl
     )
 
 
+def family_links(members: DataFrame, family: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members (id, c) of one family (id, component) and different components c: a spanning forest for each pair of blocks."""
+    percent, limit = round(threshold * 1e6), most_ones(threshold)
+    m = members.join(family.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
+    size = m.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = m.join(size, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    m = m.join(sketch, "id").join(sets, "id")
+    m = m.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("b1", F.least("block", "u")).withColumn("b2", F.greatest("block", "u"))
+
+    def resolve(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        ids, c, n, block = (np.asarray(t.column(x)) for x in ("id", "c", "n", "block"))
+        bands, sk = (np.array(t.column(x).to_pylist(), np.int64) for x in ("bands", "sketch"))
+        own = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        same = t.column("b1")[0].as_py() == t.column("b2")[0].as_py()
+        rows = np.arange(len(ids)) if same else np.flatnonzero(block == t.column("b1")[0].as_py())
+        cols = np.arange(len(ids)) if same else np.flatnonzero(block != t.column("b1")[0].as_py())
+        left, right, ones = [], [], []
+        for at in range(0, len(rows), 32):
+            i = rows[at:at + 32]
+            ok = c[i][:, None] != c[cols][None, :]
+            ok &= np.minimum(n[i][:, None], n[cols][None, :]) * 1_000_000 >= np.maximum(n[i][:, None], n[cols][None, :]) * percent
+            if same:
+                ok &= i[:, None] < cols[None, :]
+            x, y = np.nonzero(ok)
+            x, y = i[x], cols[y]
+            z = np.zeros(len(x), np.int64)
+            for w in range(sk.shape[1]):
+                z += np.bitwise_count((sk[x, w] ^ sk[y, w]).view(np.uint64))
+            near = np.flatnonzero(z <= limit)
+            near = near[(bands[x[near]] == bands[y[near]]).any(1)]
+            left.append(x[near]), right.append(y[near]), ones.append(z[near])
+        left, right, ones = map(np.concatenate, (left, right, ones)) if left else (np.zeros(0, int),) * 3
+        place = {v: k for k, v in enumerate(np.unique(c).tolist())}
+        of = [place[v] for v in c.tolist()]
+        forest, out = Forest(len(place)), ([], [])
+        for q in np.argsort(ones, kind="stable").tolist():
+            i, j = int(left[q]), int(right[q])
+            if forest.find(of[i]) == forest.find(of[j]):
+                continue
+            x, y = own[i], own[j]
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            if 1_000_000 * both >= percent * (len(x) + len(y) - both):
+                forest.union(of[i], of[j])
+                out[0].append(int(ids[i])), out[1].append(int(ids[j]))
+        return pa.table([pa.array(o, pa.int64()) for o in out], names=["a", "b"])
+
+    return m.groupBy("family", "b1", "b2").applyInArrow(resolve, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links), kept (id = component)."""
     tmp = Scratch(spark)
@@ -173,26 +225,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     full = tmp.write(full_sets(texts, k))
     tmp.drop(texts)
 
-    links, comp = same_id, None
-    for turn in ("least", "star", "other star", "rest"):
-        b = buckets.withColumn("c", F.col("id"))
-        if comp is not None:
-            b = tmp.write(buckets.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-        centre_of = F.min_by("id", F.xxhash64("id")) if turn == "other star" else F.min("id")
-        live = b.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), centre_of.alias("centre")).where("c1 < c2").select("key", "centre")
-        if turn == "rest":
-            live = b.join(live, "key").select("key", "id", "c")
-            pairs = live.join(live.select("key", F.col("id").alias("id2"), F.col("c").alias("c2")), "key").where("id < id2 and c <> c2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        else:
-            star = b.join(live, "key")
-            star = star.join(star.where("id = centre").select("key", F.col("c").alias("cc")), "key").where("id <> centre and c <> cc")
-            pairs = star.select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        if turn == "least":  # one comparison connects most members; the next round has what it left
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        pairs = tmp.write(pairs.distinct())
-        if comp is not None and pairs.isEmpty():
-            break
-        links = links.unionByName(tmp.write(verified(pairs, sketch, full, threshold)))
+    # first each member with its smallest partner
+    low = buckets.groupBy("key").agg(F.min("id").alias("centre"))
+    pairs = buckets.join(low, "key").where("id <> centre").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
+    first = tmp.write(verified(pairs, sketch, full, threshold))
+    # whoever has the same partner (or the partner's partner) is connected
+    known = first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("p"))
+    up = known.select(F.col("id").alias("p"), F.col("p").alias("pp"))
+    known = known.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("c"))
+    b = tmp.write(buckets.join(known, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c")))
+    # then each bucket with a centre of its own
+    live = b.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min_by(F.struct("id", "c"), F.xxhash64("id", "key")).alias("centre")).where("c1 < c2")
+    live = tmp.write(live.select("key", F.col("centre.id").alias("centre"), F.col("centre.c").alias("cc")))
+    pairs = b.join(live, "key").where("id <> centre and c <> cc").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    second = tmp.write(verified(pairs.join(first, ["a", "b"], "left_anti"), sketch, full, threshold))
+    links = same_id.unionByName(first).unionByName(second)
+    comp = tmp.write(components(links, tmp))
+    # then what is still apart: buckets that hold several components besides their centre, which all others have met
+    c = b.join(live.select("key", "centre"), "key").where("id <> centre").select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    apart = c.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("low")).where("c1 < c2").select("key", "low")
+    rest = tmp.write(c.join(apart, "key"))
+    if not rest.isEmpty():
+        family = components(rest.select(F.col("id").alias("a"), F.col("low").alias("b")), tmp)
+        links = links.unionByName(tmp.write(family_links(rest.select("id", "c").distinct(), family, sketch, full, threshold)))
         comp = tmp.write(components(links, tmp))
 
     group = member.select("id", "rep")
