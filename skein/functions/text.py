@@ -117,7 +117,7 @@ def chunk_mentions(text: Column) -> Column:
 def cloze_deletions(text: Column) -> Column:
     """array of struct(index, text, hint): the first of each index, by index."""
     found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(CLOZE), F.lit(k)).alias(n) for k, n in ((1, "i"), (2, "t"), (3, "h"))])
-    rows = F.transform(found, lambda x: F.struct(x["0"].cast("int").alias("index"), x["1"].alias("text"), F.nullif(x["2"], F.lit("")).alias("hint")))
+    rows = F.transform(found, lambda x: F.struct(x["i"].cast("int").alias("index"), x["t"].alias("text"), F.nullif(x["h"], F.lit("")).alias("hint")))
     first = F.filter(rows, lambda x, k: ~F.exists(F.slice(rows, 1, k), lambda y: y["index"] == x["index"]))
     return F.array_sort(first, lambda a, b: a["index"] - b["index"])
 
@@ -187,7 +187,6 @@ def split_point(text: Column) -> Column:
     half = F.floor(n / 2).cast("int")
     out = []
     for mark, add in (("\n\n", 2), ("\n", 1), (". ", 2), (".", 1)):
-        at = F.locate(mark, text, 1) * 0 + F.expr("0")
         at = F.call_function("locate", F.lit(mark), text, half + 1) - 1
         out.append(F.when((at >= 0) & (at < n * 0.75), at + add))
     return F.coalesce(*out, half)

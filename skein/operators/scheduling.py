@@ -47,7 +47,7 @@ def fold(reviews: list[tuple[float, int]]) -> dict:
 
 def schedule(reviews: DataFrame, card: str, ts: str, rating: str) -> DataFrame:
     """One row a card: reps, lapses, stability, difficulty, last_day, due_day (days since the epoch). Each card is one array row."""
-    rows = F.array_sort(F.collect_list(F.struct((F.unix_micros(ts) / 8.64e10).alias("d"), F.col(rating).alias("r"))))
+    rows = F.array_sort(F.collect_list(F.struct((F.unix_micros(F.col(ts).cast("timestamp")) / 8.64e10).alias("d"), F.col(rating).alias("r"))))
 
     def run(batches):
         for b in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def clusters(points: DataFrame, key: str, ts: str, tie: str, max_gap_hours: float = 24.0) -> DataFrame:
     """Runs of points no more than max_gap_hours apart (a gap of exactly that much joins): start, end, n, centroid, density per hour."""
     w = Window.partitionBy(key).orderBy(ts, tie)
-    s = F.unix_micros(ts) / 1e6
+    s = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     p = points.withColumn("_s", s).withColumn("_new", F.coalesce((F.col("_s") - F.lag("_s").over(w) > max_gap_hours * 3600).cast("int"), F.lit(0)))
     p = p.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = p.groupBy(key, "cluster").agg(F.min("_s").alias("a"), F.max("_s").alias("b"), F.count("*").alias("n"))
@@ -20,7 +20,7 @@ def clusters(points: DataFrame, key: str, ts: str, tie: str, max_gap_hours: floa
 
 def periodicity(points: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """periodic (coefficient of variation of the gaps below 0.3), burst (longest over 10 x shortest, shortest under an hour) or irregular; from three points on."""
-    gap = (F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(Window.partitionBy(key).orderBy(ts, tie))) / 3.6e9
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(Window.partitionBy(key).orderBy(ts, tie))) / 3.6e9
     g = points.withColumn("gap", gap).groupBy(key).agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"), F.min("gap").alias("low"), F.max("gap").alias("high")).where("n >= 3")
     cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean"))
     kind = F.when(cv < 0.3, "periodic").when((F.col("high") > 10 * F.col("low")) & (F.col("low") < 1), "burst").otherwise("irregular")

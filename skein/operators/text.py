@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def sliding_batches(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Windows of `size` characters, each sharing `overlap` with the one before."""
     n = F.greatest(F.length(text_col), F.lit(1))
-    d = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col, F.explode(F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).cast("long").alias("start_offset"))
+    d = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col, F.explode(F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).alias("s"))
+    d = d.withColumn("start_offset", F.col("s").cast("long"))
     return d.select(id_col, "start_offset", F.expr(f"substring({text_col}, int(start_offset + 1), {size})").alias("content"))
 
 

@@ -132,11 +132,11 @@ def flt13(t):
 
 
 @query("j10_metadata_transfer", """WITH o AS (SELECT c.id, c.document_id, c.start_offset, c.end_offset, a.* EXCLUDE (document_id, start_offset, end_offset), a.start_offset AS r_start, a.end_offset AS r_end FROM doc_chunks c JOIN anchors a ON a.document_id = c.document_id AND a.start_offset < c.end_offset AND a.end_offset > c.start_offset),
-  g AS (SELECT id, count(*) AS overlaps, max((least(end_offset, r_end) - greatest(start_offset, r_start)) / (end_offset - start_offset)::DOUBLE) AS share, list_sort(list(DISTINCT heading)) AS headings, min(page_start) AS page_start, max(page_end) AS page_end, arg_min(section_marker, r_start) AS section_marker FROM o GROUP BY id)
-  SELECT c.id, c.document_id, coalesce(overlaps, 0) AS overlaps, round(share, 6) AS share, array_to_string(headings, ',') AS headings, page_start, page_end, section_marker,
-    CASE WHEN overlaps >= 3 OR share >= 0.7 THEN 'high' WHEN share >= 0.3 THEN 'medium' WHEN share IS NOT NULL THEN 'low' END AS confidence FROM doc_chunks c LEFT JOIN g ON g.id = c.id""", "doc_chunks anchors")
+  g AS (SELECT id, count(*) AS n_o, max((least(end_offset, r_end) - greatest(start_offset, r_start)) / (end_offset - start_offset)::DOUBLE) AS share, list_sort(list(DISTINCT heading)) AS headings, min(page_start) AS page_start, max(page_end) AS page_end, arg_min(section_marker, r_start) AS section_marker FROM o GROUP BY id)
+  SELECT c.id, c.document_id, coalesce(n_o, 0) AS n_overlaps, round(share, 6) AS share, array_to_string(headings, ',') AS headings, page_start, page_end, section_marker,
+    CASE WHEN n_o >= 3 OR share >= 0.7 THEN 'high' WHEN share >= 0.3 THEN 'medium' WHEN share IS NOT NULL THEN 'low' END AS confidence FROM doc_chunks c LEFT JOIN g ON g.id = c.id""", "doc_chunks anchors")
 def j10(t):
-    return I.transfer_metadata(X.doc_chunks(t), X.anchors(t)).withColumn("headings", F.when(F.col("headings").isNotNull(), F.array_join("headings", ",")))
+    return I.transfer_metadata(X.doc_chunks(t), X.anchors(t)).withColumn("headings", F.when(F.col("headings").isNotNull(), F.array_join("headings", ","))).withColumnRenamed("overlaps", "n_overlaps")
 
 
 @query("j11_nearest_anchor", """WITH b AS (SELECT c.id, arg_max(a.page_end, (a.end_offset, a.anchor_index)) AS before FROM doc_chunks c JOIN anchors a ON a.document_id = c.document_id AND a.end_offset <= c.start_offset GROUP BY c.id),

@@ -148,7 +148,7 @@ def a17(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *p)
 
 
-@query("a23_custom_presets", "SELECT user_id, list_sort(list_concat(list_filter(list(DISTINCT event_type), x -> x <> 'view'), ['mine'])) AS presets, len(list_filter(list(DISTINCT event_type), x -> x <> 'view')) + 1 AS n FROM events GROUP BY user_id")
+@query("a23_custom_presets", "SELECT user_id, list_sort(list_concat(list_filter(list(DISTINCT event_type), lambda x: x <> 'view'), ['mine'])) AS presets, len(list_filter(list(DISTINCT event_type), lambda x: x <> 'view')) + 1 AS n FROM events GROUP BY user_id")
 def a23(t):
     p = F.array_sort(F.concat(F.filter(F.collect_set("event_type"), lambda x: x != "view"), F.array(F.lit("mine"))))
     return t.events.groupBy("user_id").agg(p.alias("presets")).withColumn("n", F.size("presets"))

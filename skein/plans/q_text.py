@@ -17,7 +17,7 @@ from .registry import query
 _CAP = r"regexp_extract_all(text, '\b[A-Z][a-z]+\b')"
 
 
-@query("enr1_regex_metadata", rf"""WITH c AS (SELECT doc_id, text, {_CAP} AS w FROM documents), u AS (SELECT doc_id, text, list_filter(w, (x, i) -> list_position(w, x) = i) AS w FROM c),
+@query("enr1_regex_metadata", rf"""WITH c AS (SELECT doc_id, text, {_CAP} AS w FROM documents), u AS (SELECT doc_id, text, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM c),
   p AS (SELECT *, greatest(-1.0, least(1.0, (len(regexp_extract_all(text, '(?i)\b(good|great|excellent|amazing|wonderful|love|happy|success)\b')) - len(regexp_extract_all(text, '(?i)\b(bad|terrible|awful|hate|sad|fail|problem|issue)\b'))) / 10.0)) AS polarity FROM u)
   SELECT doc_id, substr(CASE WHEN regexp_extract(text, '^[^.!?]+[.!?]') <> '' THEN regexp_extract(text, '^[^.!?]+[.!?]') ELSE text END, 1, 200) AS summary, CASE WHEN len(w) > 0 THEN lower(array_to_string(w[1:5], ',')) ELSE 'general' END AS themes,
     least(1.0, len(string_split_regex(text, '[ \t\n\r\f\x0B]+')) / 500.0)::DOUBLE AS importance, polarity::DOUBLE AS polarity, CASE WHEN polarity > 0 THEN 'positive' WHEN polarity < 0 THEN 'negative' ELSE 'neutral' END AS primary_emotion FROM p""")
@@ -26,7 +26,7 @@ def enr1(t):
     return t.documents.select("doc_id", m["summary"].alias("summary"), F.array_join(m["themes"], ",").alias("themes"), m["importance"].cast("double").alias("importance"), m["polarity"].cast("double").alias("polarity"), m["primary_emotion"].alias("primary_emotion"))
 
 
-@query("enr2_fallback_chain", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN doc_id % 3 = 1 THEN source END, 'general') AS domain, list_filter(['no text', 'no source', 'too short'], (x, i) -> [text IS NULL, source IS NULL, n_chars < 100][i]) AS errors FROM documents")
+@query("enr2_fallback_chain", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN doc_id % 3 = 1 THEN source END, 'general') AS domain, list_filter(['no text', 'no source', 'too short'], lambda x, i: [text IS NULL, source IS NULL, n_chars < 100][i]) AS errors FROM documents")
 def enr2(t):
     """The first model that answers wins; what is wrong with a record is an array of messages."""
     errors = F.filter(F.array(F.when(F.col("text").isNull(), "no text"), F.when(F.col("source").isNull(), "no source"), F.when(F.col("n_chars") < 100, "too short")), lambda x: x.isNotNull())
@@ -48,7 +48,7 @@ def src6(t):
 
 
 def _grams(c):
-    return f"list_distinct(list_transform(range(1, greatest(length({c}) - 1, 1)), i -> substr(lower({c}), i::INT, 3)))"
+    return f"list_distinct(list_transform(range(1, greatest(length({c}) - 1, 1)), lambda i: substr(lower({c}), i::INT, 3)))"
 
 
 @query("str1_trigram_similarity", f"""WITH p AS (SELECT doc_id, substr(text, 1, 80) AS a, substr(text, 20, 80) AS b FROM documents WHERE length(text) > 120), g AS (SELECT doc_id, {_grams('a')} AS a, {_grams('b')} AS b FROM p)
@@ -94,7 +94,7 @@ def str7(t):
     d = t.documents.where(F.length("text").between(600, 20000) & (F.col("doc_id") % 2 == 0))
     w = d.select(F.col("doc_id").alias("document_id"), "text", F.explode(F.expr("sequence(0, greatest(0, length(text) - 101), 400)")).alias("s"))
     parts = w.select("document_id", F.floor(F.col("s") / 400).cast("int").alias("chunk_index"), F.expr("substring(text, s + 1, 500)").alias("content"))
-    return M.stitch_documents(parts).select("document_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return M.stitch_documents(parts, share=1.0).select("document_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("str8_page_cleanup")
@@ -175,7 +175,7 @@ def str17(t):
     return a.select("document_id", "anchor_index", X.metadata_context(F.array("heading", "section_marker"), F.col("page_start"), F.col("page_end"), F.col("section_marker")).alias("context"))
 
 
-_WORDS = r"list_filter(string_split_regex({}, '[ \t\n\r\f\x0B]+'), x -> length(x) > 0)"
+_WORDS = r"list_filter(string_split_regex({}, '[ \t\n\r\f\x0B]+'), lambda x: length(x) > 0)"
 
 
 @query("str18_word_counts", f"SELECT doc_id, len({_WORDS.format('text')})::INT AS words, array_to_string({_WORDS.format('substr(text, 1, 100)')}[-5:], ' ') AS before, array_to_string({_WORDS.format('substr(text, 201)')}[1:5], ' ') AS after FROM documents")
@@ -234,7 +234,7 @@ def str24(t):
     return t.events.where("event_id % 10 = 0").select("event_id", X.stamp_seconds(s).alias("seconds"))
 
 
-@query("str26_theme_enhancement", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_filter(concepts, x -> x LIKE 'c%'), [domain]))), ',') AS themes, 'About ' || concepts[1] || ' and ' || concepts[2] AS summary FROM chunks", "chunks")
+@query("str26_theme_enhancement", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_filter(concepts, lambda x: x LIKE 'c%'), [domain]))), ',') AS themes, 'About ' || concepts[1] || ' and ' || concepts[2] AS summary FROM chunks", "chunks")
 def str26(t):
     c = fixtures.chunks(t)
     themes = F.array_sort(F.array_union(F.filter("concepts", lambda x: x.startswith("c")), F.array("domain")))
@@ -248,7 +248,7 @@ def str27(t):
 
 
 @query("str28_needs_cleaning", r"""SELECT doc_id, regexp_matches(text, '\n{4,}') OR regexp_matches(text, '\n\n\d{1,4}\n\n') OR regexp_matches(text, '@page\s*\{|margin.*:\s*\d+pt|\.pt\s*;') OR regexp_matches(text, '(?m)\*\*[A-Z]{20,}\*\*|^[A-Z]{20,}$')
-  OR len(list_filter(string_split(text, chr(10)), x -> length(x) > 0 AND length(x) < 40)) / len(string_split(text, chr(10)))::DOUBLE > 0.3 AS dirty FROM documents""")
+  OR len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0 AND length(x) < 40)) / len(string_split(text, chr(10)))::DOUBLE > 0.3 AS dirty FROM documents""")
 def str28(t):
     return t.documents.select("doc_id", X.needs_cleaning(F.col("text")).alias("dirty"))
 
@@ -266,7 +266,7 @@ def str31(t):
 
 
 @query("a25_element_counts", r"""WITH m AS (SELECT conv_id, '# conv ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
-  SELECT conv_id, len(regexp_extract_all(text, '(?m)^#{1,6}\s'))::INT AS headings, len(regexp_extract_all(text, '(?m)^\d+\.\s'))::INT AS numbered_lists, len(regexp_extract_all(text, '\[.*?\]\(.*?\)'))::INT AS links, len(list_filter(string_split_regex(text, '\n\n+'), x -> length(regexp_replace(x, '\s', '', 'g')) > 0))::INT AS paragraphs FROM m""")
+  SELECT conv_id, len(regexp_extract_all(text, '(?m)^#{1,6}\s'))::INT AS headings, len(regexp_extract_all(text, '(?m)^\d+\.\s'))::INT AS numbered_lists, len(regexp_extract_all(text, '\[.*?\]\(.*?\)'))::INT AS links, len(list_filter(string_split_regex(text, '\n\n+'), lambda x: length(regexp_replace(x, '\s', '', 'g')) > 0))::INT AS paragraphs FROM m""")
 def a25(t):
     c = X.element_counts(F.col("text"))
     return conversations_markdown(t).select("conv_id", *[c[k].alias(k) for k in ("headings", "numbered_lists", "links", "paragraphs")])

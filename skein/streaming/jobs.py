@@ -15,8 +15,7 @@ STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'process
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """A folder or file of events as a stream, with the schema that is there."""
     schema = spark.read.parquet(path).schema
-    folder, glob = path.rsplit("/", 1)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path if not glob.endswith(".parquet") else path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
