@@ -68,7 +68,7 @@ def variants(rest: str, key: int) -> np.ndarray:
     out = np.empty(n + 1, np.uint64)
     out[:n] = before[:n] + (before[n] - before[1:]) * _BACK  # what follows moves one place down
     out[n] = before[n]
-    size = np.full(n + 1, n - 1, np.uint64)
+    size = np.full(n + 1, max(n - 1, 0), np.uint64)
     size[n] = n
     return mix(mix(out + np.uint64(key & ((1 << 64) - 1))) ^ size)
 

@@ -35,8 +35,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """Token ids of whole texts, each distinct word of a batch encoded once.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its white-space-separated words in a
-    row. Words are encoded many at a time with a special token between them, whose id no ordinary text yields.
+    The tokenizer drops white space, lower-cases, splits letters from other signs and never merges across these bounds. So a text's ids are those
+    of its white-space-separated words in a row, A-Z may be lower-cased before, and a comma or full stop after a letter is a token of its
+    own. Words of letters alone are encoded many at a time: each ends with a token that marks an end of word. Others are encoded with a
+    special token between them, whose id no ordinary text yields.
     """
 
     def __init__(self, path: str):
@@ -48,33 +50,72 @@ class WordTokenizer:
         self.joined = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.joined.token_to_id(self.mark)
+        vocabulary = self.joined.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tail = {x: self.one(x) for x in ",."}
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each word's begin (one more at the end)."""
-        odd = [i for i, w in enumerate(words) if "<|" in w]
-        texts = list(words)
-        for i in odd:
-            texts[i] = ""
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _lots(self, texts: list[str], between: str) -> np.ndarray:
         step = 2000
-        lots = [f" {self.mark} ".join(texts[i:i + step]) + f" {self.mark}" for i in range(0, len(texts), step)]
+        lots = [between.join(texts[i:i + step]) + between for i in range(0, len(texts), step)]
         got = [np.array(e.ids, np.uint32) for e in self.joined.encode_batch_fast(lots, add_special_tokens=False)]
-        ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(ids == self.mark_id)
-        assert len(ends) == len(words)
-        begin = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
-        ids = np.delete(ids, ends)
+        return np.concatenate(got) if got else np.zeros(0, np.uint32)
+
+    def cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space in a row, and where each word's begin (one more at the end)."""
+        plain = [w.isalpha() and w.lower().isalpha() for w in words]
+        order = sorted(range(len(words)), key=plain.__getitem__, reverse=True)
+        n = sum(plain)
+        ids = self._lots([words[i] for i in order[:n]], " ")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        assert len(ends) == n
+        rest = [words[i] for i in order[n:]]
+        odd = [k for k, w in enumerate(rest) if "<|" in w]
+        texts = ["" if "<|" in w else w for w in rest]
+        more = self._lots(texts, f" {self.mark} ")
+        marks = np.flatnonzero(more == self.mark_id)
+        assert len(marks) == len(rest)
+        size = np.concatenate([np.diff(ends, prepend=0), np.diff(marks - np.arange(len(marks)), prepend=0)]).astype(np.int64)
+        ids = np.concatenate([ids, np.delete(more, marks)])
+        at = np.concatenate([[0], np.cumsum(size)])
         if odd:
-            parts = [ids[begin[i]:begin[i + 1]] for i in range(len(words))]
-            for i in odd:
-                parts[i] = np.array(self.plain.encode(words[i], add_special_tokens=False).ids, np.uint32)
-            ids = np.concatenate(parts)
-            begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        return ids, begin
+            parts = [ids[at[k]:at[k + 1]] for k in range(len(words))]
+            for k in odd:
+                parts[n + k] = self.one(rest[k])
+            ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        size = np.diff(at)[place]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        return ids[np.repeat(at[place] - begin[:-1], size) + np.arange(begin[-1])], begin
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words whose A-Z are lower-cased, with commas and full stops after letters set apart first."""
+        known: dict[str, int] = {}
+        core, tail = np.empty(len(words), np.int64), np.zeros(len(words), np.int64)
+        for k, w in enumerate(words):
+            if len(w) > 1 and w[-1] in ",." and w[-2].isalpha():
+                tail[k] = 1 + (w[-1] == ".")
+                w = w[:-1]
+            core[k] = known.setdefault(w, len(known))
+        ids, at = self.cores(list(known))
+        own = np.diff(at)[core]
+        extra = np.array([0, len(self.tail[","]), len(self.tail["."])])[tail]
+        begin = np.concatenate([[0], np.cumsum(own + extra)])
+        out = np.empty(begin[-1], np.uint32)
+        out[np.repeat(begin[:-1], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)] = ids[np.repeat(at[core] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        for x, sign in ((1, ","), (2, ".")):
+            for j, v in enumerate(self.tail[sign]):
+                out[(begin[:-1] + own)[tail == x] + j] = v
+        return out, begin
 
     def texts(self, column: pa.Array):
         """The ids of each text, in order."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists  # may hold empty words at the ends
         first = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
         first = first - first[0]
