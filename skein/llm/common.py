@@ -37,12 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written under the shared folder. Cuts lineage: a lost executor costs a reread, not a recomputation.
 
-    drop() removes tables that no lazy result reads any more; the rest go when the interpreter ends.
+    drop() and finish() remove tables that no lazy result reads any more; the rest go when the interpreter ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
         ref = weakref.ref(self)
         atexit.register(lambda: (s := ref()) and s.close())
         _open.append(self)
@@ -52,7 +51,6 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -60,6 +58,14 @@ class Scratch:
         for df in dfs:
             self._delete(df._scratch_path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """df written; all tables before it removed."""
+        old = range(1, self.n + 1)
+        out = self.write(df)
+        for k in old:
+            self._delete(f"{self.root}/{k}")
+        return out
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -160,13 +160,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     many = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(tmp.write(many), ["h1", "h2"]).where(F.col("near") | (place != F.col("at")))
-    return gone.groupBy("_ld_doc", "_ld_text").agg(F.collect_set("line").alias("drops"))
+    return tmp.finish(gone.groupBy("_ld_doc", "_ld_text").agg(F.collect_set("line").alias("drops")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of text_col, and `_ld_dropped`: how many."""
-    tmp = Scratch(spark)
-    gone = tmp.write(repeated_lines(spark, docs, id_col, text_col))
+    gone = repeated_lines(spark, docs, id_col, text_col)
     d = docs.withColumn("_ld_h", F.xxhash64(text_col))
     same = (d[id_col].cast("long").eqNullSafe(gone["_ld_doc"])) & (d["_ld_h"] == gone["_ld_text"])
     parts = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("drops"), i))

@@ -205,4 +205,5 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     sizes = semi_join(base, copies.select("doc").distinct(), "doc").select("doc", n_words.alias("end")).groupBy("doc").agg(F.max("end").alias("end"))
     whole = copies.join(sizes, "doc").where(F.col("end") >= LEAST).select("doc", F.lit(0).alias("start"), "end", F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     spans = spans.unionByName(whole)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "other")).alias("s")).mapInArrow(merge_spans, "doc_id long, start_word int, end_word int, other_doc long")
+    merged = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "other")).alias("s")).mapInArrow(merge_spans, "doc_id long, start_word int, end_word int, other_doc long")
+    return tmp.finish(merged)
