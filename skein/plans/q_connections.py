@@ -65,7 +65,7 @@ def j5(t):
     return top_k_cosine(c.where("id % 50 = 0"), c, 10, -1.0).withColumn("similarity", R6("similarity"))
 
 
-@query("set1_all_engines", f"""SELECT connection_type, count(*) AS edges, round(sum(strength), 3) AS strength FROM (
+@query("set1_all_engines", f"""SELECT connection_type, count(*) AS edges, round(sum(strength), 2) AS strength FROM (
   SELECT source, target, connection_type, strength FROM ({_CONTRA.replace('round(strength, 6) AS strength', 'strength')})
   UNION ALL SELECT * FROM ({_BRIDGE})) GROUP BY connection_type""", "chunks")
 def set1(t):
@@ -74,7 +74,7 @@ def set1(t):
     contra = E.contradiction(c, k=1 << 30).withColumn("_s", F.round("strength", 9))
     r.register("contradiction_detection", lambda _: E.best_per(contra, "source", 20, "_s", "target").drop("_s"))
     e = r.run(c, engines=["contradiction_detection", "thematic_bridge"])
-    return e.groupBy("connection_type").agg(F.count("*").alias("edges"), F.round(F.sum("strength"), 3).alias("strength"))
+    return e.groupBy("connection_type").agg(F.count("*").alias("edges"), F.round(F.sum("strength"), 2).alias("strength"))
 
 
 @query("snk3_upsert_edges", """SELECT source, target, connection_type, strength, batch FROM (
