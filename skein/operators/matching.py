@@ -78,6 +78,9 @@ def fuzzy_locate(chunk: str, source: str, index: int = 0, total: int = 1, thresh
 
     Places are in the raw source.
     """
+    k = source.find(chunk)
+    if chunk and k >= 0:
+        return Hit(k, k + len(chunk), 1.0, "exact")
     c, (s, at) = squeeze(chunk)[0], squeeze(source)
     if c:
         k = s.find(c)
