@@ -6,6 +6,7 @@ hits are found natively before any Python runs.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -154,7 +155,7 @@ def match_offsets(chunks: list[str], source: str) -> list[Hit]:
                 m = source.find(c[len(c) // 2 - n // 2:len(c) // 2 + n // 2], hint)
                 if 0 <= a and a < b and b + n - a < 1.5 * len(c) and (m < 0 or a < m < b):
                     found = Hit(a, b + n, 0.9, "anchors")
-            if found is None and c and len(c) <= 2000:
+            if found is None and c and len(c) <= 200:  # edit distances are a square of the length
                 region = source[hint:hint + 4 * len(c)]
                 best, where = 0.0, -1
                 for k in windows(c, region):
@@ -181,6 +182,38 @@ def match_offsets(chunks: list[str], source: str) -> list[Hit]:
     return out
 
 
+def repair_offset(chunk: str, text: str, hint: int = 0) -> Hit | None:
+    """A stored chunk's place: exact from near its old start, then anywhere, then up to white space, then by its first and last 100 characters."""
+    for start in (max(0, hint - 200), 0):
+        k = text.find(chunk, start)
+        if chunk and k >= 0:
+            return Hit(k, k + len(chunk), 1.0, "exact")
+    c, (s, at) = squeeze(chunk)[0], squeeze(text)
+    k = s.find(c) if c else -1
+    if k >= 0:
+        return Hit(at[k], at[k + len(c) - 1] + 1, 0.95, "whitespace")
+    if len(c) >= 200:
+        a = s.find(c[:100])
+        b = s.find(c[-100:], a) if a >= 0 else -1
+        if 0 <= a < b <= a + 2 * len(c):
+            return Hit(at[a], at[b + 99] + 1, 0.8, "ends")
+    return None
+
+
+def plain_headings(text: str) -> str:
+    """The text with heading marks and emphasis blanked, same length."""
+    return re.sub(r"(?m)^#{1,6}\s|[*_`]", lambda m: " " * len(m[0]), text)
+
+
+def correct_offsets(chunks: list[str], source: str) -> list[Hit]:
+    """match_offsets without heading marks and emphasis, then as written for what was only interpolated."""
+    first = match_offsets([plain_headings(c) for c in chunks], plain_headings(source))
+    if all(h.method != "interpolated" for h in first):
+        return first
+    second = match_offsets(chunks, source)
+    return [b if a.method == "interpolated" and b.confidence > a.confidence else a for a, b in zip(first, second, strict=True)]
+
+
 def stitch(parts: list[str], least: int = 20, share: float = 0.8, similar: float = 0.8, separator: str = "\n\n") -> str:
     """Adjacent texts joined at the longest equal end and start (from `least` characters, within `share` of the shorter), else a similar one, else a separator."""
     out = parts[0] if parts else ""
@@ -213,8 +246,11 @@ def locate_all(needles: DataFrame, texts: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy)
 
 
-def match_documents(chunks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Offsets of chunks (document_id, chunk_index, content) in texts (document_id, text); a document is one row of work."""
+def match_documents(chunks: DataFrame, texts: DataFrame, match=match_offsets) -> DataFrame:
+    """Offsets of chunks (document_id, chunk_index, content) in texts (document_id, text); a document is one row of work.
+
+    match: match_offsets or correct_offsets.
+    """
     rows = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
     d = chunks.groupBy("document_id").agg(rows.alias("rows")).join(texts, "document_id")
 
@@ -222,7 +258,7 @@ def match_documents(chunks: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for doc, own, text in zip(b["document_id"], b["rows"], b["text"], strict=True):
-                hits = match_offsets([r["content"] for r in own], text)
+                hits = match([r["content"] for r in own], text)
                 out += [(doc, r["chunk_index"], h.start, h.end, h.confidence, h.method) for r, h in zip(own, hits, strict=True)]
             yield pd.DataFrame(out, columns=["document_id", "chunk_index", "start_offset", "end_offset", "confidence", "method"])
 

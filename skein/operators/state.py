@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,23 @@ def import_chunks(old: DataFrame, new: DataFrame, strategy: str, key: list[str],
         return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
     n = new.select(*key, *[F.col(c).alias("_n_" + c) for c in columns])
     return old.join(n, key, "left").select(*[F.coalesce("_n_" + c, c).alias(c) if c in columns else F.col(c) for c in old.columns])
+
+
+def correct_chunks(chunks: DataFrame, corrections: DataFrame) -> DataFrame:
+    """chunks (id, document_id, chunk_index, start_offset, end_offset, history) with corrections (id, new_start, new_end) applied.
+
+    A correction that is empty or runs into the chunk before or after (as they stand) is rejected; an accepted one appends the old interval to the history.
+    """
+    w = Window.partitionBy("document_id").orderBy("chunk_index")
+    c = chunks.withColumn("_p", F.lag("end_offset").over(w)).withColumn("_n", F.lead("start_offset").over(w)).join(corrections, "id", "left")
+    ok = F.col("new_start").isNotNull() & (F.col("new_end") > F.col("new_start")) & F.coalesce(F.col("new_start") >= F.col("_p"), F.lit(True)) & F.coalesce(F.col("new_end") <= F.col("_n"), F.lit(True))
+    c = c.withColumn("status", F.when(F.col("new_start").isNull(), "unchanged").when(ok, "corrected").otherwise("rejected"))
+    old = F.struct("start_offset", "end_offset")
+    return c.select("id", "document_id", "chunk_index", F.when(ok, F.concat("history", F.array(old))).otherwise(F.col("history")).alias("history"), F.when(ok, F.col("new_start")).otherwise(F.col("start_offset")).alias("start_offset"), F.when(ok, F.col("new_end")).otherwise(F.col("end_offset")).alias("end_offset"), "status")
+
+
+def review(components: DataFrame, decisions: DataFrame) -> DataFrame:
+    """components (id, needs_review, ...) after decisions (id, accept): accepted ones need no review, discarded ones go; the last decision of an id counts."""
+    d = decisions.groupBy("id").agg(F.max_by("accept", "seq").alias("accept"))
+    r = components.join(d, "id", "left").where("coalesce(accept, true)")
+    return r.withColumn("needs_review", F.col("needs_review") & F.col("accept").isNull()).drop("accept")
