@@ -207,7 +207,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     tmp = Scratch(spark)
     all_rows = tmp.write(sketches(docs, id_col, text_col, k))
     sets = all_rows.where("n > 0 and id is not null")
-    classes = sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+    classes = tmp.write(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))  # apart from the join, so that a hot class can be split
     of = tmp.write(sets.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "rep"))
     member = of.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     again = member.where("rep <> other").select("id", F.col("rep").alias("a"))  # an id with several texts

@@ -194,6 +194,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
 
     sparse = tmp.write(kept_suffixes(single))
     shared = sparse.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
+    shared = tmp.write(shared)  # apart from the join, so that its hot grams can be split
     at = tmp.write(sparse.join(shared, "gram").groupBy("doc").agg(F.collect_list("pos").alias("at")))
     texts = semi_join(single, at.select("doc"), "doc").join(at, "doc")
     suffixes = tmp.write(with_context(texts))
