@@ -6,12 +6,13 @@ A-Z lower-cased.
 1. Equal texts are one; each of them is a repeat of its whole length if that is enough.
 2. The suffixes kept are those at minimisers: of every WINDOW consecutive K-word grams, the one of the smallest hash. K + WINDOW - 1 = 50, so
    two documents that share 50 words keep a suffix at the same word of the passage.
-3. Suffixes whose gram no other document keeps are dropped (counts, summed before the shuffle). The others carry the hashes of the words
-   before and after, as many as a passage of `least` words around the gram can need.
-4. They are sorted by gram, following words, preceding words over a range-partitioned sort, so that a passage in a third of all documents
-   is spread over many tasks. Each suffix is compared with the NEAR before and after it; rows at partitions' edges are compared once
-   more among themselves. In each task suffixes of one gram are also compared in the order of their preceding words.
-5. Matches are extended left and right word by word; those of `least` words or more are merged into spans of each document.
+3. Suffixes whose gram no other document keeps are dropped (counts, summed before the shuffle).
+4. Grams of up to GROUP rows: the suffixes carry the hashes of the words before and after, as many as a passage of `least` words around the
+   gram can need, and are sorted by gram; every pair of a gram is compared, and the matches extended left and right word by word.
+   Grams of more rows: every 50-word window whose minimiser is such a gram is hashed; the least and greatest document of each hash are
+   aggregated before the shuffle, and the windows that two documents hold are joined back. Each window has one minimiser, so none is
+   left out, and a passage in a third of all documents is no group gathered in one task.
+5. Matches of `least` words or more are merged into spans of each document.
 
 Defined results: null or short texts: no spans. Rows that repeat an id with the same text: one document. Rows that repeat an id with other
 texts: their spans come together under that id. Null ids: no spans. Repeats within one document alone are no spans. Other columns are
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, blocks_of, hash_words, mix, semi_join, utf8, word_spans
 
 LEAST, K, WINDOW, NEAR = 50, 20, 31, 4
+GROUP = NEAR + 1  # rows of a gram of which all pairs lie within NEAR rows
 SIDE = LEAST - K  # words before and after that a passage of LEAST words around a gram can need
 
 
@@ -45,8 +47,19 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     """Places of the smallest hash (the first of equals) of each WINDOW."""
     if len(h) <= WINDOW:
         return np.array([int(np.argmin(h))]) if len(h) else np.zeros(0, np.int64)
+    return np.unique(owners(h))
+
+
+def owners(h: np.ndarray) -> np.ndarray:
+    """Place of the minimiser of each window of LEAST words."""
     view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-    return np.unique(view.argmin(1) + np.arange(len(view)))
+    return view.argmin(1) + np.arange(len(view))
+
+
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of LEAST words, from the grams at their start, K words on and at their end."""
+    n = len(h) - SIDE
+    return mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + h[K:K + n] * np.uint64(0xC2B2AE3D27D4EB4F) + h[SIDE:] * np.uint64(0x165667B19E3779F9))
 
 
 def _documents(texts: list[bytes]):
@@ -74,31 +87,54 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, pos int, gram long")
 
 
-_SUFFIX = "gram long, doc long, pos int, n_before int, n_after int, before binary, after binary"
+_SUFFIX = "gram long, doc long, pos int, n_before int, n_after int, before binary, after binary, window long"
 
 
 def with_context(docs: DataFrame) -> DataFrame:
-    """docs (doc, text, at: array of positions) to one row per suffix with the words around it, nearest first."""
+    """docs (doc, text, few, many: arrays of positions) to one row per suffix of `few` with the words around it, nearest first, and
+    one per window (pos: its start, window: its hash) whose minimiser is in `many`."""
+    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("window", pa.int64())])
+
+    def suffixes(doc, words, h, at):
+        short = (words >> np.uint64(48)).astype(np.uint16)
+        pad = np.concatenate([np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)])
+        before = pad[at[:, None] + SIDE - 1 - np.arange(SIDE)]
+        after = pad[at[:, None] + SIDE + K + np.arange(SIDE)]
+        return h[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.minimum(at, SIDE).astype(np.int32), np.minimum(len(words) - K - at, SIDE).astype(np.int32), [x.tobytes() for x in before], [x.tobytes() for x in after]
+
+    def places(positions, kept):
+        return np.intersect1d(np.asarray(positions, np.int64), kept)  # a repeated id may bring another text's positions
 
     def run(batches):
         for batch in batches:
-            ids, wanted = batch.column(0).to_pylist(), batch.column(2)
+            ids, few, many = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            wide: tuple[list, ...] = ([], [], [], [])
             for k, words in _documents(utf8(batch.column(1).to_pylist())):
-                at = np.unique(np.asarray(wanted[k].values)).astype(np.int64)
-                at = at[at <= len(words) - K]
-                short = (words >> np.uint64(48)).astype(np.uint16)
-                pad = np.concatenate([np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)])
-                before = pad[at[:, None] + SIDE - 1 - np.arange(SIDE)]
-                after = pad[at[:, None] + SIDE + K + np.arange(SIDE)]
-                h = gram_hashes(words)[at].view(np.int64)
-                for o, v in zip(out, (h, np.full(len(at), ids[k], np.int64), at.astype(np.int32), np.minimum(at, SIDE).astype(np.int32), np.minimum(len(words) - K - at, SIDE).astype(np.int32)), strict=False):
-                    o.append(v)
-                out[5].extend(x.tobytes() for x in before), out[6].extend(x.tobytes() for x in after)
+                h = gram_hashes(words)
+                own = owners(h)
+                kept = np.unique(own)
+                at = places(few[k].values, kept)
+                if len(at):
+                    for o, v in zip(out, suffixes(ids[k], words, h, at), strict=True):
+                        o.extend(v) if isinstance(v, list) else o.append(v)
+                flag = np.zeros(len(h), bool)
+                flag[places(many[k].values, kept)] = True
+                s = np.flatnonzero(flag[own])
+                if len(s):
+                    for o, v in zip(wide, (h[own[s]].view(np.int64), np.full(len(s), ids[k], np.int64), s.astype(np.int32), window_hashes(h)[s].view(np.int64)), strict=True):
+                        o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out[:5]), pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary())], names=["gram", "doc", "pos", "n_before", "n_after", "before", "after"])
+                n = len(out[5])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out[:5]), pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+            if wide[0]:
+                gram, doc, pos, window = (np.concatenate(o) for o in wide)
+                for i in range(0, len(gram), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    n = len(gram[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[j]), pa.array(doc[j]), pa.array(pos[j]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(window[j])], schema=schema)
 
-    return docs.select("doc", "text", "at").mapInArrow(run, _SUFFIX)
+    return docs.select("doc", "text", "few", "many").mapInArrow(run, _SUFFIX)
 
 
 class _Rows:
@@ -115,8 +151,9 @@ def _equal(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), SIDE, same.argmin(1))
 
 
-def _compare(r: _Rows, order: np.ndarray):
-    """Matches of suffixes up to NEAR apart in the order: (row, words before, words after, other row)."""
+def _compare(r: _Rows):
+    """Matches of suffixes up to NEAR rows apart: (row, words before, words after, other row)."""
+    order = np.arange(len(r.gram))
     for d in range(1, NEAR + 1):
         i, j = order[:-d], order[d:]
         m = (r.gram[i] == r.gram[j]) & (r.doc[i] != r.doc[j])
@@ -129,39 +166,28 @@ def _compare(r: _Rows, order: np.ndarray):
             yield j[ok], b[ok], a[ok], i[ok]
 
 
-_FOUND = "edge boolean, start int, end int, other long, " + _SUFFIX
+_SPAN = "doc long, start int, end int, other long"
 
 
 def neighbours(batches):
-    """Sorted suffixes of a partition: its matches (edge false) and its first and last NEAR rows (edge true)."""
-    carry, head, empty = None, None, True
+    """Suffixes of a partition, sorted by gram, none split between partitions: each one's matches as one span, all hold its gram."""
+    carry = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        empty = False
-        if head is None or len(head) < NEAR:
-            head = (head or []) + [batch.slice(k, 1) for k in range(min(NEAR, batch.num_rows))]
-            head = head[:NEAR]
         table = pa.Table.from_batches([carry, batch] if carry is not None else [batch]).combine_chunks()
         batch = table.to_batches()[0]
         r = _Rows(batch)
-        n = len(r.gram)
-        orders = [np.arange(n), np.lexsort([*(r.before[:, c] for c in range(7, -1, -1)), r.gram])]
         rows, starts, ends, others = [], [], [], []
-        for order in orders:
-            for i, b, a, j in _compare(r, order):
-                rows.append(i), starts.append(r.pos[i] - b), ends.append(r.pos[i] + K + a), others.append(r.doc[j])
+        for i, b, a, j in _compare(r):
+            rows.append(i), starts.append(r.pos[i] - b), ends.append(r.pos[i] + K + a), others.append(r.doc[j])
         if rows and sum(map(len, rows)):
             rows, starts, ends, others = map(np.concatenate, (rows, starts, ends, others))
-            o = np.lexsort([others, -(ends - starts), rows])  # the longest match of each suffix, then the smallest document
-            o = o[np.concatenate([[True], rows[o][1:] != rows[o][:-1]])]
-            null = lambda t: pa.nulls(len(o), t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(o), bool)), pa.array(starts[o].astype(np.int32)), pa.array(ends[o].astype(np.int32)), pa.array(others[o]), null(pa.int64()), pa.array(r.doc[rows[o]]), null(pa.int32()), null(pa.int32()), null(pa.int32()), null(pa.binary()), null(pa.binary())], names=[x.split()[0] for x in _FOUND.split(", ")])
-        carry = batch.slice(max(0, n - NEAR))
-    if not empty:
-        edge = pa.Table.from_batches([*head, carry]).combine_chunks().to_batches()[0]
-        n = edge.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *edge.columns], names=[x.split()[0] for x in _FOUND.split(", ")])
+            o = np.argsort(rows, kind="stable")
+            rows, starts, ends, others = rows[o], starts[o], ends[o], others[o]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(r.doc[rows[first]]), pa.array(np.minimum.reduceat(starts, first).astype(np.int32)), pa.array(np.maximum.reduceat(ends, first).astype(np.int32)), pa.array(np.minimum.reduceat(others, first))], names=[x.split()[0] for x in _SPAN.split(", ")])
+        carry = batch.slice(max(0, batch.num_rows - NEAR))
 
 
 def merge_spans(batches):
@@ -193,15 +219,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     single = base.join(F.broadcast(again) if again.limit(500_001).count() <= 500_000 else again, "doc", "left_anti")
 
     sparse = tmp.write(kept_suffixes(single))
-    shared = sparse.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
+    shared = sparse.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low <> high").select("gram", (F.col("n") > GROUP).alias("hot"))
     shared = tmp.write(shared)  # apart from the join, so that its hot grams can be split
-    at = tmp.write(sparse.join(shared, "gram").groupBy("doc").agg(F.collect_list("pos").alias("at")))
+    places = lambda hot: F.collect_list(F.when(F.col("hot") == hot, F.col("pos")))
+    at = tmp.write(sparse.join(shared, "gram").groupBy("doc").agg(places(False).alias("few"), places(True).alias("many")))
     texts = semi_join(single, at.select("doc"), "doc").join(at, "doc")
     suffixes = tmp.write(with_context(texts))
-    keys = ["gram", "after", "before", "doc", "pos"]
-    found = tmp.write(suffixes.sort(*keys).mapInArrow(neighbours, _FOUND))
-    edges = found.where("edge").select(*[x.split()[0] for x in _SUFFIX.split(", ")]).distinct().coalesce(1).sortWithinPartitions(*keys).mapInArrow(neighbours, _FOUND)
-    spans = found.where("not edge").unionByName(edges.where("not edge")).select("doc", "start", "end", "other")
+    few = suffixes.where("window is null").drop("window").repartition("gram").sortWithinPartitions("gram", "doc", "pos")
+    spans = tmp.write(few.mapInArrow(neighbours, _SPAN))
+    windows = suffixes.where("window is not null").select("gram", "window", "doc", "pos")
+    held = tmp.write(windows.groupBy("gram", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high"))
+    wide = windows.join(held, ["gram", "window"])
+    spans = spans.unionByName(wide.select("doc", F.col("pos").alias("start"), (F.col("pos") + LEAST).alias("end"), F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")))
     n_words = F.regexp_count("text", F.lit(WORD)).cast("int")
     sizes = semi_join(base, copies.select("doc").distinct(), "doc").select("doc", n_words.alias("end")).groupBy("doc").agg(F.max("end").alias("end"))
     whole = copies.join(sizes, "doc").where(F.col("end") >= LEAST).select("doc", F.lit(0).alias("start"), "end", F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))

@@ -434,3 +434,33 @@ def test_passages(spark, corpus):
         assert (cover[i] == mine[i]).all(), i
     assert 601 not in {x["doc_id"] for x in got}
     assert suffix_dedup.repeated_passages(spark, docs_of(spark, rows[:1]).where("false")).count() == 0
+
+
+def test_passages_of_frequent_grams(spark):
+    """Partners far apart among the rows of a gram, a document that repeats a passage, and two partners of one suffix."""
+    r = random.Random(7)
+    rows = []
+    for _ in range(6):  # pairs of 55 words: 15 of their own, then a phrase of 40 that all of 16 documents hold
+        phrase = prose(r, 40)
+        for _ in range(8):
+            own = prose(r, 15)
+            rows += [f"{prose(r, 60)} {own} {phrase} {prose(r, 60)}" for _ in range(2)]
+    p = prose(r, 50)
+    rows += [" ".join(f"{p} {prose(r, 3)}" for _ in range(12)), f"{prose(r, 40)} {p} {prose(r, 40)}"]
+    for _ in range(10):
+        left, mid, right = prose(r, 30), prose(r, 20), prose(r, 30)
+        rows += [f"{left} {mid} {right}", f"{left} {mid} {prose(r, 40)}", f"{prose(r, 40)} {mid} {right}"]
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in rows]
+    at = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            at[tuple(w[k:k + 50])].add(i)
+    want, got = ({i: np.zeros(len(w), bool) for i, w in enumerate(words)} for _ in range(2))
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            if len(at[tuple(w[k:k + 50])]) > 1:
+                want[i][k:k + 50] = True
+    for x in suffix_dedup.repeated_passages(spark, docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect():
+        assert x["other_doc"] != x["doc_id"]
+        got[x["doc_id"]][x["start_word"]:x["end_word"]] = True
+    assert [i for i in want if (want[i] != got[i]).any()] == []
