@@ -103,6 +103,26 @@ def test_match_offsets_and_stitch():
     assert matching.stitch(["abc", "def"]) == "abc\n\ndef"
 
 
+def test_long_chunks_are_matched_by_edits():
+    src = words(5, 600)
+    for n in (500, 1500):
+        cut = "".join("#" if i % 25 == 7 else c for i, c in enumerate(src[:n]))
+        for h in (matching.match_offsets([cut], src)[0], matching.correct_offsets([cut], src)[0]):
+            assert (h.start, h.end, h.method) == (0, n, "edits") and h.confidence >= 0.95
+
+
+def test_edit_distance_equals_the_recurrence():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcé ") for _ in range(r.randrange(90))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert matching.edit_distance(a, b) == row[-1]
+
+
 def test_locate_all_equals_the_function(spark):
     rows = [(i, words(i, 80)) for i in range(6)]
     needles = [(i, i, t[30:150] if i % 2 else t[30:150] + "zz") for i, t in rows]
