@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,6 +85,13 @@ def windows(needle: str, hay: str, share: float = 0.1, many: float = 0.2):
     return range(0, max(1, len(hay) - len(needle) + 1), step)
 
 
+@lru_cache(maxsize=1)
+def _prepared(source: str) -> tuple[str, list[int], set[str]]:
+    """A source squeezed, and its trigrams; kept for the needles that follow in the same source."""
+    s, at = squeeze(source)
+    return s, at, trigram_set(s)
+
+
 def fuzzy_locate(chunk: str, source: str, index: int = 0, total: int = 1, threshold: float = 0.75) -> Hit:
     """A chunk's place in its source: equal up to white space, else the best trigram window, else a guess by its index (0.3).
 
@@ -92,13 +100,14 @@ def fuzzy_locate(chunk: str, source: str, index: int = 0, total: int = 1, thresh
     k = source.find(chunk)
     if chunk and k >= 0:
         return Hit(k, k + len(chunk), 1.0, "exact")
-    c, (s, at) = squeeze(chunk)[0], squeeze(source)
+    c, (s, at, known) = squeeze(chunk)[0], _prepared(source)
     if c:
         k = s.find(c)
         if k >= 0:
             return Hit(at[k], at[k + len(c) - 1] + 1, 1.0, "exact")
         grams, best, where = trigram_set(c), 0.0, -1
-        for k in windows(c, s) if len(s) >= len(c) else ():
+        able = not grams or "Σ" in s or len(grams & known) >= threshold * len(grams) * (1 - 1e-9)  # no window shares more trigrams than the source, but for final sigmas
+        for k in windows(c, s) if able and len(s) >= len(c) else ():
             v = set_similarity(grams, trigram_set(s[k:k + len(c)]))
             if v > best:
                 best, where = v, k
@@ -114,7 +123,9 @@ def fuzzy_locate(chunk: str, source: str, index: int = 0, total: int = 1, thresh
 def match_annotation(needle: str, text: str, before: str = "", after: str = "", near: str | None = None, near_at: int = 0) -> Hit | None:
     """Four tiers: exact; between its context (x 0.95); in the chunks around (near, which begins at near_at); by trigrams over all (x 0.9)."""
     k = text.find(needle)
-    if needle and k >= 0:
+    if not needle:
+        return None
+    if k >= 0:
         return Hit(k, k + len(needle), 1.0, "exact")
     if before and after:
         i = text.find(before)
@@ -240,11 +251,16 @@ def stitch(parts: list[str], least: int = 20, share: float = 0.8, similar: float
 
 
 def locate_all(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """needles (needle_id, document_id, needle) in texts (document_id, text): start, end, confidence, method.
+    """needles (needle_id, document_id, needle) in texts (document_id, text): start, end, confidence, method. Needles without document_id are
+    sought in every text.
 
     Exact hits are native; only the others reach Python, a batch at a time.
     """
-    j = needles.join(texts, "document_id").withColumn("at", F.expr("instr(text, needle) - 1"))
+    if "document_id" in needles.columns:
+        met = needles.join(texts, "document_id")
+    else:  # work is needles times texts, so few large files of texts are dealt out
+        met = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id").crossJoin(needles)
+    j = met.withColumn("at", F.expr("instr(text, needle) - 1"))
     exact = j.where("at >= 0").select("needle_id", "document_id", F.col("at").alias("start"), (F.col("at") + F.length("needle")).alias("end"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
 
     def rest(batches):

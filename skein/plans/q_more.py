@@ -49,7 +49,7 @@ def _mapped(name, schema, f):
     import pandas as pd
 
     def run(t):
-        d = t.documents.where(F.length("text").between(400, 2500)).select("doc_id", "text")
+        d = t.documents.where("text is not null").select("doc_id", "text")
 
         def part(batches):
             for b in batches:
@@ -78,8 +78,8 @@ _mapped("str30_offset_repair", "doc_id long, start int, end int, method string",
 
 @query("str6_offset_correction")
 def str6(t):
-    d = t.documents.where(F.length("text").between(500, 3000))
-    c = X.doc_chunks(t).join(d.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").select("document_id", "chunk_index", F.concat(F.lit("# "), F.trim("content")).alias("content"))
+    d = t.documents
+    c = X.doc_chunks(t).select("document_id", "chunk_index", F.concat(F.lit("# "), F.trim("content")).alias("content"))
     return M.match_documents(c, d.select(F.col("doc_id").alias("document_id"), "text"), M.correct_offsets)
 
 

@@ -204,3 +204,26 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read(spark, "nope", "x")
     assert readers.extract_json("```json\n{\"a\": [1,],}\n```") == {"a": [1]}
+
+
+def test_queries_over_texts_read_whole_tables(spark, tmp_path):
+    from skein.plans import catalog
+
+    texts = {0: "", 1: words(1, 3), 2: words(2, 9), 3: words(3, 120), 4: words(4, 4500), 6: words(6, 15)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, texts[4][9000:9150]), (2, texts[3][30:200]), (3, "%%% nothing of the kind $$$")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("str3_fuzzy_locate", "str4_annotation_match", "str5_offset_matcher", "str6_offset_correction", "str7_stitching", "str30_offset_repair")}
+    cut = {(d, i) for d, t in texts.items() for i in range(-(-len(t) // 500))}
+    for n in ("str5_offset_matcher", "str6_offset_correction"):
+        assert {(r["document_id"], r["chunk_index"]) for r in rows[n]} == cut
+    assert {r["document_id"] for r in rows["str7_stitching"]} == set(texts)
+    for n in ("str4_annotation_match", "str30_offset_repair"):
+        assert {r["doc_id"] for r in rows[n]} == set(texts)
+    got = {(r["needle_id"], r["document_id"]): r for r in rows["str3_fuzzy_locate"]}
+    assert set(got) == {(i, d) for i, _ in items for d in texts}
+    for (i, d), r in got.items():
+        h = matching.fuzzy_locate(dict(items)[i] + " changed", texts[d])
+        assert (r["start"], r["end"], r["method"]) == (h.start, h.end, h.method)
+    assert got[1, 4]["method"] == got[2, 3]["method"] == "fuzzy" and got[3, 4]["method"] == "approximate"
+    assert matching.match_annotation("", "some text", near="some") is None
