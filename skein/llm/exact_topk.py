@@ -131,6 +131,7 @@ def top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, s
 
     no_cut = asks.withColumn("cut", F.lit(None).cast("binary"))
     lists = met(no_cut).applyInArrow(first, "ask long, query_id long, vec_id long, score long")
+    lists = lists.groupBy("ask", "query_id", "vec_id").agg(F.max("score").alias("score"))  # repeated rows are one query, one candidate
     order = Window.partitionBy("ask", "query_id").orderBy(F.desc("score"), "vec_id")
     cutoffs = lists.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("ask", "query_id", F.col("score").alias("cutoff"))
     cutoffs = tmp.write(cutoffs)

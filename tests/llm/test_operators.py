@@ -252,6 +252,16 @@ def test_top_k(spark):
     assert exact_topk.top_k(spark, frame(spark, rows[:5]).where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_queries(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=16)], 1) for i in range(200)]
+    rows += [(i, rows[i][1], 1) for i in (0, 20, 20, 33, 33)]
+    got = exact_topk.top_k(spark, frame(spark, rows), F.col("vec_id") % 20 == 0, k=20).collect()
+    ints = {i: np.floor(64 * np.array(v)).astype(int) for i, v, _ in rows}
+    want = {(q, k + 1, i, -x) for q in range(0, 200, 20) for k, (x, i) in enumerate(sorted((-int(ints[q] @ c), i) for i, c in ints.items() if i != q)[:20])}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_large_products_are_exact():
     q, c = np.array([[1 << 40, 3]]), np.array([[1 << 40, 5], [1, 1]])
     assert [int(x) for x in sum(exact_topk._partials(q, c))[0]] == [(1 << 80) + 15, (1 << 40) + 3]
