@@ -1,4 +1,4 @@
-"""Make the package importable in Python workers."""
+"""Make the package importable in Python workers, and keep the batches they get small."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch; a batch is held by the JVM and by the worker at once.
+BATCH_ROWS = 1_000
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send the package's sources to the executors once an application (a zip of a few hundred kB, by Spark's file server)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
