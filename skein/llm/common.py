@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,14 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 # ---------------------------------------------------------------- scratch tables
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where that is unset, a folder of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         got = spark.sparkContext.getCheckpointDir()
     if not got:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -42,9 +47,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}", 0
-        ref = weakref.ref(self)
-        atexit.register(lambda: (s := ref()) and s.close())
         _open.append(self)
+        if len(_open) == 1:
+            atexit.register(close_all)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -81,6 +86,13 @@ class Scratch:
 _open: list[Scratch] = []
 
 
+def close_all(*, but: Scratch | None = None) -> None:
+    """Remove the tables of all operators (of one application): for callers whose results are written elsewhere."""
+    for s in [s for s in _open if s is not but]:
+        s.close()
+        _open.remove(s)
+
+
 def small_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; counts no further."""
     return df.limit(most + 1).count() <= most
@@ -200,6 +212,45 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, begin
 
 
+# ---------------------------------------------------------------- batches
+
+#: Bytes of text that a Python worker takes from a batch at a time.
+SLICE_BYTES = 2 << 20
+
+
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes each row has."""
+    out = np.full(batch.num_rows, 8 * batch.num_columns, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            out += np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64)
+        elif pa.types.is_list(c.type):
+            out += 8 * np.asarray(pc.fill_null(pc.list_value_length(c), 0), np.int64)
+    return out
+
+
+def sliced(batches, most: int = SLICE_BYTES):
+    """The rows of the batches in runs of about so many bytes (one row at least); afterwards freed memory goes back to the system."""
+    for batch in batches:
+        end = np.cumsum(row_bytes(batch))
+        i = 0
+        while i < batch.num_rows:
+            done = end[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(end, done + most, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks_of(texts: list[bytes], most: int = 1 << 20):
     """Cut a list of texts into runs of about so many bytes: (from, to)."""
     i = 0

@@ -1,17 +1,19 @@
 """Language identification by hyperdimensional profiles (Joshi, Halseth, Kanerva 2016).
 
-Every symbol (a letter class or the word boundary) has a random vector of +1 and -1 in DIM dimensions. A trigram is bound by
-multiplying its symbols' vectors, permuted by their place (two, one and no cyclic shifts). A text's vector bundles its trigrams'
-vectors, one for each occurrence. A language's prototype bundles those of its training texts, each text scaled to the same number
-of trigrams; what all prototypes share is taken off, so that cosines tell languages apart. A text gets the language of the largest
-cosine; its score is that cosine, 0 at least.
+Every letter of any script, and the word boundary, has a random vector of +1 and -1 in DIM dimensions, made from its code point by a
+seeded hash; capitals share their small letter's. A trigram is bound by multiplying its symbols' vectors, permuted by their place (two,
+one and no cyclic shifts). A text's vector bundles its trigrams' vectors, one for each occurrence. A language's prototype bundles those
+of its training texts, each text scaled to unit length; what all prototypes share is taken off, so that cosines tell languages
+apart. A text gets the language of the largest cosine; its score is that cosine, 0 at least.
 
-Bundling is linear, so texts are counted as trigrams first and the counts multiplied with the trigrams' vectors, a block of texts at
-a time. Whole texts are read in training and in prediction. Training reads at most `max_train` rows, chosen by a hash of the id;
-all rows with a language are read where there are fewer. Its result is one count for each language and trigram (at most 32,768).
+Bundling is linear, so a text's trigrams are counted first and the counts multiplied with the trigrams' vectors, some texts and some
+trigrams at a time. Whole texts are read in training and in prediction, and a text's result depends on that text alone, not on those
+that share its batch. Training reads at most about `max_train` rows, chosen by a hash of the id; all rows with a language are read where there
+are fewer. It sums whole numbers, so its result depends on no order; one vector for each language comes to the driver.
 
 Defined results: null text or one without letters: `und`, score 0. No training rows: all `und`. Ties: the smaller language.
-Repeated rows: one result each. Null ids: predicted, never trained on. Other columns are not read.
+Repeated rows: one result each. Null ids: predicted, never trained on. Columns not asked for are not read; a kept column named like a
+result (lang_pred, score) is refused with a ValueError, as the result would be ambiguous.
 """
 
 from __future__ import annotations
@@ -21,55 +23,84 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SYMBOLS, DIM = 32, 1024
-GRAMS = SYMBOLS**3
+from .common import mix, sliced
+
+DIM = 1024
+SEED = np.uint64(0x5EED1D)
 UNKNOWN = "und"
+_BITS = np.uint64(21)  # of a code point
+_LOW = np.uint64((1 << 21) - 1)
+
+_letter: dict[int, int] = {}
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 65,536: 0 for all but letters, 1-26 for a-z, 27-31 for other letters by their code."""
-    t = np.zeros(1 << 16, np.uint8)
-    for c in range(128, 1 << 16):
-        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            t[c] = 27 + (c * 2654435761 >> 7) % 5
-    for k in range(26):
-        t[97 + k] = t[65 + k] = k + 1
-    return t
+def letter_of(code: int) -> int:
+    """The small letter's code point; 0 for all that is no letter."""
+    if code not in _letter:
+        ch = chr(code)
+        _letter[code] = ord(ch.lower()[0]) if not 0xD800 <= code < 0xE000 and ch.isalpha() else 0
+    return _letter[code]
 
 
-def _gram_vectors() -> np.ndarray:
-    letters = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
-    one, two = np.roll(letters, 1, 1), np.roll(letters, 2, 1)
-    return ((two[:, None, :] * one[None, :, :])[:, :, None, :] * letters[None, None, :, :]).reshape(GRAMS, DIM)
+_ASCII = np.array([letter_of(c) for c in range(128)], np.uint32)
 
 
-_tables: dict[str, np.ndarray] = {}
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """Rows of +1 and -1, by a hash of seed and code point."""
+    words = DIM // 64
+    h = mix(mix(codes.astype(np.uint64) + SEED)[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.unpackbits(np.ascontiguousarray(h.astype("<u8")).view(np.uint8), axis=1)
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
-def table(name: str) -> np.ndarray:
-    if name not in _tables:
-        _tables[name] = {"symbols": _symbol_table, "vectors": _gram_vectors}[name]()
-    return _tables[name]
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The bound vectors of packed trigrams (three code points)."""
+    codes, at = np.unique(np.stack([grams >> (_BITS + _BITS), (grams >> _BITS) & _LOW, grams & _LOW]), return_inverse=True)
+    letters = letter_vectors(codes)
+    first, second, third = at.reshape(3, -1)
+    return np.roll(letters, 2, 1)[first] * np.roll(letters, 1, 1)[second] * letters[third]
 
 
-def count_grams(texts: list[str]) -> np.ndarray:
-    """Counts of the trigrams of each text (row); words are separated by one boundary."""
-    joined = "\n".join(texts).lower() if all(len(t.lower()) == len(t) for t in texts) else "\n".join(texts)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(cp < 1 << 16, table("symbols")[np.minimum(cp, 65535)], 0).astype(np.int64)
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    of = np.repeat(np.arange(len(texts)), np.diff(at))[: len(s)] if len(texts) else np.zeros(0, np.int64)
+def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, packed trigram, count), by text and trigram; words are separated by one boundary."""
+    cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = _ASCII[np.minimum(cp, 127)].astype(np.uint64)
+    high = np.flatnonzero(cp > 127)
+    if len(high):
+        codes, at = np.unique(cp[high], return_inverse=True)
+        s[high] = np.array([letter_of(c) for c in codes.tolist()], np.uint64)[at]
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    of = np.repeat(np.arange(len(texts)), np.diff(begin))[: len(s)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (of[1:] != of[:-1])  # runs of other signs are one boundary
     s, of = s[keep], of[keep]
-    s = np.concatenate([[0], s, [0]])
-    of = np.concatenate([of[:1], of, of[-1:]])
+    s = np.concatenate([np.zeros(1, np.uint64), s, np.zeros(1, np.uint64)])
     mid = np.flatnonzero(s[1:-1] > 0) + 1
-    gram = (s[mid - 1] * SYMBOLS + s[mid]) * SYMBOLS + s[mid + 1]
-    return np.bincount(of[mid] * GRAMS + gram, minlength=len(texts) * GRAMS).reshape(len(texts), GRAMS)
+    gram, of = ((s[mid - 1] << _BITS | s[mid]) << _BITS) | s[mid + 1], of[mid - 1]
+    order = np.lexsort((gram, of))
+    gram, of = gram[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])) if len(gram) else np.zeros(0, np.int64)
+    return of[first], gram[first], np.diff(np.append(first, len(gram)))
+
+
+def bundle(texts: list[str], lot: int = 4096) -> np.ndarray:
+    """The texts' vectors (rows): whole numbers, exact in these floats up to 2^24 a coordinate."""
+    of, gram, count = count_grams(texts)
+    out = np.zeros((len(texts), DIM), np.float32)
+    grams, at = np.unique(gram, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    of, at, count = of[order], at[order], count[order]
+    ends = np.searchsorted(at, np.arange(lot, len(grams) + lot, lot))
+    i = 0
+    for k, j in enumerate(ends.tolist()):
+        c = np.zeros((len(texts), min(lot, len(grams) - k * lot)), np.float32)
+        c[of[i:j], at[i:j] - k * lot] = count[i:j]
+        out += c @ gram_vectors(grams[k * lot:k * lot + lot]).astype(np.float32)
+        i = j
+    return out
 
 
-def text_blocks(texts: list[str], most_texts: int = 128, most_chars: int = 1 << 20):
+def text_blocks(texts: list[str], most_texts: int = 128, most_chars: int = 1 << 19):
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -80,9 +111,9 @@ def text_blocks(texts: list[str], most_texts: int = 128, most_chars: int = 1 <<
         i = j
 
 
-def bundle(counts: np.ndarray) -> np.ndarray:
-    cols = np.flatnonzero(counts.any(0))
-    return counts[:, cols].astype(np.float32) @ table("vectors")[cols].astype(np.float32)
+def unit(h: np.ndarray) -> np.ndarray:
+    h = h.astype(np.float64)
+    return h / np.maximum(np.sqrt((h * h).sum(1, keepdims=True)), 1e-9)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 20_000) -> tuple[list[str], np.ndarray]:
@@ -93,29 +124,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         known = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
 
     def run(batches):
-        for batch in batches:
-            sums: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
+        for batch in sliced(batches):
             texts, langs = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             for i, j in text_blocks(texts):
-                c = count_grams(texts[i:j]).astype(np.float64)
-                c /= np.maximum(1, c.sum(1, keepdims=True))
+                whole = np.rint(unit(bundle(texts[i:j])) * 1e6).astype(np.int64)  # whole millionths add up alike in any order
                 for k in range(i, j):
-                    sums[langs[k]] = sums.get(langs[k], 0) + c[k - i]
-            for lang, c in sums.items():
-                g = np.flatnonzero(c)
-                # whole millionths add up alike in any order
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(np.rint(c[g] * 1e6).astype(np.int64))], names=["lang", "gram", "n"])
+                    sums[langs[k]] = sums.get(langs[k], 0) + whole[k - i]
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM), pa.int32()), pa.array(v)], names=["lang", "d", "n"])
 
-    rows = known.select("text", "lang").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.select("text", "lang").mapInArrow(run, "lang string, d int, n long").groupBy("lang", "d").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique().tolist())
     if not langs:
-        return [], np.zeros((0, DIM), np.float32)
-    c = np.zeros((len(langs), GRAMS))
-    c[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), rows["gram"].to_numpy(int)] = rows["n"]
-    p = bundle(c / c.sum(1, keepdims=True).clip(1e-9))
-    if len(langs) > 1:
-        p -= p.mean(0)
-    return langs, (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        return [], np.zeros((0, DIM))
+    p = np.zeros((len(langs), DIM))
+    p[rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), rows["d"].to_numpy(int)] = rows["n"]
+    p = unit(p)
+    return langs, unit(p - p.mean(0)) if len(langs) > 1 else p
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", *keep: Column) -> DataFrame:
@@ -125,20 +151,22 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
 
     def run(batches):
         p = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             pred, score = [], []
             for i, j in text_blocks(texts):
-                c = count_grams(texts[i:j])
-                h = bundle(c)
-                cos = (h @ p.T) / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-9)
-                for some, x in zip(c.any(1), cos, strict=True):
+                h = unit(bundle(texts[i:j]))
+                cos = np.stack([p @ x for x in h]) if len(langs) else np.zeros((j - i, 1))  # text by text: the same in any company
+                for some, x in zip(h.any(1), cos, strict=True):
                     ok = bool(some) and len(langs) > 0
                     k = int(np.argmax(x)) if ok else 0
                     pred.append(langs[k] if ok else UNKNOWN)
                     score.append(float(min(1.0, max(0.0, x[k]))) if ok else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
-
-    df = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes[:-1])
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*(f"c{k}" for k in range(batch.num_columns - 1)), "lang_pred", "score"])
+
+    kept = docs.select(*keep)
+    if {c.lower() for c in kept.columns} & {"lang_pred", "score"}:
+        raise ValueError("lang_pred and score are names of results")
+    plain = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))  # names of its own
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes[:-1])
+    return plain.mapInArrow(run, f"{schema}, lang_pred string, score double").toDF(*kept.columns, "lang_pred", "score")

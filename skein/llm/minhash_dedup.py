@@ -18,7 +18,7 @@ A pair at similarity 0.8 shares no band with a probability of (1 - 0.8^5)^40 = 1
 
 Defined results: null or empty texts, or texts without words: set size 0, linked with nothing, kept. Fewer words than a shingle:
 the whole sequence is the one shingle. Repeated rows with one id: each row is returned, all with that id's component; if their texts
-differ, the one of the smallest xxhash64 is compared. Null ids:
+differ, each of them is compared. Very long texts are compared whole. Empty tables give empty results. Null ids:
 kept as they are, component null, kept true, linked with nothing. Any other columns are not read.
 """
 
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, blocks_of, components, distinct, hash_words, mix, semi_join, shingles, small_rows, utf8, word_spans
+from .common import Forest, Scratch, blocks_of, components, distinct, hash_words, mix, semi_join, shingles, sliced, small_rows, utf8, word_spans
 
-BANDS, ROWS, BITS, BLOCK = 40, 5, 1024, 512
+BANDS, ROWS, BITS, BLOCK, WIDE = 40, 5, 1024, 512, 4096
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
 _SALT = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
@@ -81,7 +81,7 @@ _SKETCH = "id long, h long, n long, f1 long, f2 long, bands array<long>, sketch
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = utf8(batch.column(2).to_pylist())
             n, f1, f2, bands, sketch = [], [], [], [], []
             for one in shingle_sets(texts, k):
@@ -106,7 +106,7 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
     """id and the sorted 64-bit hashes of its shingles, as bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [s.tobytes() for s in shingle_sets(utf8(batch.column(1).to_pylist()), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
@@ -118,7 +118,7 @@ def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: fl
     percent = round(threshold * 1e6)
 
     def by_set(batches):
-        for batch in batches:
+        for batch in sliced(batches, 8 << 20):
             a = np.asarray(batch.column(0))
             left, right = batch.column(2), batch.column(3)
             size_b = np.diff(np.frombuffer(right.buffers()[1], np.int32)[right.offset:right.offset + len(right) + 1]) // 8
@@ -152,10 +152,51 @@ def verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: fl
     )
 
 
+def likely_pairs(rows: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """rows (key, id, c): a spanning forest (a, b) of each bucket's pairs of different c that sketch and size let pass, for each pair of blocks."""
+    percent, limit = round(threshold * 1e6), most_ones(threshold)
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"))
+    m = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    m = m.join(sketch.select("id", "n", "sketch"), "id")
+    # small buckets share a task's groups: one group for each of many slots, not for each bucket
+    m = m.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("b1", F.least("block", "u")).withColumn("b2", F.greatest("block", "u"))
+    m = m.withColumn("lot", F.when(F.col("blocks") == 1, F.shiftrightunsigned(F.xxhash64("key"), 48)).otherwise(F.xxhash64("key", "b1", "b2")))
+
+    def resolve(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        key, ids, c, n, block, b1, b2 = (np.asarray(t.column(x)) for x in ("key", "id", "c", "n", "block", "b1", "b2"))
+        sk = np.array(t.column("sketch").to_pylist(), np.int64).reshape(len(ids), -1).view(np.uint64)
+        order = np.lexsort((ids, b2, b1, key))
+        k1 = key[order], b1[order], b2[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in k1], axis=0), [True]]))
+        out: tuple[list, ...] = ([], [])
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            own = order[s:e]
+            same = b1[own[0]] == b2[own[0]]
+            rows_ = own if same else own[block[own] == b1[own[0]]]
+            cols = own if same else own[block[own] != b1[own[0]]]
+            place = {v: k for k, v in enumerate(own.tolist())}
+            forest = Forest(len(own))
+            for at in range(0, len(rows_), 64):
+                i = rows_[at:at + 64]
+                ok = (c[i][:, None] != c[cols][None, :]) & (np.minimum(n[i][:, None], n[cols][None, :]) * 1_000_000 >= np.maximum(n[i][:, None], n[cols][None, :]) * percent)
+                x, y = np.nonzero(ok)
+                x, y = i[x], cols[y]
+                z = np.zeros(len(x), np.int64)
+                for w in range(sk.shape[1]):
+                    z += np.bitwise_count(sk[x, w] ^ sk[y, w])
+                for a, b in zip(x[z <= limit].tolist(), y[z <= limit].tolist(), strict=True):
+                    if forest.union(place[a], place[b]):
+                        out[0].append(int(ids[a])), out[1].append(int(ids[b]))
+        return pa.table([pa.array(o, pa.int64()) for o in out], names=["a", "b"])
+
+    return m.groupBy("lot").applyInArrow(resolve, "a long, b long")
+
+
 def family_links(members: DataFrame, family: DataFrame, sketch: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members (id, c) of one family (id, component) and different components c: a spanning forest for each pair of blocks."""
     percent, limit = round(threshold * 1e6), most_ones(threshold)
-    m = members.join(family.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
+    m = members.join(family.withColumnRenamed("component", "family"), "id")
     size = m.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     m = m.join(size, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     m = m.join(sketch, "id").join(sets, "id")
@@ -206,22 +247,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links), kept (id = component)."""
     tmp = Scratch(spark)
     all_rows = tmp.write(sketches(docs, id_col, text_col, k))
-    sets = all_rows.where("n > 0 and id is not null")
-    classes = tmp.write(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))  # apart from the join, so that a hot class can be split
-    of = tmp.write(sets.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "rep"))
-    member = of.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    again = member.where("rep <> other").select("id", F.col("rep").alias("a"))  # an id with several texts
-    same_id = of.join(again, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    reps = of.where("id = rep").select("id").distinct()
-    sketch = tmp.write(sets.join(reps, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("n", "bands", "sketch"), "h").alias("x")).select("id", "x.*"))
+    rows = all_rows.where("n > 0 and id is not null")
+    # a node is an id; where an id comes with several texts, a node is one of these texts
+    several = tmp.write(rows.groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("id", F.lit(True).alias("many")))
+    plain = several.isEmpty()
+
+    def with_node(df: DataFrame) -> DataFrame:
+        if plain:
+            return df.withColumn("node", F.col("id"))
+        flag = F.broadcast(several) if small_rows(several) else several
+        return df.join(flag, "id", "left").withColumn("node", F.when(F.col("many"), F.xxhash64("id", "h")).otherwise(F.col("id"))).drop("many")
+
+    sets = with_node(rows)
+    classes = tmp.write(sets.groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")))  # apart from the join, so that a hot class can be split
+    of = tmp.write(sets.select("id", "node", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "node", "rep"))
+    reps = of.where("node = rep").select("node").distinct()
+    sketch = tmp.write(sets.join(reps, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.first(F.struct("n", "bands", "sketch")).alias("x")).select("id", "x.*"))
 
     keys = sketch.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("of")).where("c > 1")
     one_each = shared.groupBy("c", "of", "low").agg(F.min("key").alias("key"))  # many bands have the same bucket
     buckets = tmp.write(keys.join(one_each.select("key"), "key").select("key", "id"))
-    ids = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    texts = tmp.write(semi_join(texts, ids, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null")
+    texts = with_node(texts).select(F.col("node").alias("id"), "text")
+    texts = tmp.write(semi_join(texts, buckets.select("id").distinct(), "id").groupBy("id").agg(F.first("text").alias("text")))  # a node's texts are equal
     full = tmp.write(full_sets(texts, k))
     tmp.drop(texts)
 
@@ -239,19 +288,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     live = tmp.write(live.select("key", F.col("centre.id").alias("centre"), F.col("centre.c").alias("cc")))
     pairs = b.join(live, "key").where("id <> centre and c <> cc").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
     second = tmp.write(verified(pairs.join(first, ["a", "b"], "left_anti"), sketch, full, threshold))
-    links = same_id.unionByName(first).unionByName(second)
+    links = first.unionByName(second)
+    if not plain:  # the texts of one id belong together
+        own = of.join(several, "id").select("id", "rep").distinct()
+        low = own.groupBy("id").agg(F.min("rep").alias("a"))
+        links = links.unionByName(own.join(low, "id").where("rep <> a").select("a", F.col("rep").alias("b")))
     comp = tmp.write(components(links, tmp))
     # then what is still apart: buckets that hold several components besides their centre, which all others have met
     c = b.join(live.select("key", "centre"), "key").where("id <> centre").select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     apart = c.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("low")).where("c1 < c2").select("key", "low")
     rest = tmp.write(c.join(apart, "key"))
     if not rest.isEmpty():
-        family = components(rest.select(F.col("id").alias("a"), F.col("low").alias("b")), tmp)
-        links = links.unionByName(tmp.write(family_links(rest.select("id", "c").distinct(), family, sketch, full, threshold)))
+        likely = tmp.write(likely_pairs(rest.select("key", "id", "c"), sketch, threshold))
+        family = tmp.write(components(likely, tmp))
+        members = rest.select("id", "c").distinct().join(family.select("id"), "id", "left_semi")  # others have no likely partner
+        links = links.unionByName(tmp.write(family_links(members, family, sketch, full, threshold)))
         comp = tmp.write(components(links, tmp))
 
-    group = member.select("id", "rep")
-    group = group.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    group = of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id")).distinct()
+    if not plain:  # named by its smallest id, not by its smallest node
+        names = tmp.write(group.groupBy("component_id").agg(F.min("id").alias("name")))
+        group = group.join(names, "component_id").select("id", F.col("name").alias("component_id")).distinct()
     out = all_rows.select("id", "n").join(group, "id", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return tmp.finish(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
@@ -259,5 +316,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 def one_per_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without all but the first document of each group of near copies."""
-    gone = near_duplicates(spark, docs, id_col, text_col, k, threshold).where("not kept").select(F.col(id_col)).distinct()
-    return docs.join(F.broadcast(gone) if small_rows(gone) else gone, id_col, "left_anti")
+    gone = near_duplicates(spark, docs, id_col, text_col, k, threshold).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(F.broadcast(gone) if small_rows(gone) else gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -12,7 +12,8 @@ document. No document is taken more than ceil(most) times.
 Ranks come from one sort whose key ends in the document's id, so that a source with a third of all rows is spread over tasks.
 
 Defined results: null text: size 0. Null source: a source of its own, last. Null ids sort first within their size. Repeated
-rows: each is a document. Sources without words: target 0. Empty table: no rows. Other columns are not read.
+rows: each is a document. Sources without words: target 0. Empty table: no rows. mix() reads no other columns; mixed_documents() keeps them all,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
     """One row per row of docs: id_col, source, text_hash, size, source_size, target, copies, taken."""
     tmp = Scratch(spark)
-    sized = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = tmp.write(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))  # texts are read once
     r = ranked(tmp, sized, "source", ["size", id_col])
     t = targets(r.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "_s")
     r = r.join(t, r["source"].eqNullSafe(t["_s"])).drop("_s")
@@ -56,13 +57,11 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it. Rows that repeat a document share their copies."""
-    names = docs.columns
-    key = [id_col, "_s", "_h"]
-    m = mix(spark, docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col), F.col("source").alias("_s"), F.col("text_hash").alias("_h")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"))
-    m = Scratch(spark).write(m)
-    keyed = docs.withColumn("_s", F.col(source_col).cast("string")).withColumn("_h", F.xxhash64(text_col)).withColumnRenamed(id_col, "_id")
-    same = (F.col("d._id").eqNullSafe(F.col(f"m.`{id_col}`"))) & (F.col("d._h") == F.col("m._h")) & (F.col("d._s").eqNullSafe(F.col("m._s")))
-    cols = [F.col(f"d.`{'_id' if c == id_col else c}`").alias(c) for c in names]
-    once = keyed.alias("d").join(m.where("_m = 1 and _c > 0").alias("m"), same).select(*cols, F.col("m._c").alias("_c"))
-    again = keyed.alias("d").join(m.where("_m > 1 and _c > 0").alias("m"), same).select(*cols, F.col("m._c").alias("_c"), F.col("d._s").alias("_s"), F.col("d._h").alias("_h")).dropDuplicates(key).drop("_s", "_h")
-    return once.unionByName(again).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).drop("_c", "_k")
+    m = mix(spark, docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("i"), F.col("source").alias("s"), F.col("text_hash").alias("h")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    m = Scratch(spark).write(m).where("copies > 0")
+    # rows travel as one column, so that no name of theirs meets one of ours
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("i"), F.col(f"`{source_col}`").cast("string").alias("s"), F.xxhash64(text_col).alias("h"))
+    same = F.col("d.i").eqNullSafe(F.col("m.i")) & (F.col("d.h") == F.col("m.h")) & F.col("d.s").eqNullSafe(F.col("m.s"))
+    met = lambda some: d.alias("d").join(m.where(some).alias("m"), same).select("d.row", "d.i", "d.s", "d.h", "m.copies")
+    rows = met("rows = 1").unionByName(met("rows > 1").dropDuplicates(["i", "s", "h"]))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

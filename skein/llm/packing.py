@@ -9,7 +9,7 @@
 3. Pieces are ranked within their length (common.ranked, no window over a length), and each finds its run by binary search.
 
 Defined results: null text: as empty, one piece of the single id 0. Repeated rows: each is packed. Null ids stay null. Empty
-table: no rows. Special tokens' strings in a text are ordinary text. Other columns are not read.
+table: no rows. Special tokens' strings in a text are those tokens, as the tokenizer has it. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, ranked, sliced
 
 PATTERNS = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,8 +37,9 @@ class WordTokenizer:
 
     The tokenizer drops white space, lower-cases, splits letters from other signs and never merges across these bounds. So a text's ids are those
     of its white-space-separated words in a row, A-Z may be lower-cased before, and a comma or full stop after a letter is a token of its
-    own. Words of letters alone are encoded many at a time: each ends with a token that marks an end of word. Others are encoded with a
-    special token between them, whose id no ordinary text yields.
+    own. Words are encoded many at a time, on both sides of a separator: one that yields a known run of ids, which no other text yields. A lot
+    whose separators cannot all be told from its words is encoded word by word. Texts that hold a special token's string are encoded as they
+    are, since such a string may run across these bounds.
     """
 
     def __init__(self, path: str):
@@ -46,11 +47,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.joined = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.joined.token_to_id(self.mark)
-        vocabulary = self.joined.get_vocab()
+        vocabulary = self.plain.get_vocab()
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.mark = self.special[0] if self.special else None
+        self.mark_id = vocabulary.get(self.mark, -1)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.tail = {x: self.one(x) for x in ",."}
@@ -58,34 +58,38 @@ class WordTokenizer:
     def one(self, text: str) -> np.ndarray:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _lots(self, texts: list[str], between: str) -> np.ndarray:
-        step = 2000
-        lots = [between.join(texts[i:i + step]) + between for i in range(0, len(texts), step)]
-        got = [np.array(e.ids, np.uint32) for e in self.joined.encode_batch_fast(lots, add_special_tokens=False)]
-        return np.concatenate(got) if got else np.zeros(0, np.uint32)
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.one(w) for w in words]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64)
+
+    def _lots(self, words: list[str], letters: bool, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and how many each has. letters: words of ASCII letters, each of which ends with its first token
+        that marks an end of word; others stand between special tokens."""
+        lots = [words[i:i + step] for i in range(0, len(words), step)]
+        between = " " if letters else f" {self.mark} "
+        got = self.plain.encode_batch_fast([between.join(x) + between for x in lots], add_special_tokens=False) if letters or self.mark else [None] * len(lots)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for own, e in zip(lots, got, strict=True):
+            x = np.array(e.ids if e else [], np.uint32)
+            ends = np.flatnonzero(self.ends_word[x]) + 1 if letters else np.flatnonzero(x == self.mark_id)
+            if len(ends) != len(own):
+                x, size = self._each(own)
+            elif letters:
+                size = np.diff(ends, prepend=0)
+            else:
+                size = np.diff(ends - np.arange(len(ends)), prepend=0)
+                x = np.delete(x, ends)
+            ids.append(x), sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
 
     def cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words without white space in a row, and where each word's begin (one more at the end)."""
-        plain = [w.isalpha() and w.lower().isalpha() for w in words]
+        plain = [w.isascii() and w.isalpha() for w in words]
         order = sorted(range(len(words)), key=plain.__getitem__, reverse=True)
         n = sum(plain)
-        ids = self._lots([words[i] for i in order[:n]], " ")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        assert len(ends) == n
-        rest = [words[i] for i in order[n:]]
-        odd = [k for k, w in enumerate(rest) if "<|" in w]
-        texts = ["" if "<|" in w else w for w in rest]
-        more = self._lots(texts, f" {self.mark} ")
-        marks = np.flatnonzero(more == self.mark_id)
-        assert len(marks) == len(rest)
-        size = np.concatenate([np.diff(ends, prepend=0), np.diff(marks - np.arange(len(marks)), prepend=0)]).astype(np.int64)
-        ids = np.concatenate([ids, np.delete(more, marks)])
-        at = np.concatenate([[0], np.cumsum(size)])
-        if odd:
-            parts = [ids[at[k]:at[k + 1]] for k in range(len(words))]
-            for k in odd:
-                parts[n + k] = self.one(rest[k])
-            ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        a, size_a = self._lots([words[i] for i in order[:n]], True)
+        b, size_b = self._lots([words[i] for i in order[n:]], False)
+        ids, at = np.concatenate([a, b]), np.cumsum([0, *size_a, *size_b])
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         size = np.diff(at)[place]
@@ -93,11 +97,11 @@ class WordTokenizer:
         return ids[np.repeat(at[place] - begin[:-1], size) + np.arange(begin[-1])], begin
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words whose A-Z are lower-cased, with commas and full stops after letters set apart first."""
+        """The same for words whose A-Z are lower-cased, with commas and full stops after ASCII letters set apart first."""
         known: dict[str, int] = {}
         core, tail = np.empty(len(words), np.int64), np.zeros(len(words), np.int64)
         for k, w in enumerate(words):
-            if len(w) > 1 and w[-1] in ",." and w[-2].isalpha():
+            if len(w) > 1 and w[-1] in ",." and w[-2].isascii() and w[-2].isalpha():
                 tail[k] = 1 + (w[-1] == ".")
                 w = w[:-1]
             core[k] = known.setdefault(w, len(known))
@@ -114,7 +118,11 @@ class WordTokenizer:
 
     def texts(self, column: pa.Array):
         """The ids of each text, in order."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+        column = pc.fill_null(column, "")
+        whole = np.zeros(len(column), bool)
+        for t in self.special:
+            whole |= np.asarray(pc.match_substring(column, t, ignore_case=True))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(whole), "", column)))
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists  # may hold empty words at the ends
         first = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
@@ -131,7 +139,7 @@ class WordTokenizer:
             np.cumsum(count, out=at[1:])
             flat = ids[np.repeat(begin[w] - at[:-1], count) + np.arange(at[-1])] if at[-1] else np.zeros(0, np.uint32)
             for k in range(i, j):
-                yield flat[at[first[k] - first[i]]:at[first[k + 1] - first[i]]]
+                yield self.one(column[k].as_py()) if whole[k] else flat[at[first[k] - first[i]]:at[first[k + 1] - first[i]]]
             i = j
 
 
@@ -145,7 +153,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, most: in
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = WordTokenizer(tokenizer)
         t = _tokenizers[tokenizer]
-        for batch in batches:
+        for batch in sliced(batches, 8 << 20):  # more text at a time shares more words
             out: tuple[list, ...] = ([], [], [], [], [])
             zero = np.zeros(1, np.uint32)
             for doc, ids in zip(batch.column(0).to_pylist(), t.texts(batch.column(1)), strict=True):

@@ -22,8 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_ld_dropped").alias("lines_dropped"), F.length("text").alias("chars_kept"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    out = line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents"), count_col="lines_dropped")
+    return out.select("doc_id", "lines_dropped", F.length("text").alias("chars_kept"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(spark, _table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-SHARD_BYTES = 32 << 20
+#: Small enough that tables of a few MB split several times; a parameter of the operator.
+SHARD_BYTES = 256 << 10
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

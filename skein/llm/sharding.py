@@ -47,3 +47,10 @@ def shards(spark: SparkSession, docs: DataFrame, limit: int = 32 << 20, id_col:
         left = left.withColumn("cell", F.shiftright("h", BITS - fine)).join(leaf.select("cell"), "cell", "left_anti").drop("cell")
         top, fine = fine + 1, min(BITS, fine + 8)
     return done.withColumn("fits", F.col("shard_bytes") <= limit)
+
+
+def directory(sharded: DataFrame) -> DataFrame:
+    """The directory of shards(): one row a shard: depth, shard (the value of the first `depth` bits), first and last hash, docs, bytes, fits."""
+    out = sharded.select("depth", "shard", "shard_docs", "shard_bytes", "fits").distinct()
+    first = F.expr(f"shiftleft(shard, {BITS} - depth)")
+    return out.select("depth", "shard", first.alias("first_hash"), (first + F.expr(f"shiftleft(1L, {BITS} - depth)") - 1).alias("last_hash"), "shard_docs", "shard_bytes", "fits")

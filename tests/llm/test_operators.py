@@ -63,13 +63,42 @@ def test_language(spark, corpus):
     assert {r["lang_pred"] for r in language_id.predict(spark, d, none, "text", F.col("doc_id")).collect()} == {"und"}
 
 
-def test_language_counts_match_plain_loops():
-    text = "The cat's  Tür, 9 a"
-    c = language_id.count_grams([text, ""])
-    code = lambda ch: int(language_id.table("symbols")[ord(ch)])
-    s = [0] + [code(ch) for ch in re.sub(r"[^a-zü]+", " ", text.lower())] + [0]
-    want = Counter((s[i - 1] * 32 + s[i]) * 32 + s[i + 1] for i in range(1, len(s) - 1) if s[i])
-    assert {int(k): int(c[0][k]) for k in np.flatnonzero(c[0])} == dict(want) and not c[1].any()
+def test_language_vectors_match_plain_loops():
+    texts = ["The cat's  Tür, 9 a", "", "ÉCOLE İ école", "𐌰𐌱 Привет 你好", "?! 12"]
+    vector = lambda c: language_id.letter_vectors(np.array([c], np.uint64))[0].astype(int)
+    for text, got in zip(texts, language_id.bundle(texts), strict=True):
+        s = [0]
+        for ch in text:
+            c = ord(ch.lower()[0]) if ch.isalpha() else 0
+            if c or s[-1]:
+                s.append(c)
+        s += [0] * bool(s[-1])
+        want = np.zeros(language_id.DIM, int)
+        for k in (k for k in range(1, len(s) - 1) if s[k]):  # around each letter
+            want += np.roll(vector(s[k - 1]), 2) * np.roll(vector(s[k]), 1) * vector(s[k + 1])
+        assert (want == got).all(), text
+    assert set(np.unique(language_id.letter_vectors(np.arange(500)))) == {-1, 1}
+    near = language_id.letter_vectors(np.arange(1, 200)).astype(int)
+    assert np.abs(near @ near.T - language_id.DIM * np.eye(199)).max() < 200  # near orthogonal
+
+
+def test_language_ignores_company(spark):
+    odd = ["ÉCOLE ÉTÉ", "İİİ", "the end", "𐌰𐌱𐌲", None]
+    rows = [(i, t, "en", "s") for i, t in enumerate(odd)]
+    model = language_id.train(docs_of(spark, [(i, t, la, "s") for i, (t, la) in enumerate([("école été", "fr"), ("the ending", "en"), ("𐌰𐌱𐌲𐌳", "got")])]))
+    together = {r[0]: tuple(r) for r in language_id.predict(spark, docs_of(spark, rows, 1), model, "text", F.col("doc_id")).collect()}
+    alone = {}
+    for row in rows:
+        alone |= {r[0]: tuple(r) for r in language_id.predict(spark, docs_of(spark, [row], 1), model, "text", F.col("doc_id")).collect()}
+    assert together == alone and together[3][1] == "got" and together[0][1] == "fr" and together[4][1] == "und"
+
+
+def test_language_ties_and_names(spark):
+    d = docs_of(spark, [(1, "same words", "b", "s"), (2, "same words", "a", "s"), (None, "same words", None, None)])
+    model = language_id.train(d)
+    assert {r["lang_pred"] for r in language_id.predict(spark, d, model, "text", F.col("doc_id"), F.col("text"), F.col("text").alias("_text")).collect()} == {"a"}
+    with pytest.raises(ValueError):
+        language_id.predict(spark, d, model, "text", F.col("lang").alias("Score"))
 
 
 def test_language_training_bound(spark, corpus):
@@ -129,7 +158,6 @@ def test_packing(spark, corpus, tokenizer):
     rows = corpus + [(300, "It's 42 o'clock — naïve <|endoftext|> café… x", "en", "a"), (None, "nobody", None, None)]
     got = packing.pack(spark, docs_of(spark, rows), tokenizer).collect()
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     want = Counter()
     for i, text, *_ in rows:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -149,6 +177,31 @@ def test_packing(spark, corpus, tokenizer):
     assert packing.pack(spark, docs_of(spark, rows[:1]).where("false"), tokenizer).count() == 0
 
 
+@pytest.mark.parametrize("form", ["{0}", "A{0}B,{0} a.{0}", "ab{0}cd {0}x y{0}, z{0}. {0}"])
+def test_tokens_of_every_letter_and_mark(tokenizer, form):
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, fast = Tokenizer.from_file(tokenizer), packing.WordTokenizer(tokenizer)
+    every = [c for c in map(chr, range(0x20000)) if unicodedata.category(c)[0] in "LMNPSZ" and not 0x4E00 <= ord(c) < 0x9F00 and not 0xAC00 <= ord(c) < 0xD700]
+    for i in range(0, len(every), 4000):
+        texts = [form.format(c) for c in every[i:i + 4000]]
+        want = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [x.tolist() for x in fast.texts(pa.array(texts))]
+        assert got == want
+
+
+def test_tokens_do_not_depend_on_company(tokenizer):
+    import pyarrow as pa
+
+    fast = packing.WordTokenizer(tokenizer)
+    texts = ["one, two.", None, "", " \n", "x.y,z", "café, naïve.", "क़ख़", "<|endoftext|>", "one," * 50]
+    together = [x.tolist() for x in fast.texts(pa.array(texts))]
+    assert together == [next(iter(fast.texts(pa.array([t], pa.string())))).tolist() for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_every_piece_once(seed):
     r = np.random.default_rng(seed)
@@ -380,7 +433,35 @@ def test_near_duplicates_odd_rows(spark):
     assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == {(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, True): 1, (4, 4, True): 1, (5, 5, True): 1}
     assert minhash_dedup.near_duplicates(spark, docs_of(spark, rows).where("false")).count() == 0
     d = docs_of(spark, rows)
-    assert minhash_dedup.one_per_group(spark, d, k=4).columns == ["doc_id", *[c for c in d.columns if c != "doc_id"]]
+    assert minhash_dedup.one_per_group(spark, d, k=4).columns == d.columns
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    r = random.Random(11)
+    a, b = prose(r, 60).split(" "), prose(r, 60).split(" ")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(7, " ".join(a), None, None), (7, " ".join(b), None, None), (9, near(a), None, None), (3, near(b), None, None), (8, " ".join(b), None, None), (5, prose(r, 60), None, None)]
+    got = minhash_dedup.near_duplicates(spark, docs_of(spark, rows), k=4).collect()
+    assert Counter((x["doc_id"], x["component_id"]) for x in got) == {(7, 3): 2, (9, 3): 1, (3, 3): 1, (8, 3): 1, (5, 5): 1}
+
+
+def test_families_without_their_square(spark, monkeypatch):
+    """Many documents that share bands without being near, and some near ones that no centre meets, in small blocks."""
+    monkeypatch.setattr(minhash_dedup, "WIDE", 16)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    r = random.Random(12)
+    base = prose(r, 150).split(" ")
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(3, 9)):
+            w[r.randrange(len(w))] = f"e{r.random()}"
+        rows.append((i, " ".join(w), None, None))
+        if i % 3 == 0:
+            w[r.randrange(len(w))] = f"f{r.random()}"
+            rows.append((1000 + i, " ".join(w), None, None))
+    got = minhash_dedup.near_duplicates(spark, docs_of(spark, rows), k=4).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in got} == brute_near(rows, 4)
 
 
 def test_sketch_bound_holds():
