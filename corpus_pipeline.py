@@ -15,37 +15,58 @@ from skein.shipping import ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter have no language and go; lang becomes the one predicted from the text."""
+    """Documents without any letter have no language and go; lang becomes the one predicted from the text.
+
+    Null, empty and letterless texts go; repeated rows, null ids and languages, very long texts and columns of any other name stay. Ties: the
+    smaller language. Without any language in the table nothing can be predicted: every document with a letter stays as it is.
+    """
     ship_package(spark)
     model = language_id.train(docs)
     names = docs.columns
-    out = language_id.predict(spark, docs, model, "text", *[F.col(f"`{c}`") for c in names])
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = language_id.predict(spark, docs, model, "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     out = out.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in names])
+    return out.select(*[(F.col("lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in names])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go but for their first place; a document that loses all its lines was a copy and goes with them."""
+    """Repeated lines go but for their first place; a document that loses all its lines was a copy and goes with them.
+
+    Null and blank texts have no lines and stay. Rows that repeat a document stay alike. n_chars follows the text; all other columns, whatever
+    their names, stay. Order of documents: id (nulls first), then the text's hash, so there are no ties.
+    """
     ship_package(spark)
-    names = docs.columns
-    out = line_dedup.dedup_lines(spark, docs)
-    out = out.where((F.col("_ld_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out.select(*names)
+    names, count = docs.columns, "_dropped"
+    while count in {c.lower() for c in names}:
+        count += "_"
+    out = line_dedup.dedup_lines(spark, docs, count_col=count)
+    out = out.where((F.col(count) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays, the one of the smallest id: five-word shingles, similarity of 0.8 or more.
+
+    Null, empty and wordless texts, and null ids, are linked with nothing and stay, as do the rows that repeat the id that stays.
+    """
     ship_package(spark)
-    return minhash_dedup.one_per_group(spark, docs, k=5, threshold=0.8).select(*docs.columns)
+    return minhash_dedup.one_per_group(spark, docs, k=5, threshold=0.8).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(spark, docs).select(*docs.columns)
+    """Each document as often as the mix takes it, 0 to 2 times.
+
+    Null texts count 0 words; a null source is a source of its own, the last. Ties in size go by id. Rows that repeat a document share its copies.
+    """
+    return mixing.mixed_documents(spark, docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are one piece of the single id 0. Repeated rows are packed each. Other columns are not read.
+    """
     import public_tokenizers
 
     ship_package(spark)
