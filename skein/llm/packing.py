@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, ranked, sliced
 
 PATTERNS = 8192
+KNOWN_WORDS = 200_000  # of a worker; beyond, it begins anew
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # ---------------------------------------------------------------- tokens
 
 class WordTokenizer:
-    """Token ids of whole texts, each distinct word of a batch encoded once.
+    """Token ids of whole texts, each distinct word encoded once for as long as KNOWN_WORDS have room.
 
     The tokenizer drops white space, lower-cases, splits letters from other signs and never merges across these bounds. So a text's ids are those
     of its white-space-separated words in a row, A-Z may be lower-cased before, and a comma or full stop after a letter is a token of its
@@ -54,6 +55,24 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.tail = {x: self.one(x) for x in ",."}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.size, self.at = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The places of the words among those known."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        known = self.known
+        before = len(known)
+        out = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        if len(known) > before:
+            ids, begin = self.cores(list(known)[before:] if before else list(known))
+            self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, np.diff(begin)])
+            self.at = np.concatenate([[0], np.cumsum(self.size)])
+        return out
 
     def one(self, text: str) -> np.ndarray:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -98,15 +117,13 @@ class WordTokenizer:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words whose A-Z are lower-cased, with commas and full stops after ASCII letters set apart first."""
-        known: dict[str, int] = {}
-        core, tail = np.empty(len(words), np.int64), np.zeros(len(words), np.int64)
+        tail, cut = np.zeros(len(words), np.int64), list(words)
         for k, w in enumerate(words):
             if len(w) > 1 and w[-1] in ",." and w[-2].isascii() and w[-2].isalpha():
                 tail[k] = 1 + (w[-1] == ".")
-                w = w[:-1]
-            core[k] = known.setdefault(w, len(known))
-        ids, at = self.cores(list(known))
-        own = np.diff(at)[core]
+                cut[k] = w[:-1]
+        core = self.learn(cut)
+        ids, at, own = self.ids, self.at, self.size[core]
         extra = np.array([0, len(self.tail[","]), len(self.tail["."])])[tail]
         begin = np.concatenate([[0], np.cumsum(own + extra)])
         out = np.empty(begin[-1], np.uint32)
@@ -153,7 +170,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, most: in
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = WordTokenizer(tokenizer)
         t = _tokenizers[tokenizer]
-        for batch in sliced(batches, 8 << 20):  # more text at a time shares more words
+        for batch in sliced(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             zero = np.zeros(1, np.uint32)
             for doc, ids in zip(batch.column(0).to_pylist(), t.texts(batch.column(1)), strict=True):

@@ -7,8 +7,8 @@ A-Z lower-cased.
 2. The suffixes kept are those at minimisers: of every WINDOW consecutive K-word grams, the one of the smallest hash. K + WINDOW - 1 = 50, so
    two documents that share 50 words keep a suffix at the same word of the passage.
 3. Suffixes whose gram no other document keeps are dropped (counts, summed before the shuffle).
-4. Grams of up to GROUP rows: the suffixes carry the hashes of the words before and after, as many as a passage of `least` words around the
-   gram can need, and are sorted by gram; every pair of a gram is compared, and the matches extended left and right word by word.
+4. Grams of up to GROUP rows: the suffixes carry the 64-bit hashes of the words before and after, as many as a passage of `least` words around
+   the gram can need, and are sorted by gram; every pair of a gram is compared, and the matches extended left and right word by word.
    Grams of more rows: every 50-word window whose minimiser is such a gram is hashed; the least and greatest document of each hash are
    aggregated before the shuffle, and the windows that two documents hold are joined back. Each window has one minimiser, so none is
    left out, and a passage in a third of all documents is no group gathered in one task.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, blocks_of, hash_words, mix, semi_join, utf8, word_spans
+from .common import WORD, Scratch, blocks_of, hash_words, mix, semi_join, sliced, small_rows, utf8, word_spans
 
 LEAST, K, WINDOW, NEAR = 50, 20, 31, 4
 GROUP = NEAR + 1  # rows of a gram of which all pairs lie within NEAR rows
@@ -74,7 +74,7 @@ def _documents(texts: list[bytes]):
 
 def kept_suffixes(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [])
             for k, words in _documents(utf8(batch.column(1).to_pylist())):
@@ -96,8 +96,7 @@ def with_context(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("window", pa.int64())])
 
     def suffixes(doc, words, h, at):
-        short = (words >> np.uint64(48)).astype(np.uint16)
-        pad = np.concatenate([np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)])
+        pad = np.concatenate([np.zeros(SIDE, np.uint64), words, np.zeros(SIDE, np.uint64)])
         before = pad[at[:, None] + SIDE - 1 - np.arange(SIDE)]
         after = pad[at[:, None] + SIDE + K + np.arange(SIDE)]
         return h[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.minimum(at, SIDE).astype(np.int32), np.minimum(len(words) - K - at, SIDE).astype(np.int32), [x.tobytes() for x in before], [x.tobytes() for x in after]
@@ -106,7 +105,7 @@ def with_context(docs: DataFrame) -> DataFrame:
         return np.intersect1d(np.asarray(positions, np.int64), kept)  # a repeated id may bring another text's positions
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1 << 20):
             ids, few, many = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             wide: tuple[list, ...] = ([], [], [], [])
@@ -125,8 +124,10 @@ def with_context(docs: DataFrame) -> DataFrame:
                     for o, v in zip(wide, (h[own[s]].view(np.int64), np.full(len(s), ids[k], np.int64), s.astype(np.int32), window_hashes(h)[s].view(np.int64)), strict=True):
                         o.append(v)
             if out[0]:
-                n = len(out[5])
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out[:5]), pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+                first = [np.concatenate(o) for o in out[:5]]
+                for i in range(0, len(out[5]), 1 << 12):  # 500 bytes a row
+                    j = slice(i, i + (1 << 12))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(o[j]) for o in first), pa.array(out[5][j], pa.binary()), pa.array(out[6][j], pa.binary()), pa.nulls(len(out[5][j]), pa.int64())], schema=schema)
             if wide[0]:
                 gram, doc, pos, window = (np.concatenate(o) for o in wide)
                 for i in range(0, len(gram), 1 << 16):
@@ -141,7 +142,7 @@ class _Rows:
     def __init__(self, batch):
         self.batch = batch
         self.gram, self.doc, self.pos, self.nb, self.na = (np.asarray(batch.column(c)) for c in range(5))
-        read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SIDE)
+        read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIDE)
         self.before, self.after = read(5), read(6)
 
 
@@ -172,9 +173,7 @@ _SPAN = "doc long, start int, end int, other long"
 def neighbours(batches):
     """Suffixes of a partition, sorted by gram, none split between partitions: each one's matches as one span, all hold its gram."""
     carry = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in sliced(batches):
         table = pa.Table.from_batches([carry, batch] if carry is not None else [batch]).combine_chunks()
         batch = table.to_batches()[0]
         r = _Rows(batch)
@@ -191,7 +190,7 @@ def neighbours(batches):
 
 
 def merge_spans(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         out: tuple[list, ...] = ([], [], [], [])
         for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             now = None
@@ -213,10 +212,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     tmp = Scratch(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     named = base.select("doc", F.md5(F.col("text").cast("binary")).alias("h"))
-    groups = named.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
+    groups = tmp.write(named.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high"))  # apart from the join, so that a hot text can be split
     copies = tmp.write(named.join(groups, "h").select("doc", "low", "high").distinct())
     again = copies.where("doc <> low").select("doc").distinct()
-    single = base.join(F.broadcast(again) if again.limit(500_001).count() <= 500_000 else again, "doc", "left_anti")
+    single = base.join(F.broadcast(again) if small_rows(again) else again, "doc", "left_anti")
 
     sparse = tmp.write(kept_suffixes(single))
     shared = sparse.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low <> high").select("gram", (F.col("n") > GROUP).alias("hot"))
