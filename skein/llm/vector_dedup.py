@@ -1,17 +1,21 @@
 """Near-duplicate vectors within a label: PCA-ordered tiled comparison with suffix-norm bounds.
 
-Equal vectors of a label are one class first, so copies are never compared with each other. A label's classes are spread over tiles of
-about TILE by a hash; every pair of tiles of a label is one task-sized group, so a hot label is many groups. In a group the
-unit vectors are rotated to principal axes and their products summed a slice of dimensions at a time, leading ones first. After each
-slice, what is missing is at most the product of the norms of the remaining coordinates (Cauchy-Schwarz); a group stops when no pair
-can reach the threshold, and pairs that can are decided by the cosine of the unrotated vectors in double precision. A group returns
-sums of links and a spanning forest of its links, never the links themselves; components follow by star contraction.
+1. Equal vectors of a label are one class first, so copies are never compared with each other.
+2. Unit vectors are rotated to principal axes. Two of them at the threshold t or above lie within w = sqrt(2 - 2t) of each other, so on every axis
+   too: the leading GRID axes are cut into cells w wide, and only neighbouring cells can hold links. Within a cell vectors are ranked on the
+   next axes and dealt to tiles of about TILE; a hot label, or a hot cell, is many tiles.
+3. Tiles of neighbouring cells are paired unless their boxes on the LEAD leading axes, with the largest norms of the rest, show that no cosine
+   between them reaches the threshold. This is settled on one row for each tile, before any vector is shipped.
+4. In a pair of tiles, products are summed a slice of dimensions at a time, leading ones first. After each slice, what is missing is at most the
+   product of the norms of the remaining coordinates (Cauchy-Schwarz); a pair of tiles stops when no pair can reach the threshold, and
+   pairs that can are decided by the cosine of the unrotated vectors in double precision. It returns sums of links and a spanning forest
+   of its links, never the links themselves; components follow by star contraction.
 
 The axes only order the work: they come from at most SAMPLE vectors (chosen by a hash) and do not change results.
 
 Defined results: null labels, null, zero or empty vectors, and those with null or non-finite components link with nothing. Vectors of other
 lengths never link. Repeated rows are vectors of their own. A row that repeats an id shares its component. Null ids link with nothing.
-Other columns are not read.
+Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components
+from .common import Forest, Scratch, components, ranked, sliced, small_rows
 
-TILE, SLICE, SAMPLE = 1024, 16, 20_000
+TILE, SLICE, SAMPLE, GRID, LEAD = 1024, 16, 20_000, 3, 8
 
 
 def usable(vec: str):
@@ -77,6 +81,49 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray | None, thre
     return i[keep], j[keep]
 
 
+def in_cells(classes: DataFrame, rotation, threshold: float) -> DataFrame:
+    """classes with dim, cell, its coordinates g0.., the leading coordinates l0.., the norm of the rest, and a key of (label, dim, cell)."""
+    width = max(1e-3, np.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-12)
+
+    def run(batches):
+        for batch in sliced(batches):
+            vec = batch.column("vec")
+            values, length = np.asarray(vec.flatten()), np.asarray(vec.value_lengths(), np.int64)
+            start = np.cumsum(length) - length
+            lead = np.zeros((batch.num_rows, LEAD))
+            rest = np.zeros(batch.num_rows)
+            for d in np.unique(length).tolist():
+                own = np.flatnonzero(length == d)
+                u = unit(values[start[own][:, None] + np.arange(d)])
+                u = u @ rotation.value[d] if d in rotation.value else u
+                lead[own, :min(d, LEAD)] = u[:, :LEAD]
+                rest[own] = np.sqrt((u[:, LEAD:] * u[:, LEAD:]).sum(1)) + 1e-9
+            g = np.floor(lead[:, :GRID] / width).astype(np.int32)
+            cols = [*batch.columns, pa.array(length.astype(np.int32)), *(pa.array(g[:, k]) for k in range(GRID)), *(pa.array(lead[:, k]) for k in range(LEAD)), pa.array(rest)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "dim", *(f"g{k}" for k in range(GRID)), *(f"l{k}" for k in range(LEAD)), "rest"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in classes.dtypes)
+    out = classes.mapInArrow(run, f"{schema}, dim int, {', '.join(f'g{k} int' for k in range(GRID))}, {', '.join(f'l{k} double' for k in range(LEAD))}, rest double")
+    out = out.withColumn("cell", F.concat_ws(",", *(f"g{k}" for k in range(GRID))))
+    return out.withColumn("group", F.xxhash64("label", "dim", "cell"))
+
+
+def tile_pairs(placed: DataFrame, threshold: float) -> DataFrame:
+    """label, dim, t1, t2 (t1 <= t2): the pairs of tiles that may hold a link."""
+    lead = [f"l{k}" for k in range(LEAD)]
+    box = [f(c).alias(f"{c}_{n}") for c in lead for f, n in ((F.min, "low"), (F.max, "high"))]
+    cells = [f"g{k}" for k in range(GRID)]
+    tiles = placed.groupBy("label", "dim", "tile", *cells).agg(*box, F.max("rest").alias("rest"))
+    near = tiles
+    for c in cells:
+        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    a, b = near.alias("a"), tiles.alias("b")
+    both = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", *cells)]).where("a.tile <= b.tile")
+    ends = lambda c: [F.col(f"a.{c}_{x}") * F.col(f"b.{c}_{y}") for x in ("low", "high") for y in ("low", "high")]
+    bound = sum((F.greatest(*ends(c)) for c in lead), F.col("a.rest") * F.col("b.rest"))
+    return both.where(bound >= threshold - 1e-7).select("a.label", "a.dim", F.col("a.tile").alias("t1"), F.col("b.tile").alias("t2"))
+
+
 def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
     """One row per row: id_col, n_links, component_id, kept."""
     tmp = Scratch(spark)
@@ -85,15 +132,17 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
     classes = tmp.write(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("uid", F.xxhash64("label", "vec")))
     rotation = spark.sparkContext.broadcast(axes(classes))  # a square of the vectors' length
 
-    tiles = classes.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    spread = classes.join(tiles, "label").withColumn("tile", F.pmod("uid", "tiles").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u")
-    spread = spread.select("label", "vec", "rep", "copies", "uid", "tile", other).withColumn("t1", F.least("tile", "u")).withColumn("t2", F.greatest("tile", "u")).drop("u")
+    placed = tmp.write(in_cells(classes, rotation, threshold))
+    placed = ranked(tmp, placed, "group", ["l3", "l4", "l5", "uid"])
+    placed = tmp.write(placed.withColumn("tile", F.concat_ws(":", "cell", F.floor((F.col("rank") - 1) / TILE))).drop("rank", "group"))
+    pairs = tmp.write(tile_pairs(placed, threshold))
+    to = pairs.select("label", "dim", "t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("tile"))
+    spread = placed.select("label", "dim", "tile", "vec", "rep", "copies", "uid").join(F.broadcast(to) if small_rows(to, 100_000) else to, ["label", "dim", "tile"])
 
     def compare(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         tile, rep, uid, copies = (np.asarray(t.column(c)) for c in ("tile", "rep", "uid", "copies"))
-        low = int(t.column("t1")[0].as_py())
+        low = t.column("t1")[0].as_py()
         vec = t.column("vec").chunk(0) if isinstance(t.column("vec"), pa.ChunkedArray) else t.column("vec")
         length = np.diff(np.asarray(vec.offsets))
         out: tuple[list, ...] = ([], [], [], [], [])
@@ -101,7 +150,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
             own = np.flatnonzero(length == d)
             x = np.stack([vec[int(k)].values.to_numpy(zero_copy_only=False) for k in own])
             one = tile[own] == low
-            same = int(t.column("t2")[0].as_py()) == low
+            same = t.column("t2")[0].as_py() == low
             a, b = own[one], own[one] if same else own[~one]
             if not len(a) or not len(b):
                 continue
@@ -118,7 +167,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
             out[3].extend(rep[a[i[tree]]].tolist()), out[4].extend(rep[b[j[tree]]].tolist())
         return pa.table([pa.array(o, pa.int64()) for o in out], names=["uid", "rep", "n", "a", "b"])
 
-    found = tmp.write(spread.groupBy("label", "t1", "t2").applyInArrow(compare, "uid long, rep long, n long, a long, b long"))
+    found = tmp.write(spread.groupBy("label", "dim", "t1", "t2").applyInArrow(compare, "uid long, rep long, n long, a long, b long"))
     counts = found.where("uid is not null").groupBy("uid", "rep").agg(F.sum("n").alias("n"))
     classes2 = classes.join(counts, ["uid", "rep"], "left").select("label", "vec", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of = tmp.write(all_rows.join(classes2, ["label", "vec"], "left").select("id", "rep", "n_links"))

@@ -277,6 +277,25 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(spark, frame(spark, rows[:1]).where("false")).count() == 0
 
 
+def test_tiles_of_cells(spark, monkeypatch):
+    """Small tiles: every link is found, and most pairs of tiles go before their vectors are shipped."""
+    monkeypatch.setattr(vector_dedup, "TILE", 8)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(40, 12)) * np.exp(-np.arange(12) / 3)
+    rows = [(i, [float(x) for x in base[i % 40] + r.normal(size=12) * 0.08], i % 2) for i in range(400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    x = np.array([v for _, v, _ in rows])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    hit = (x @ x.T >= 0.93) & (np.arange(400)[:, None] % 2 == np.arange(400) % 2) & ~np.eye(400, dtype=bool)
+    got = {y["vec_id"]: y["n_links"] for y in vector_dedup.near_vectors(spark, d, threshold=0.93).collect()}
+    assert got == dict(enumerate(hit.sum(1).tolist()))
+    good_rows = d.select(F.col("label"), F.col("embedding").alias("vec"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.xxhash64("vec_id").alias("uid"))
+    sent = spark.sparkContext.broadcast({12: np.linalg.eigh(x.T @ x)[1][:, ::-1]})
+    placed = vector_dedup.in_cells(good_rows, sent, 0.93).withColumn("tile", F.concat_ws(":", "cell", F.lit(0)))
+    tiles = placed.select("label", "tile").distinct().groupBy("label").count().collect()
+    assert vector_dedup.tile_pairs(placed, 0.93).count() < 0.6 * sum(t["count"] * (t["count"] + 1) / 2 for t in tiles)
+
+
 @pytest.mark.parametrize("n", [1, 3, 40])
 def test_tiles_find_all_links(n):
     r = np.random.default_rng(n)
@@ -315,9 +334,30 @@ def test_top_k_of_repeated_queries(spark):
     assert {tuple(x) for x in got} == want and len(got) == len(want)
 
 
-def test_large_products_are_exact():
-    q, c = np.array([[1 << 40, 3]]), np.array([[1 << 40, 5], [1, 1]])
-    assert [int(x) for x in sum(exact_topk._partials(q, c))[0]] == [(1 << 80) + 15, (1 << 40) + 3]
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e12, 3.0], 1), (20, [1e300, 1.0], 1), (1, [1e12, 5.0], 1), (2, [1.0, 1.0], 1), (3, [-1e12, 0.0], 1), (4, [1e308, 1.0], 1), (5, [2.0**30, 1.0], 1)]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in exact_topk.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0, k=20).collect()}
+    held = lambda v: max(-(1 << 63), min((1 << 63) - 1, v))
+    ints = {i: [int(64 * x // 1) for x in v] for i, v, _ in rows if i != 4}  # 4 leaves the range of doubles when scaled
+    assert got == {(q, i): held(ints[q][0] * ints[i][0] + ints[q][1] * ints[i][1]) for q in (0, 20) for i in ints if i != q}
+
+
+@pytest.mark.parametrize("skew", [0.0, 1.5])
+def test_cutoffs_save_products_and_lose_nothing(skew):
+    r = np.random.default_rng(4)
+    scale = np.exp(-skew * np.arange(32) / 8)
+    c = np.floor(r.normal(size=(3000, 32)) * scale * 64 * np.exp(r.normal(size=(3000, 1)) * skew))
+    q, cid, qid = c[:40], np.arange(3000), np.arange(40)
+    full = (q @ c.T).astype(np.int64)
+    np.fill_diagonal(full[:, :40], np.iinfo(np.int64).min)
+    cut = np.sort(full, 1)[:, -20]
+    i, j, s = exact_topk.leading(qid, q, cid, c, 20)
+    for x in range(40):
+        assert np.sort(s[i == x])[-20] <= cut[x] and (full[x, j[i == x]] == s[i == x]).all()
+    work = [0]
+    i, j, s = exact_topk.sufficient(qid, q, cut, cid, c, work)
+    assert {(a, b, v) for a, b, v in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)} == {(a, b, full[a, b]) for a, b in zip(*np.nonzero(full >= cut[:, None]), strict=True)}
+    assert work[0] < q.size * len(c) * (1.0 if not skew else 0.4)
 
 
 # ------------------------------------------------------------------ 5
@@ -500,6 +540,78 @@ def test_toxicity(spark):
     assert toxicity.score(spark, d.where("false"), model, "text", F.col("doc_id")).count() == 0
 
 
+def small_net(seed=1):
+    net, r = toxicity.Net(seed), np.random.default_rng(seed)
+    net.e = r.normal(0, 0.5, (toxicity.HASHES, toxicity.BUCKETS, toxicity.EMBED))
+    net.w, net.v, net.c = [w.astype(float) for w in net.w], net.v.astype(float), np.array([0.1])
+    return net
+
+
+def test_convolution_matches_plain_loops():
+    texts = [b"one two three four", b"", b"x", b"the cat, the dog"]
+    ids, begin = toxicity.word_ids(texts)
+    net = small_net()
+    got, places = net.maxima(ids, begin, where=True)
+    fast = toxicity.Net.__new__(toxicity.Net)
+    fast.e, fast.w, fast.v, fast.c = net.e, net.w, net.v, net.c
+    fast.prepare()
+    assert np.allclose(fast.maxima(ids, begin)[0], got)
+    for t in range(len(texts)):
+        own = [sum(net.e[q][ids[i, q]] for q in range(toxicity.HASHES)) for i in range(begin[t], begin[t + 1])]
+        col = 0
+        for w in net.w:
+            for f in range(toxicity.FILTERS):
+                values = [sum(own[i + j] @ w[j][:, f] for j in range(len(w))) if i + len(w) <= len(own) else 0.0 for i in range(len(own))]
+                assert got[t, col] == pytest.approx(max(values)) and values[places[t, col] - begin[t]] == pytest.approx(max(values))
+                col += 1
+    want = [1 / (1 + math.exp(-(sum(max(0.0, x) * v for x, v in zip(row, net.v, strict=True)) + 0.1))) for row in got]
+    assert np.allclose(net.score(ids, begin), want)
+
+
+def test_gradients_match_differences():
+    texts, y = [b"one two three four", b"x y", b"the cat, the dog", b"one cat"], np.array([1.0, 0.0, 1.0, 0.0])
+    ids, begin = toxicity.word_ids(texts)
+    net = small_net()
+
+    def loss():
+        p = net.score(ids, begin)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    rows, pulls, dense = toxicity.gradients(net, ids, begin, y)
+    r, eps = np.random.default_rng(0), 1e-6
+
+    def slope(a, at):
+        old = a[at]
+        a[at] = old + eps
+        up = loss()
+        a[at] = old - eps
+        down = loss()
+        a[at] = old
+        return (up - down) / (2 * eps)
+
+    for a, g in zip([*net.w, net.v, net.c], dense, strict=True):
+        for _ in range(6):
+            at = tuple(r.integers(0, n) for n in a.shape)
+            assert slope(a, at) == pytest.approx(g[at], abs=1e-6)
+    for q in range(toxicity.HASHES):
+        for bucket in r.choice(np.unique(ids[:, q]), 4):
+            want = pulls[rows[:, q] == bucket].sum(0)
+            d = int(r.integers(0, toxicity.EMBED))
+            assert slope(net.e[q], (bucket, d)) == pytest.approx(want[d], abs=1e-6)
+
+
+def test_toxicity_is_the_same_however_rows_come(spark):
+    r = random.Random(3)
+    rows = [(i % 80, prose(r, 12) + (" clown" if i % 4 == 0 else ""), "en", "s") for i in range(160)]  # ids with two texts
+    la = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    models = [toxicity.train(docs_of(spark, x, p), la)[0] for x, p in ((rows, 1), (rows[::-1], 4))]
+    assert all((a == b).all() for a, b in zip(models[0].w, models[1].w, strict=True))
+    few = toxicity.train(docs_of(spark, rows), la, max_bytes=2000)
+    assert few is not None
+    with pytest.raises(ValueError):
+        toxicity.score(spark, docs_of(spark, rows), models[0], "text", F.col("n_chars").alias("score"))
+
+
 # ------------------------------------------------------------------ 9
 
 def test_passages(spark, corpus):
