@@ -1,0 +1,82 @@
+"""Leftovers of pages and e-books."""
+
+import pytest
+
+from skein.operators.cleanup import capped, clean_epub, clean_pages, without_styles
+
+LONG = "A" * 15 + " " + "B" * 60
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("we read the\n\n17\n\npage again", "we read the page again"),
+    ("one thing,\n\n8\n\nthen more and\n\n9\n\nyet more", "one thing, then more and yet more"),
+    ("in view of\n\n212 Jane Q. Writer\n\nwhat follows", "in view of what follows"),
+    ("in view of\n\n12 Part Two: On Rivers\n\nwhat follows", "in view of what follows"),
+    ("the old\n\nOn Rivers\n\nmill stood", "the old mill stood"),
+    ("the old\n\nThis stands by itself.\n\nmill stood", "the old\n\nThis stands by itself.\n\nmill stood"),
+    (f"the old\n\n{LONG}\n\nmill", f"the old\n\n{LONG}\n\nmill"),
+    ("we saw\n\nPage 3\n\nnothing", "we saw nothing"),
+    ("we saw\n\np. 31\n\nnothing", "we saw nothing"),
+    ("we saw\n\npage 3\n\nnothing", "we saw nothing"),
+    ("first among\n\nxiv FOREWORD\n\nthem all", "first among them all"),
+    ("first among\n\nXIV LIST OF PLATES\n\nthem all", "first among them all"),
+    ("It ends here.\n\n45\n\nOn Rivers\n\nNext it begins", "It ends here.\n\nNext it begins"),
+    ("It ends here.\n\n45\n\nNext it begins.", "It ends here.\n\n45\n\nNext it begins."),
+    ("a   b\n\n\n\n\nc  \nd", "a b\n\n\nc\nd"),
+    ("x.\n\nTHE RIVER\n\ny", "x.\n\n## THE RIVER\n\ny"),
+    ("x.\n\n**RIVERS**\n\ny", "x.\n\n## RIVERS\n\ny"),
+    ("x.\n\nNOTES\n\ny", "x.\n\nNOTES\n\ny"),
+    ("x.\n\nFOUR\n\ny", "x.\n\nFOUR\n\ny"),
+    ("THEOLDMILLUPONTHERIVER\nreal text", "real text"),
+    ("**THEOLDMILLUPONTHERIVER**\nreal text", "real text"),
+    ("@page { margin: 5pt }\nreal { a: 1.50pt; } text {kept}", "real text {kept}"),
+    ("# One\n\nSome text.\n\n1. a\n2. b", "# One\n\nSome text.\n\n1. a\n2. b"),
+    ("", ""),
+])
+def test_pages(text, want):
+    assert clean_pages(text) == want
+    assert clean_pages(want) == want  # nothing is left to do
+
+
+def test_pages_options():
+    assert clean_pages("x.\n\nTHE RIVER\n\ny", headings=False) == "x.\n\nTHE RIVER\n\ny"
+    assert clean_pages("he went\n\n5 any line here.\n\non", aggressive=True) == "he went on"
+    assert clean_pages("he went\n\nAny line up to eighty signs, and it may end so.\n\non", aggressive=True) == "he went on"
+    assert clean_pages("a\n\n\n\nb  \nc", aggressive=True) == "a\n\nb\nc"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Cover\n\nText of it", "Text of it"),
+    ("a\n\nRivers - Writer-0002\n\nb", "a\n\n\nb"),
+    ("a\n\nBy Writer, J.Q.\n\nb", "a\n\n\nb"),
+    ("Rivers\nRivers\nRivers\nit begins", "it begins"),
+    ("a\n\n@font-face {x: y} b {m: 1.5pt} c {d}", "a\n\n b  c {d}"),
+    ("a **THEOLDMILLUPONTHERIVER** b", "a  b"),
+    ("a\n\nCHAPTER ONE\n\nb", "a\n\n## CHAPTER ONE\n\nb"),
+    ("a\n\nChapter 12\n\nb", "a\n\n## Chapter 12\n\nb"),
+    ("a\n\n7\n\nb", "a\n\n## 7\n\nb"),
+    ("a\n\n# Unknown\n\nb", "a\n\n\nb"),
+    ("a [next](ch2.xhtml#x) b", "a  b"),
+    ("a [here](file:///tmp/x) b [web](https://example.com)", "a here b [web](https://example.com)"),
+    ("a\n\n## Table of Contents\n\nb", "a\n\n\nb"),
+    ("a\n\n# ch_01-a.xhtml\n\nb", "a\n\n\nb"),
+    ("All rights reserved\n\n# Chapter 1\n\nIt begins", "# Chapter 1\n\nIt begins"),
+    ("Hello\n\n# Chapter 1\n\nIt begins", "Hello\n\n# Chapter 1\n\nIt begins"),
+    ("Dedication\n\n" + "for all of them, " * 10 + "\n\n## 1\n\nIt begins", "## 1\n\nIt begins"),
+    ("a\n\n# Rivers\n\n**Rivers**\n\nit begins", "a\n\n# Rivers\n\n\nit begins"),
+    ("a\n\n## Publisher's Note\n\nsaid here\n\nb", "a\n\n\nb"),
+    ("a\n---\nb\n\n---\n\nc", "a\nb\n\n---\n\nc"),
+    ("x\n\n\n\n\n\ny", "x\n\n\ny"),
+    ("", ""),
+])
+def test_epub(text, want):
+    assert clean_epub(text) == want
+
+
+def test_epub_title_run():
+    assert clean_epub("Rivers\n\n" * 6 + "By Some One\n\nIt begins").startswith("By Some One")
+
+
+def test_helpers():
+    assert capped("\n\n\na\n\n\n\nb\n", 3, 2) == "\n\na\n\nb\n" and capped("", 3, 2) == "" and capped("a", 3, 2) == "a"
+    assert without_styles("{", ["@page"], True) == "{" and without_styles("a {b} c", ["@page"], True) == "a {b} c"
