@@ -34,6 +34,20 @@ ELEMENTS = {
     "italic": r"\*[^*]+?\*",
 }
 
+STAMP, STAMPED_WORD, SPEAKER_MARK, SOME_STAMPS, MANY_STAMPS = r"\[?\d{1,2}:\d{2}(?::\d{2})?\]?", r"\[\d{1,2}:\d{2}\]\s+\w+", "[[", 5, 20
+MARKDOWN_SIGNS = ((r"(?m)^#{1,6}\s+",), (r"(?m)^[*+-]\s+", r"(?m)^\d+\.\s+"), (r"\*\*.+\*\*", "__.+__"), (r"\[.+\]\(.+\)",))
+CODE_SIGNS = ((r"```[\s\S]*```", r"(?m)^    "), (r"function\s+\w+|class\s+\w+|const\s+\w+|import\s+",), (r"[{}\[\]()<>]",))
+DIRT = (r"\n{4,}", r"\n\n\d{1,4}\n\n", r"@page\s*\{|margin.*:\s*\d+pt|\.pt\s*;", r"(?m)\*\*[A-Z]{20,}\*\*|^[A-Z]{20,}$")
+SHORT_LINE, SHORT_SHARE = 40, 0.3
+TIDY = (("[“”]", '"'), ("[‘’]", "'"), ("–", "-"), ("—", "--"), ("…", "..."), (r"\n{3,}", "\n\n"), (" {2,}", " "), (r"(?m)^[ \t]+|[ \t]+$", ""))
+UNSAFE_HTML = (
+    (r"(?is)<script\b.*?</script>", ""),
+    (r"""(?i)\s*on\w+\s*=\s*["'][^"']*["']""", ""),
+    (r"(?i)\s*on\w+\s*=\s*[^\s>]*", ""),
+    (r"""(?i)href\s*=\s*["']javascript:[^"']*["']""", 'href="#"'),
+    (r"""(?i)src\s*=\s*["']data:[^"']*["']""", 'src=""'),
+)
+
 _SPACE = r"[ \t\n\r\f\x0B]+"
 
 
@@ -61,30 +75,37 @@ def context_words(text: Column, start: Column, end: Column, n: int = 5) -> tuple
     return F.array_join(F.slice(before, F.greatest(size - n + 1, F.lit(1)), n), " "), F.array_join(F.slice(after, 1, n), " ")
 
 
-def regex_metadata(text: Column) -> dict[str, Column]:
-    """Summary, themes, importance and polarity from patterns alone."""
-    first = F.regexp_extract(text, r"^[^.!?]+[.!?]", 0)
-    capital = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?![A-Za-z0-9_])"), F.lit(0)))
-    themes = F.transform(F.slice(capital, 1, 5), F.lower)
-    hits = lambda lexicon: F.regexp_count(text, F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(lexicon)})(?![A-Za-z0-9_])"))
-    polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (hits(POSITIVE) - hits(NEGATIVE)) / 10))
-    return {
-        "summary": F.substring(F.when(first != "", first).otherwise(text), 1, 200),
-        "themes": F.when(F.size(themes) > 0, themes).otherwise(F.array(F.lit("general"))),
-        "importance": F.least(F.lit(1.0), F.size(F.split(text, _SPACE)) / 500),
+def regex_metadata(df, text: str):
+    """df with summary, themes, importance, polarity, primary_emotion and intensity of a text column, from patterns alone.
+
+    What several of them need is computed once, in a step of its own: arrays and counts, not the text's patterns again.
+    """
+    t = F.col(text)
+    hits = lambda lexicon: F.regexp_count(t, F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(lexicon)})(?![A-Za-z0-9_])"))
+    capital = F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?![A-Za-z0-9_])"), F.lit(0))
+    once = df.withColumns({"_first": F.regexp_extract(t, r"^[^.!?]+[.!?]", 0), "_names": F.slice(F.array_distinct(capital), 1, 5), "_score": (hits(POSITIVE) - hits(NEGATIVE)) / 10, "_words": F.size(F.split(t, _SPACE))})
+    first, polarity = F.col("_first"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_score")))
+    return once.withColumns({
+        "summary": F.substring(F.when(first != "", first).otherwise(t), 1, 200),
+        "themes": F.when(F.size("_names") > 0, F.transform("_names", F.lower)).otherwise(F.array(F.lit("general"))),
+        "importance": F.least(F.lit(1.0), F.col("_words") / 500),
         "polarity": polarity,
         "primary_emotion": F.when(polarity > 0, "positive").when(polarity < 0, "negative").otherwise("neutral"),
         "intensity": F.abs(polarity),
-    }
+    }).drop("_first", "_names", "_score", "_words")
+
+
+def share_of(text: Column, signs) -> Column:
+    """The share of the kinds of signs of which a text shows one."""
+    seen = [F.exists(F.array(*map(F.lit, kind)), lambda p: F.regexp_like(text, p)).cast("int") for kind in signs]
+    return sum(seen[1:], seen[0]) / len(signs)
 
 
 def paste_format(text: Column) -> Column:
     """struct(format, confidence): transcript, markdown, code or plain_text, by shares of tell-tale patterns."""
-    stamps = F.regexp_count(text, F.lit(r"\[?\d{1,2}:\d{2}(?::\d{2})?\]?"))
-    transcript = (stamps > 5) & (text.contains("[[") | (stamps > 20) | text.rlike(r"\[\d{1,2}:\d{2}\]\s+\w+"))
-    one = lambda c: c.cast("int")
-    md = (one(text.rlike(r"(?m)^#{1,6}\s+")) + one(text.rlike(r"(?m)^[*+-]\s+") | text.rlike(r"(?m)^\d+\.\s+")) + one(text.rlike(r"\*\*.+\*\*") | text.rlike("__.+__")) + one(text.rlike(r"\[.+\]\(.+\)"))) / 4
-    code = (one(text.rlike(r"```[\s\S]*```") | text.rlike(r"(?m)^    ")) + one(text.rlike(r"function\s+\w+|class\s+\w+|const\s+\w+|import\s+")) + one(text.rlike(r"[{}\[\]()<>]"))) / 3
+    stamps = F.regexp_count(text, F.lit(STAMP))
+    transcript = (stamps > SOME_STAMPS) & (text.contains(SPEAKER_MARK) | (stamps > MANY_STAMPS) | text.rlike(STAMPED_WORD))
+    md, code = share_of(text, MARKDOWN_SIGNS), share_of(text, CODE_SIGNS)
     made = lambda f, c: F.struct(F.lit(f).alias("format"), c.cast("double").alias("confidence"))
     return F.when(transcript, made("transcript", F.lit(0.9))).when(md >= 0.5, made("markdown", md)).when(code >= 0.5, made("code", code)).otherwise(made("plain_text", F.lit(0.5)))
 
@@ -151,26 +172,29 @@ def element_counts(text: Column) -> dict[str, Column]:
 
 
 def needs_cleaning(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    short = F.size(F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 40)))
-    return text.rlike(r"\n{4,}") | text.rlike(r"\n\n\d{1,4}\n\n") | text.rlike(r"@page\s*\{|margin.*:\s*\d+pt|\.pt\s*;") | text.rlike(r"(?m)\*\*[A-Z]{20,}\*\*|^[A-Z]{20,}$") | (short / F.size(lines) > 0.3)
+    """Any of the signs of a page's leftovers, or too many short lines."""
+    sizes = F.transform(F.split(text, "\n"), F.length)
+    short = F.size(F.filter(sizes, lambda n: n.between(1, SHORT_LINE - 1))) / F.size(sizes)
+    dirty = short > SHORT_SHARE
+    for sign in DIRT:
+        dirty = dirty | text.rlike(sign)
+    return dirty
+
+
+def rewritten(text: Column, rules) -> Column:
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def tidy(text: Column) -> Column:
     """Plain quotes, dashes and ellipses; at most two line ends and one space in a row; lines trimmed of spaces and tabs."""
-    t = text
-    for pattern, to in (("[“”]", '"'), ("[‘’]", "'"), ("–", "-"), ("—", "--"), ("…", "..."), (r"\n{3,}", "\n\n"), (" {2,}", " "), (r"(?m)^[ \t]+|[ \t]+$", "")):
-        t = F.regexp_replace(t, pattern, to)
-    return t
+    return rewritten(text, TIDY)
 
 
 def sanitize_html(html: Column) -> Column:
     """Without script elements, inline handlers, javascript: links and data: sources."""
-    h = F.regexp_replace(html, r"(?is)<script\b.*?</script>", "")
-    h = F.regexp_replace(h, r"""(?i)\s*on\w+\s*=\s*["'][^"']*["']""", "")
-    h = F.regexp_replace(h, r"(?i)\s*on\w+\s*=\s*[^\s>]*", "")
-    h = F.regexp_replace(h, r"""(?i)href\s*=\s*["']javascript:[^"']*["']""", 'href="#"')
-    return F.regexp_replace(h, r"""(?i)src\s*=\s*["']data:[^"']*["']""", 'src=""')
+    return rewritten(html, UNSAFE_HTML)
 
 
 def html_text(html: Column) -> Column:

@@ -51,25 +51,35 @@ def semantic_similarity(chunks: DataFrame, threshold: float = 0.7, k: int = 50,
     return found.join(current.select(F.col("id").alias("target"), "importance"), "target").select("source", "target", F.lit("semantic_similarity").alias("connection_type"), strength.alias("strength"))
 
 
+def by_rarity(chunks: DataFrame) -> DataFrame:
+    """id and its distinct concepts, lower-cased, the rarest first."""
+    each = chunks.select("id", F.explode(F.array_distinct(F.transform("concepts", F.lower))).alias("concept"))
+    often = each.groupBy("concept").agg(F.count("*").alias("n"))
+    rows = each.join(often, "concept").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "concept"))).alias("c"))  # one chunk's concepts
+    return rows.select("id", F.transform("c", lambda x: x["concept"]).alias("concepts"))
+
+
 def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: float = 0.3, k: int = 20) -> DataFrame:
-    """Pairs that share concepts but differ in the sign of their polarity.
+    """Pairs that share concepts but differ in the sign of their polarity; strengths to nine places.
 
-    Candidates come from the inverted index of concepts: a pair can only reach min_overlap with a concept in common. Each side is cut to what
-    the test needs; opposite signs join positive with negative rows only, so equal-signed pairs never arise.
+    A pair of similarity min_overlap has a concept in common among the rarest n - ceil(min_overlap * n) + 1 of each side, so only these are
+    joined, and a common concept joins only chunks that have few rarer ones. Opposite signs join positive with negative rows only, so
+    equal-signed pairs never arise.
     """
-    c = chunks.where("is_current").select("id", "document_id", "polarity", "importance", F.array_distinct(F.transform("concepts", F.lower)).alias("concepts"))
-    pos, neg = c.where("polarity > 0"), c.where("polarity < 0")
+    c = chunks.where("is_current").select("id", "document_id", "polarity", "importance")
+    c = c.join(by_rarity(chunks.where("is_current")), "id")
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(x).alias(p + x) for x in df.columns], F.explode("concepts").alias("concept"))
+        some = F.size("concepts") - F.ceil(min_overlap * F.size("concepts") - 1e-9).cast("int") + 1
+        return df.select(*[F.col(x).alias(p + x) for x in df.columns], F.explode(F.slice("concepts", 1, some)).alias("concept"))
 
-    pairs = side(pos, "a_").join(side(neg, "b_"), "concept").where("a_document_id <> b_document_id")
+    pairs = side(c.where("polarity > 0"), "a_").join(side(c.where("polarity < 0"), "b_"), "concept").where("a_document_id <> b_document_id")
     pairs = pairs.where(F.col("a_polarity") - F.col("b_polarity") >= min_distance)
-    # a pair is met once for each concept it shares: keep the first of them
-    pairs = pairs.where(F.element_at(F.array_sort(F.array_intersect("a_concepts", "b_concepts")), 1) == F.col("concept"))
+    # a pair is met once for each of these concepts it shares: keep the rarest, which is always among them
+    pairs = pairs.where(F.element_at(F.array_intersect("a_concepts", "b_concepts"), 1) == F.col("concept"))
     j = jaccard(F.col("a_concepts"), F.col("b_concepts"))
     strength = F.least(F.lit(1.0), 0.4 * j + 0.4 * ((F.col("a_polarity") - F.col("b_polarity")) / 2) + 0.2 * ((F.col("a_importance") + F.col("b_importance")) / 2))
-    pairs = pairs.where(j >= min_overlap).select("a_id", "b_id", strength.alias("strength"))
+    pairs = pairs.where(j >= min_overlap).select("a_id", "b_id", F.round(strength, 9).alias("strength"))
     both = pairs.select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), "strength").unionByName(pairs.select(F.col("b_id").alias("source"), F.col("a_id").alias("target"), "strength"))
     return best_per(both, "source", k, "strength", "target").select("source", "target", F.lit("contradiction_detection").alias("connection_type"), "strength")
 

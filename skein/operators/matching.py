@@ -300,3 +300,29 @@ def stitch_documents(parts: DataFrame, **options) -> DataFrame:
             yield pd.DataFrame({"document_id": b["document_id"], "text": [stitch([r["content"] for r in own], **options) for own in b["rows"]]})
 
     return parts.groupBy("document_id").agg(rows.alias("rows")).mapInPandas(run, "document_id long, text string")
+
+
+GRAM = 3  # words of an anchor
+
+
+def holding(texts: DataFrame, needles: DataFrame, id_col: str = "doc_id", text_col: str = "text", needle_col: str = "needle") -> DataFrame:
+    """Rows of texts with each needle they hold, whole and exact.
+
+    All of a needle's words but its first and last stand whole in a text that holds it. Its rarest run of GRAM of them (by the needles' own counts)
+    is its anchor; texts' runs that are some anchor, found by a join on hashes, bring the ids of texts, and only these are compared. Needles
+    of fewer words have no anchor and are compared with every text. Rows that repeat an id with other texts are compared each.
+    """
+    words = lambda c: F.split(c, r"[ \t\n\r\f\x0B]+")
+    runs = lambda w: F.when(F.size(w) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(GRAM))))))
+    n = needles.where(F.length(needle_col) > 0).withColumn("_n", F.xxhash64(*needles.columns)).withColumn("_w", words(F.col(needle_col)))
+    n = n.withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    long = n.where(F.size("_w") >= GRAM)
+    each = long.select("_n", F.explode(runs(F.col("_w"))).alias("_g")).distinct()
+    often = each.groupBy("_g").agg(F.count("*").alias("_c"))
+    anchors = each.join(often, "_g").groupBy("_n").agg(F.min_by("_g", F.struct("_c", "_g")).alias("_g"))
+    cut = texts.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")).select("_id", F.explode(runs(F.col("_w"))).alias("_g"))
+    met = cut.join(anchors, "_g").select("_id", "_n").distinct()
+    met = texts.join(met, texts[id_col] == met["_id"]).join(long.drop("_w"), "_n").drop("_n", "_id")
+    short = n.where(F.size("_w") < GRAM).drop("_n", "_w")
+    held = F.expr(f"instr({text_col}, {needle_col}) > 0")
+    return met.where(held).unionByName(texts.join(short, held))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir (a folder of our own where that is unset), so that all readers see the same rows."""
+    """df checkpointed in the folder of spark.checkpoint.dir, so that all readers see the same rows; in local mode, where that is unset, in one of our own."""
     sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir() and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-checkpoint-"))
     elif not sc.getCheckpointDir():

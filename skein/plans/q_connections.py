@@ -9,6 +9,7 @@ from ..functions.sets import jaccard
 from ..functions.vectors import cosine
 from ..operators import engines as E
 from ..operators.vector_search import top_k_cosine
+from ..operators.windows import global_rank
 from . import fixtures as X
 from .registry import query
 
@@ -43,9 +44,7 @@ _CONTRA = """WITH p AS (SELECT a.id AS source, b.id AS target,
 
 @query("j3_contradiction_engine", _CONTRA, "chunks")
 def j3(t):
-    c = X.chunks(t)
-    pairs = E.contradiction(c, k=1 << 30).withColumn("strength", F.round("strength", 9))
-    return E.best_per(pairs, "source", 20, "strength", "target").withColumn("strength", R6("strength"))
+    return E.contradiction(X.chunks(t)).withColumn("strength", R6("strength"))
 
 
 _BRIDGE = """WITH c AS (SELECT * FROM chunks WHERE is_current AND importance >= 0.6), s AS (SELECT * FROM c ORDER BY importance DESC, id LIMIT 50),
@@ -65,16 +64,17 @@ def j5(t):
     return top_k_cosine(c.where("id % 50 = 0"), c, 10, -1.0).withColumn("similarity", R6("similarity"))
 
 
-@query("set1_all_engines", f"""SELECT connection_type, count(*) AS edges, round(sum(strength), 2) AS strength FROM (
-  SELECT source, target, connection_type, strength FROM ({_CONTRA.replace('round(strength, 6) AS strength', 'strength')})
-  UNION ALL SELECT * FROM ({_BRIDGE})) GROUP BY connection_type""", "chunks")
+_SEMANTIC = f"""SELECT source, target, 'semantic_similarity' AS connection_type, least(1.0, similarity + 0.3 * importance) AS strength
+  FROM ({_MATCH.format(where='a.is_current AND b.is_current AND', t=0.3, k=10).replace('round(similarity, 6) AS similarity', 'similarity')}) JOIN chunks ON target = id"""
+
+
+@query("set1_all_engines", f"""SELECT connection_type, count(*) AS edges, (sum(round(strength * 10000)::BIGINT)::DOUBLE / 10000)::DOUBLE AS strength FROM (
+  SELECT source, target, connection_type, strength FROM ({_CONTRA})
+  UNION ALL SELECT * FROM ({_BRIDGE}) UNION ALL SELECT * FROM ({_SEMANTIC})) GROUP BY connection_type""", "chunks")
 def set1(t):
-    c = X.chunks(t)
-    r = E.registry()
-    contra = E.contradiction(c, k=1 << 30).withColumn("_s", F.round("strength", 9))
-    r.register("contradiction_detection", lambda _: E.best_per(contra, "source", 20, "_s", "target").drop("_s"))
-    e = r.run(c, engines=["contradiction_detection", "thematic_bridge"])
-    return e.groupBy("connection_type").agg(F.count("*").alias("edges"), F.round(F.sum("strength"), 2).alias("strength"))
+    """All engines of the registry; strengths are summed as whole numbers of ten-thousandths, in any order the same."""
+    e = E.registry().run(X.chunks(t), {"semantic_similarity": {"threshold": 0.3, "k": 10}})
+    return e.groupBy("connection_type").agg(F.count("*").alias("edges"), (F.sum(F.round(F.col("strength") * 10000).cast("long")).cast("double") / 10000).alias("strength"))
 
 
 @query("snk3_upsert_edges", """SELECT source, target, connection_type, strength, batch FROM (
@@ -193,7 +193,7 @@ def _scoring(method: str, norm: str) -> str:
 def _score(method: str, norm: str):
     def f(t):
         s = E.combine(X.edges(t), E.WEIGHTS, method, norm).select("target", R6("score").alias("score"), "engines")
-        return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "target")))
+        return global_rank(s, [F.desc("score"), F.asc("target")]).withColumn("rank", F.col("rank").cast("int"))
 
     return f
 
@@ -221,8 +221,6 @@ def w1(t):
 
 @query("w2_global_rank", "SELECT source, target, row_number() OVER (ORDER BY strength DESC, source, target)::BIGINT AS rank FROM edges", "edges")
 def w2(t):
-    from ..operators.windows import global_rank
-
     return global_rank(X.edges(t), [F.desc("strength"), F.asc("source"), F.asc("target")]).select("source", "target", "rank")
 
 

@@ -281,9 +281,9 @@ def a21(t):
     return m.groupBy("document_id").agg(F.round(cov, 4).alias("coverage"), F.round(F.avg("overlaps"), 6).alias("mean_overlaps"), (cov < 70).alias("warn"))
 
 
-@query("a26_matching_report", "SELECT count(*) AS chunks, round(avg(len(string_split_regex(trim(content), '\\s+'))), 4)::DOUBLE AS avg_words, round(100.0 * count(*) FILTER (id % 3 = 2) / count(*), 4)::DOUBLE AS high_pct, round(100.0 * count(*) FILTER (is_current) / count(*), 4)::DOUBLE AS current_pct FROM (SELECT * FROM doc_chunks WHERE regexp_matches(content, '^[!-~]') AND regexp_matches(content, '[!-~]$'))", "doc_chunks")
+@query("a26_matching_report", "SELECT count(*) AS chunks, round(avg(len(string_split_regex(content, '[ \\t\\n\\r\\f\\x0B]+'))), 4)::DOUBLE AS avg_words, round(100.0 * count(*) FILTER (id % 3 = 2) / count(*), 4)::DOUBLE AS high_pct, round(100.0 * count(*) FILTER (is_current) / count(*), 4)::DOUBLE AS current_pct FROM doc_chunks", "doc_chunks")
 def a26(t):
-    c = _confidence(X.doc_chunks(t).where(F.col("content").rlike("^[!-~]") & F.col("content").rlike(r"[!-~]\z")))
+    c = _confidence(X.doc_chunks(t))
     pct = lambda x: F.round(100 * F.count_if(x) / F.count("*"), 4)
     return c.agg(F.count("*").alias("chunks"), F.round(F.avg(F.size(F.split("content", r"[ \t\n\r\f\x0B]+"))), 4).alias("avg_words"), pct(F.col("confidence") == "high").alias("high_pct"), pct(F.col("is_current")).alias("current_pct"))
 

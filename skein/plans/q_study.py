@@ -120,10 +120,9 @@ def a6(t):
 
 @query("a13_preference_statistics", """SELECT event_type AS engine, count(DISTINCT user_id) AS users, round(sum(value) / (SELECT count(DISTINCT user_id) FROM events), 6) AS mean_weight FROM events GROUP BY event_type""")
 def a13(t):
-    total = t.events.agg(F.count_distinct("user_id").alias("total"))
-    m = t.events.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_id", F.struct("event_type", "value")))).alias("m")).select("user_id", F.explode(F.map_values("m")).alias("e"))
-    g = m.groupBy(F.col("e.event_type").alias("engine")).agg(F.count_distinct("user_id").alias("users"), F.sum("e.value").alias("s"))
-    return g.crossJoin(F.broadcast(total)).select("engine", "users", F.round(F.col("s") / F.col("total"), 6).alias("mean_weight"))
+    g = t.events.groupBy("event_type", "user_id").agg(F.sum("value").alias("s")).groupBy(F.col("event_type").alias("engine")).agg(F.count("*").alias("users"), F.sum("s").alias("s"))
+    total = t.events.agg(F.count_distinct("user_id").alias("total"))  # one row
+    return g.join(F.broadcast(total)).select("engine", "users", F.round(F.col("s") / F.col("total"), 6).alias("mean_weight"))
 
 
 @query("a14_weight_normalisation", """WITH s AS (SELECT user_id, sum(value) FILTER (event_type = 'view') AS a, sum(value) FILTER (event_type = 'click') AS b, sum(value) FILTER (event_type = 'error') AS c FROM events GROUP BY user_id),

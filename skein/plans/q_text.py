@@ -22,8 +22,8 @@ _CAP = r"regexp_extract_all(text, '\b[A-Z][a-z]+\b')"
   SELECT doc_id, substr(CASE WHEN regexp_extract(text, '^[^.!?]+[.!?]') <> '' THEN regexp_extract(text, '^[^.!?]+[.!?]') ELSE text END, 1, 200) AS summary, CASE WHEN len(w) > 0 THEN lower(array_to_string(w[1:5], ',')) ELSE 'general' END AS themes,
     least(1.0, len(string_split_regex(text, '[ \t\n\r\f\x0B]+')) / 500.0)::DOUBLE AS importance, polarity::DOUBLE AS polarity, CASE WHEN polarity > 0 THEN 'positive' WHEN polarity < 0 THEN 'negative' ELSE 'neutral' END AS primary_emotion FROM p""")
 def enr1(t):
-    m = X.regex_metadata(F.col("text"))
-    return t.documents.select("doc_id", m["summary"].alias("summary"), F.array_join(m["themes"], ",").alias("themes"), m["importance"].cast("double").alias("importance"), m["polarity"].cast("double").alias("polarity"), m["primary_emotion"].alias("primary_emotion"))
+    m = X.regex_metadata(t.documents.select("doc_id", "text"), "text")
+    return m.select("doc_id", "summary", F.array_join("themes", ",").alias("themes"), F.col("importance").cast("double").alias("importance"), F.col("polarity").cast("double").alias("polarity"), "primary_emotion")
 
 
 @query("enr2_fallback_chain", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN doc_id % 3 = 1 THEN source END, 'general') AS domain, list_filter(['no text', 'no source', 'too short'], lambda x, i: [text IS NULL, source IS NULL, n_chars < 100][i]) AS errors FROM documents")
@@ -51,23 +51,31 @@ def _grams(c):
     return f"list_distinct(list_transform(range(1, greatest(length({c}) - 1, 1)), lambda i: substr(lower({c}), i::INT, 3)))"
 
 
-@query("str1_trigram_similarity", f"""WITH p AS (SELECT doc_id, substr(text, 1, 80) AS a, substr(text, 20, 80) AS b FROM documents WHERE length(text) > 120), g AS (SELECT doc_id, {_grams('a')} AS a, {_grams('b')} AS b FROM p)
-  SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM g""")
+@query("str1_trigram_similarity", f"""WITH p AS (SELECT doc_id, text AS a, substr(text, 20) AS b FROM documents), g AS (SELECT doc_id, {_grams('a')} AS a, {_grams('b')} AS b FROM p)
+  SELECT doc_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM g""")
 def str1(t):
-    d = t.documents.where(F.length("text") > 120)
-    return d.select("doc_id", F.round(trigram_similarity(F.substring("text", 1, 80), F.substring("text", 20, 80)), 6).alias("similarity"))
+    """Each whole text against itself from its 20th character on."""
+    return t.documents.select("doc_id", F.round(trigram_similarity(F.col("text"), F.expr("substring(text, 20)")), 6).alias("similarity"))
 
 
-@query("str2_levenshtein", "SELECT doc_id, levenshtein(substr(text, 1, 60), substr(text, 5, 60))::INT AS distance, round(1 - levenshtein(substr(text, 1, 60), substr(text, 5, 60)) / 60.0, 6)::DOUBLE AS similarity FROM documents WHERE length(text) > 120 AND regexp_matches(substr(text, 1, 80), '^[ -~\\n]*$')")
+_LINES = r"list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^ -~]', '?', 'g'))"
+
+
+@query("str2_levenshtein", f"""WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents), p AS (SELECT doc_id, unnest(range(1, len(l))) AS k, l FROM l), q AS (SELECT doc_id, k::INT AS line, l[k] AS a, l[k + 1] AS b FROM p)
+  SELECT doc_id, line, levenshtein(a, b)::INT AS distance, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) END AS similarity FROM q""")
 def str2(t):
-    a, b = F.substring("text", 1, 60), F.substring("text", 5, 60)
-    return t.documents.where((F.length("text") > 120) & F.substring("text", 1, 80).rlike(r"\A[ -~\n]*\z")).select("doc_id", F.levenshtein(a, b).alias("distance"), F.round(levenshtein_similarity(a, b), 6).alias("similarity"))
+    """Each line of each text against the next one (signs beyond ASCII as one sign, as DuckDB counts bytes)."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "[^ -~]", "?"))
+    d = t.documents.select("doc_id", lines.alias("l")).where(F.size("l") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.struct(k.alias("line"), F.get("l", k - 1).alias("a"), F.get("l", k).alias("b")))
+    p = d.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
+    return p.select("doc_id", "line", F.levenshtein("a", "b").alias("distance"), F.round(levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @query("str3_locate_benchmark", "SELECT b.item_id AS needle_id, d.doc_id AS document_id, (instr(d.text, b.text) - 1)::INT AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def str3(t):
-    """Exact stage of the fuzzy locator over all texts: the needles (a benchmark, its size checked by Spark's broadcast limit) are met once a text."""
-    j = t.documents.join(t.benchmark.select("item_id", F.col("text").alias("needle")), F.expr("instr(text, needle) > 0"))
+    """Exact stage of the fuzzy locator over all texts."""
+    j = M.holding(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle")))
     return j.select(F.col("item_id").alias("needle_id"), F.col("doc_id").alias("document_id"), (F.expr("instr(text, needle)") - 1).alias("start"))
 
 
@@ -96,13 +104,13 @@ def str7(t):
 
 @query("str8_page_cleanup")
 def str8(t):
-    d = t.documents.select("doc_id", F.concat(F.lit("some text,\n\n12\n\nand more,\n\nRunning Header\n\n"), F.lower(F.substring("text", 1, 300)), F.lit("  x\n\n\n\n\nend")).alias("text"))
+    d = t.documents.select("doc_id", F.concat(F.lit("some text,\n\n12\n\nand more,\n\nRunning Header\n\n"), F.lower("text"), F.lit("  x\n\n\n\n\nend")).alias("text"))
     return T.map_text(d, "clean_pages", "text")
 
 
 @query("str9_epub_cleanup")
 def str9(t):
-    d = t.documents.select("doc_id", F.concat(F.lit('<?xml version="1.0"?>\n[link](ch1.xhtml) * * *\n\n\n\n'), F.substring("text", 1, 200)).alias("text"))
+    d = t.documents.select("doc_id", F.concat(F.lit('Cover\n\n[next](ch1.xhtml)\n\n\n\n'), F.col("text")).alias("text"))
     return T.map_text(d, "clean_epub", "text")
 
 
@@ -155,9 +163,9 @@ def tg6(t):
     return t.documents.select("doc_id", F.explode(X.cloze_deletions(s)).alias("c")).select("doc_id", F.col("c.index").alias("index"), F.col("c.text").alias("answer"))
 
 
-@query("str15_slug", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 90)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug FROM documents WHERE regexp_matches(substr(text, 1, 90), '^[ -~\\n]*$')")
+@query("str15_slug", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug FROM documents")
 def str15(t):
-    return t.documents.where(F.substring("text", 1, 90).rlike(r"\A[ -~\n]*\z")).select("doc_id", X.slug(F.substring("text", 1, 90)).alias("slug"))
+    return t.documents.select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("str16_templates", "SELECT doc_id, 'In ' || lang || ' from ' || source || ': {{missing}}' AS text, 'lang,source,missing' AS variables FROM documents")
@@ -224,11 +232,11 @@ def str23(t):
     return s.select("conv_id", "turn", X.timestamp_link(F.col("start_char"), F.concat(F.lit("u?v="), F.col("conv_id")), F.col("role")).alias("line"))
 
 
-@query("str24_stamp_seconds", "SELECT event_id, [(event_id % 60 * 60 + event_id % 50)::INT, 3723] AS seconds FROM events WHERE event_id % 10 = 0")
+@query("str24_stamp_seconds", "SELECT event_id, [(event_id % 60 * 60 + event_id % 50)::INT, 3723] AS seconds FROM events")
 def str24(t):
     e = F.col("event_id")
     s = F.concat(F.lit("a ["), F.lpad((e % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((e % 50).cast("string"), 2, "0"), F.lit("] b [1:02:03] c"))
-    return t.events.where("event_id % 10 = 0").select("event_id", X.stamp_seconds(s).alias("seconds"))
+    return t.events.select("event_id", X.stamp_seconds(s).alias("seconds"))
 
 
 @query("str26_theme_enhancement", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_filter(concepts, lambda x: x LIKE 'c%'), [domain]))), ',') AS themes, 'About ' || concepts[1] || ' and ' || concepts[2] AS summary FROM chunks", "chunks")
@@ -258,7 +266,7 @@ def str29(t):
 @query("str31_front_matter", "SELECT doc_id, 'doc ' || doc_id AS title, (1990 + doc_id % 30)::INT AS year FROM documents")
 def str31(t):
     d = F.col("doc_id")
-    s = F.concat(F.lit("---\ntitle: doc "), d, F.lit("\ndate: May "), 1990 + d % 30, F.lit("\n---\n"), F.substring("text", 1, 50))
+    s = F.concat(F.lit("---\ntitle: doc "), d, F.lit("\ndate: May "), 1990 + d % 30, F.lit("\n---\n"), F.col("text"))
     return t.documents.select("doc_id", X.front_matter(s, "title").alias("title"), X.year_of(X.front_matter(s, "date")).alias("year"))
 
 
@@ -301,7 +309,8 @@ def j26(t):
 
 @query("flt11_full_text")
 def flt11(t):
-    return T.full_text_search(t.conversations.select("conv_id", "turn", "text"), "text", "the using").orderBy("conv_id", "turn").limit(20)
+    """All turns that hold both words' stems; compared with a plain loop in the tests."""
+    return T.full_text_search(t.conversations.select("conv_id", "turn", "text"), "text", "les eaux").select("conv_id", "turn")
 
 
 @query("tg1_heading_chunks")

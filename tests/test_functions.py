@@ -1,6 +1,7 @@
 """Pure functions and operators on hand-written rows."""
 
 import random
+import re
 import zipfile
 
 import pytest
@@ -27,8 +28,7 @@ def words(seed, n):
 # ------------------------------------------------------------------ column expressions
 
 def test_polarity_lexicon(spark):
-    m = X.regex_metadata(F.col("t"))
-    r = spark.createDataFrame([("This is Good and great. A bad day. Paris",)], "t string").select(*[c.alias(k) for k, c in m.items()]).first()
+    r = X.regex_metadata(spark.createDataFrame([("This is Good and great. A bad day. Paris",)], "t string"), "t").first()
     assert r["polarity"] == pytest.approx(0.1) and r["primary_emotion"] == "positive" and r["summary"] == "This is Good and great." and r["themes"] == ["this", "good", "paris"]
 
 
@@ -227,3 +227,39 @@ def test_queries_over_texts_read_whole_tables(spark, tmp_path):
         assert (r["start"], r["end"], r["method"]) == (h.start, h.end, h.method)
     assert got[1, 4]["method"] == got[2, 3]["method"] == "fuzzy" and got[3, 4]["method"] == "approximate"
     assert matching.match_annotation("", "some text", near="some") is None
+
+
+def test_needles_are_found_in_all_texts_that_hold_them(spark):
+    from skein.operators.matching import holding
+
+    texts = [(1, "one two three four five six seven eight"), (2, "xone two three four five six"), (3, "two  three four five six seven"), (4, None), (5, ""), (1, "again: three four five six seven")]
+    needles = [(10, "two three four five six"), (11, "three four"), (12, "e two three four five si"), (13, ""), (14, None), (10, "ree four five six seve")]
+    got = holding(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(needles, "item long, needle string")).collect()
+    want = sorted((i, t, k, n) for i, t in texts for k, n in needles if t and n and n in t)
+    assert sorted((r["doc_id"], r["text"], r["item"], r["needle"]) for r in got) == want
+
+
+def test_full_text_equals_a_loop(spark):
+    rows = [(1, 0, "The cats are running"), (2, 0, "a cat ran"), (3, 1, "running, CATS!"), (4, 0, None), (5, 0, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, text string")
+    terms = lambda t: {T.stem(w) for w in re.findall("[a-z0-9]+", (t or "").lower())}
+    want = [i for i, _, t in rows if {T.stem("cats"), T.stem("running")} <= terms(t)]
+    assert sorted(r["conv_id"] for r in T.full_text_search(df, "text", "the cats running").collect()) == want == [1, 3]
+
+
+def test_contradictions_equal_brute_force(spark):
+    from skein.operators.engines import contradiction
+
+    r = random.Random(4)
+    rows = [(i, i % 5, r.random() > 0.1, round(r.uniform(-1, 1), 2), round(r.random(), 2), ["all"] + [r.choice("abcdefgh") for _ in range(r.randint(0, 4))]) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, document_id long, is_current boolean, polarity double, importance double, concepts array<string>")
+    want = set()
+    for a in rows:
+        found = []
+        for b in rows:
+            x, y = set(a[5]), set(b[5])
+            if a[2] and b[2] and a[1] != b[1] and a[3] * b[3] < 0 and abs(a[3] - b[3]) >= 0.3 and len(x & y) >= 0.5 * len(x | y):
+                s = min(1.0, 0.4 * len(x & y) / len(x | y) + 0.4 * abs(a[3] - b[3]) / 2 + 0.2 * (a[4] + b[4]) / 2)
+                found.append((-round(s, 9), b[0]))
+        want |= {(a[0], b) for _, b in sorted(found)[:20]}
+    assert {(e["source"], e["target"]) for e in contradiction(d).collect()} == want and len(want) > 200
