@@ -324,7 +324,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 
 # ---------------------------------------------------------------- ranks
 
-def ranked(scratch: Scratch, df: DataFrame, group: str, order: list[str]) -> DataFrame:
+def ranked(scratch: Scratch, df: DataFrame, group: str, order: list) -> DataFrame:
     """df with `rank`: 1, 2, ... within each value of `group` (nulls last, one group) in the order given.
 
     One range-partitioned sort over (group, *order); no group is gathered in one task. A row's global rank is its number

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ranked, sliced
 
 PATTERNS = 8192
-KNOWN_WORDS = 200_000  # of a worker; beyond, it begins anew
+KNOWN_WORDS = 500_000  # of a worker; beyond, it begins anew
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,8 +38,9 @@ class WordTokenizer:
 
     The tokenizer drops white space, lower-cases, splits letters from other signs and never merges across these bounds. So a text's ids are those
     of its white-space-separated words in a row, A-Z may be lower-cased before, and a comma or full stop after a letter is a token of its
-    own. Words are encoded many at a time, on both sides of a separator: one that yields a known run of ids, which no other text yields. A lot
-    whose separators cannot all be told from its words is encoded word by word. Texts that hold a special token's string are encoded as they
+    own. Words are encoded many at a time. Each run of letters or of other signs ends with a token that marks an end of word, so a lot of words
+    of letters alone that has as many such tokens as words is cut at them. Other lots have a special token between their words, and
+    a lot that has not as many of these as words is encoded word by word. Texts that hold a special token's string are encoded as they
     are, since such a string may run across these bounds.
     """
 
@@ -81,37 +82,41 @@ class WordTokenizer:
         parts = [self.one(w) for w in words]
         return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64)
 
-    def _lots(self, words: list[str], letters: bool, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words in a row, and how many each has. letters: words of ASCII letters, each of which ends with its first token
-        that marks an end of word; others stand between special tokens."""
-        lots = [words[i:i + step] for i in range(0, len(words), step)]
-        between = " " if letters else f" {self.mark} "
-        got = self.plain.encode_batch_fast([between.join(x) + between for x in lots], add_special_tokens=False) if letters or self.mark else [None] * len(lots)
+    def _lots(self, words: list[str], step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and how many each has. Words of letters alone stand first."""
+        n = sum(w.isalpha() for w in words)
+        cuts = sorted({*range(0, n, step), *range(n, len(words), step), len(words)})
+        lots = [words[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        letters = [i < n for i in cuts[:-1]]
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for own, e in zip(lots, got, strict=True):
-            x = np.array(e.ids if e else [], np.uint32)
-            ends = np.flatnonzero(self.ends_word[x]) + 1 if letters else np.flatnonzero(x == self.mark_id)
-            if len(ends) != len(own):
-                x, size = self._each(own)
-            elif letters:
-                size = np.diff(ends, prepend=0)
+        got = self.plain.encode_batch_fast([" ".join(x) if a else self._marked(x) for x, a in zip(lots, letters, strict=True)], add_special_tokens=False)
+        for own, alone, e in zip(lots, letters, got, strict=True):
+            x = np.array(e.ids, np.uint32)
+            if alone:
+                ends = np.flatnonzero(self.ends_word[x]) + 1
+                if len(ends) == len(own):
+                    ids.append(x), sizes.append(np.diff(ends, prepend=0))
+                    continue
+                x = np.array(self.plain.encode(self._marked(own), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(x == self.mark_id)
+            if len(ends) == len(own):
+                ids.append(np.delete(x, ends)), sizes.append(np.diff(ends - np.arange(len(ends)), prepend=0))
             else:
-                size = np.diff(ends - np.arange(len(ends)), prepend=0)
-                x = np.delete(x, ends)
-            ids.append(x), sizes.append(size)
+                x, size = self._each(own)
+                ids.append(x), sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
 
+    def _marked(self, words: list[str]) -> str:
+        return "".join(f"{w} {self.mark} " for w in words) if self.mark else ""
+
     def cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words without white space in a row, and where each word's begin (one more at the end)."""
-        plain = [w.isascii() and w.isalpha() for w in words]
-        order = sorted(range(len(words)), key=plain.__getitem__, reverse=True)
-        n = sum(plain)
-        a, size_a = self._lots([words[i] for i in order[:n]], True)
-        b, size_b = self._lots([words[i] for i in order[n:]], False)
-        ids, at = np.concatenate([a, b]), np.cumsum([0, *size_a, *size_b])
+        order = sorted(range(len(words)), key=lambda k: not words[k].isalpha())
+        ids, sizes = self._lots([words[i] for i in order])
+        at = np.concatenate([[0], np.cumsum(sizes)])
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        size = np.diff(at)[place]
+        size = sizes[place]
         begin = np.concatenate([[0], np.cumsum(size)])
         return ids[np.repeat(at[place] - begin[:-1], size) + np.arange(begin[-1])], begin
 

@@ -2,8 +2,9 @@
 
 1. Equal vectors of a label are one class first, so copies are never compared with each other.
 2. Unit vectors are rotated to principal axes. Two of them at the threshold t or above lie within w = sqrt(2 - 2t) of each other, so on every axis
-   too: the leading GRID axes are cut into cells w wide, and only neighbouring cells can hold links. Within a cell vectors are ranked on the
-   next axes and dealt to tiles of about TILE; a hot label, or a hot cell, is many tiles.
+   too: the leading GRID axes are cut into cells w wide, and only neighbouring cells can hold links. Labels of up to FEW tiles are one cell, as
+   many small tiles would ship more rows. Within a cell vectors are ranked along the axes and dealt to tiles of about TILE; a hot label,
+   or a hot cell, is many tiles.
 3. Tiles of neighbouring cells are paired unless their boxes on the LEAD leading axes, with the largest norms of the rest, show that no cosine
    between them reaches the threshold. This is settled on one row for each tile, before any vector is shipped.
 4. In a pair of tiles, products are summed a slice of dimensions at a time, leading ones first. After each slice, what is missing is at most the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Forest, Scratch, components, ranked, sliced, small_rows
 
-TILE, SLICE, SAMPLE, GRID, LEAD = 1024, 16, 20_000, 3, 8
+TILE, SLICE, SAMPLE, GRID, LEAD, FEW = 1024, 16, 20_000, 3, 8, 16
 
 
 def usable(vec: str):
@@ -81,8 +82,9 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray | None, thre
     return i[keep], j[keep]
 
 
-def in_cells(classes: DataFrame, rotation, threshold: float) -> DataFrame:
-    """classes with dim, cell, its coordinates g0.., the leading coordinates l0.., the norm of the rest, and a key of (label, dim, cell)."""
+def in_cells(classes: DataFrame, large: DataFrame, rotation, threshold: float) -> DataFrame:
+    """classes with dim, cell, its coordinates g0.. (0 for labels that are not large), the leading coordinates l0.., the norm of the rest, and a
+    key of (label, dim, cell). large: label, large."""
     width = max(1e-3, np.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-12)
 
     def run(batches):
@@ -104,6 +106,8 @@ def in_cells(classes: DataFrame, rotation, threshold: float) -> DataFrame:
 
     schema = ", ".join(f"{n} {t}" for n, t in classes.dtypes)
     out = classes.mapInArrow(run, f"{schema}, dim int, {', '.join(f'g{k} int' for k in range(GRID))}, {', '.join(f'l{k} double' for k in range(LEAD))}, rest double")
+    out = out.join(F.broadcast(large) if small_rows(large) else large, "label")
+    out = out.withColumns({f"g{k}": F.when(F.col("large"), F.col(f"g{k}")).otherwise(0) for k in range(GRID)})
     out = out.withColumn("cell", F.concat_ws(",", *(f"g{k}" for k in range(GRID))))
     return out.withColumn("group", F.xxhash64("label", "dim", "cell"))
 
@@ -132,8 +136,9 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
     classes = tmp.write(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("uid", F.xxhash64("label", "vec")))
     rotation = spark.sparkContext.broadcast(axes(classes))  # a square of the vectors' length
 
-    placed = tmp.write(in_cells(classes, rotation, threshold))
-    placed = ranked(tmp, placed, "group", ["l3", "l4", "l5", "uid"])
+    large = classes.groupBy("label").agg((F.count("*") > FEW * TILE).alias("large"))
+    placed = tmp.write(in_cells(classes, large, rotation, threshold))
+    placed = ranked(tmp, placed, "group", [F.when(F.col("large"), F.col("l3")).otherwise(F.col("l0")), "l1", "uid"])
     placed = tmp.write(placed.withColumn("tile", F.concat_ws(":", "cell", F.floor((F.col("rank") - 1) / TILE))).drop("rank", "group"))
     pairs = tmp.write(tile_pairs(placed, threshold))
     to = pairs.select("label", "dim", "t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("tile"))

@@ -277,9 +277,11 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(spark, frame(spark, rows[:1]).where("false")).count() == 0
 
 
-def test_tiles_of_cells(spark, monkeypatch):
+@pytest.mark.parametrize("few", [2, 100])
+def test_tiles_of_cells(spark, monkeypatch, few):
     """Small tiles: every link is found, and most pairs of tiles go before their vectors are shipped."""
     monkeypatch.setattr(vector_dedup, "TILE", 8)
+    monkeypatch.setattr(vector_dedup, "FEW", few)
     r = np.random.default_rng(6)
     base = r.normal(size=(40, 12)) * np.exp(-np.arange(12) / 3)
     rows = [(i, [float(x) for x in base[i % 40] + r.normal(size=12) * 0.08], i % 2) for i in range(400)]
@@ -291,7 +293,7 @@ def test_tiles_of_cells(spark, monkeypatch):
     assert got == dict(enumerate(hit.sum(1).tolist()))
     good_rows = d.select(F.col("label"), F.col("embedding").alias("vec"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.xxhash64("vec_id").alias("uid"))
     sent = spark.sparkContext.broadcast({12: np.linalg.eigh(x.T @ x)[1][:, ::-1]})
-    placed = vector_dedup.in_cells(good_rows, sent, 0.93).withColumn("tile", F.concat_ws(":", "cell", F.lit(0)))
+    placed = vector_dedup.in_cells(good_rows, good_rows.select("label", F.lit(True).alias("large")).distinct(), sent, 0.93).withColumn("tile", F.concat_ws(":", "cell", F.lit(0)))
     tiles = placed.select("label", "tile").distinct().groupBy("label").count().collect()
     assert vector_dedup.tile_pairs(placed, 0.93).count() < 0.6 * sum(t["count"] * (t["count"] + 1) / 2 for t in tiles)
 
