@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import mix, sliced
 
@@ -168,5 +169,5 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
     if {c.lower() for c in kept.columns} & {"lang_pred", "score"}:
         raise ValueError("lang_pred and score are names of results")
     plain = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))  # names of its own
-    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes[:-1])
-    return plain.mapInArrow(run, f"{schema}, lang_pred string, score double").toDF(*kept.columns, "lang_pred", "score")
+    schema = StructType(plain.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    return plain.mapInArrow(run, schema).toDF(*kept.columns, "lang_pred", "score")
