@@ -12,14 +12,23 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters, lower-cased."""
-    t = F.lower(text)
-    n = F.length(t)
-    return F.array_distinct(F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    """The distinct runs of three characters, lower-cased; the text is taken apart once, as each substring would be sought from its start."""
+    c = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+    n = F.size(c)
+    from_ = lambda k: F.slice(c, F.lit(k), F.greatest(n, F.lit(0)))
+    both = lambda x, y: F.concat(x, y)
+    runs = F.zip_with(F.zip_with(c, from_(2), both), from_(3), both)
+    return F.array_distinct(F.when(n >= 3, F.slice(runs, 1, n - 2)).when(text.isNotNull(), F.array().cast("array<string>")))
+
+
+def set_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; 1 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.when(a.isNotNull() & b.isNotNull(), 1.0))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    return jaccard(trigrams(a), trigrams(b), both_empty=1.0)
+    return set_similarity(trigrams(a), trigrams(b))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.sets import levenshtein_similarity, trigram_similarity
+from ..functions.sets import levenshtein_similarity, set_similarity, trigrams
 from ..operators import chunking as C
 from ..operators import matching as M
 from ..operators import scheduling
@@ -55,7 +55,8 @@ def _grams(c):
   SELECT doc_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM g""")
 def str1(t):
     """Each whole text against itself from its 20th character on."""
-    return t.documents.select("doc_id", F.round(trigram_similarity(F.col("text"), F.expr("substring(text, 20)")), 6).alias("similarity"))
+    d = t.documents.select("doc_id", trigrams(F.col("text")).alias("a"), trigrams(F.expr("substring(text, 20)")).alias("b"))  # each made once
+    return d.select("doc_id", F.round(set_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 _LINES = r"list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^ -~]', '?', 'g'))"
@@ -310,7 +311,7 @@ def j26(t):
 @query("flt11_full_text")
 def flt11(t):
     """All turns that hold both words' stems; compared with a plain loop in the tests."""
-    return T.full_text_search(t.conversations.select("conv_id", "turn", "text"), "text", "les eaux").select("conv_id", "turn")
+    return T.full_text_search(t.conversations.select("conv_id", "turn", "text"), "text", "de les").select("conv_id", "turn")
 
 
 @query("tg1_heading_chunks")
