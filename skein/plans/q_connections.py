@@ -186,13 +186,14 @@ def _scoring(method: str, norm: str) -> str:
     how = {"sum": "least(1.0, sum(strength))", "average": "avg(strength)", "max": "max(strength)", "harmonic_mean": "CASE WHEN min(strength) <= 0 THEN 0.0 ELSE count(*) / sum(CASE WHEN strength > 0 THEN 1 / strength END) END"}[method]
     n = {"linear": "least(1.0, greatest(0.0, c))", "sigmoid": "1 / (1 + exp(-10 * (c - 0.5)))", "softmax": "exp(c) / (exp(c) + exp(1 - c))"}[norm]
     return f"""WITH o AS (SELECT target, connection_type, {how} AS c FROM edges GROUP BY ALL), n AS (SELECT *, {n} AS n, CASE connection_type WHEN 'semantic_similarity' THEN 0.25 WHEN 'contradiction_detection' THEN 0.4 ELSE 0.35 END::DOUBLE AS w FROM o),
-      s AS (SELECT target, round(sum(n * w) / sum(w), 6) AS score, count(*) AS engines FROM n GROUP BY target)
+      s AS (SELECT target, round(sum(n * w) / sum(w) + 1e-9, 6) AS score, count(*) AS engines FROM n GROUP BY target)
       SELECT *, row_number() OVER (ORDER BY score DESC, target)::INT AS rank FROM s"""
 
 
 def _score(method: str, norm: str):
     def f(t):
-        s = E.combine(X.edges(t), E.WEIGHTS, method, norm).select("target", R6("score").alias("score"), "engines")
+        # scores that end in a half at the sixth place go up, in whatever order their parts were added
+        s = E.combine(X.edges(t), E.WEIGHTS, method, norm).select("target", R6(F.col("score") + 1e-9).alias("score"), "engines")
         return global_rank(s, [F.desc("score"), F.asc("target")]).withColumn("rank", F.col("rank").cast("int"))
 
     return f
