@@ -65,3 +65,42 @@ def review(components: DataFrame, decisions: DataFrame) -> DataFrame:
     d = decisions.groupBy("id").agg(F.max_by("accept", "seq").alias("accept"))
     r = components.join(d, "id", "left").where("coalesce(accept, true)")
     return r.withColumn("needs_review", F.col("needs_review") & F.col("accept").isNull()).drop("accept")
+
+
+def touched(old: DataFrame, new: DataFrame, key: str, now) -> DataFrame:
+    """new (key, columns) with updated_at: `now` for rows that are new or differ from old in any column, else old's updated_at. Nulls equal nulls."""
+    columns = [c for c in new.columns if c != key]
+    was = old.select(key, F.struct(*columns).alias("_was"), "updated_at")
+    same = F.struct(*columns).eqNullSafe(F.col("_was"))
+    return new.join(was, key, "left").withColumn("updated_at", F.when(same, F.col("updated_at")).otherwise(now)).drop("_was")
+
+
+def upsert_weights(users: DataFrame, kept: DataFrame, updates: DataFrame, engines: list[str]) -> DataFrame:
+    """users (user_id) with preferences: updates (user_id, engines, method) over kept ones, equal weights and 'linear' for users without either.
+
+    Weights whose sum is off 1 by more than 0.01 are divided by it and rounded to three places; a sum of 0 gives equal weights. A null method
+    keeps the one that is there. At most one row a user on each side.
+    """
+    total = sum((F.col(e) for e in engines), F.lit(0.0))
+    fit = [F.when(total == 0, F.round(F.lit(1 / len(engines)), 3)).when(F.abs(total - 1) > 0.01, F.round(F.col(e) / total, 3)).otherwise(F.col(e).cast("double")).alias(f"_u_{e}") for e in engines]
+    u = updates.select("user_id", *fit, F.col("method").alias("_u_method"), F.lit(True).alias("_u"))
+    k = kept.select("user_id", *[F.col(e).cast("double").alias(f"_k_{e}") for e in engines], F.col("method").alias("_k_method"), F.lit(True).alias("_k"))
+    j = users.select("user_id").join(u, "user_id", "left").join(k, "user_id", "left")
+    origin = F.when(F.col("_u") & F.col("_k"), "updated").when(F.col("_u"), "inserted").when(F.col("_k"), "kept").otherwise("default")
+    return j.select("user_id", *[F.coalesce(F.when(F.col("_u"), F.col(f"_u_{e}")), f"_k_{e}", F.round(F.lit(1 / len(engines)), 3)).alias(e) for e in engines], F.coalesce("_u_method", "_k_method", F.lit("linear")).alias("method"), origin.alias("origin"))
+
+
+def import_review(candidates: DataFrame, decisions: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """candidates (id, document_id, start_offset, end_offset, color, note) after decisions (id, accept): their states, and the components of new annotations.
+
+    Accepted ones become an entity of the candidate's id with Position, Visual, Content (if there is a note) and Temporal rows; without a
+    decision a candidate is pending. At most one decision an id.
+    """
+    j = candidates.join(decisions.select("id", "accept"), "id", "left")
+    state = F.when(F.col("accept"), "accepted").when(~F.col("accept"), "rejected").otherwise("pending")
+    kinds = F.array_compact(F.array(F.lit("Position"), F.lit("Visual"), F.when(F.col("note").isNotNull(), F.lit("Content")), F.lit("Temporal")))
+    c = j.where("accept").select("id", "document_id", "start_offset", "end_offset", "color", "note", F.explode(kinds).alias("component_type"))
+    at = F.col("component_type") == "Position"
+    value = F.when(F.col("component_type") == "Visual", F.col("color")).when(F.col("component_type") == "Content", F.col("note"))
+    rows = c.select(F.col("id").alias("entity_id"), "component_type", "document_id", F.when(at, F.col("start_offset")).alias("start_offset"), F.when(at, F.col("end_offset")).alias("end_offset"), value.alias("value"), now.alias("created_at"))
+    return j.select("id", state.alias("status")), rows

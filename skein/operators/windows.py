@@ -28,3 +28,10 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     s = settled(df.sort(*order).withColumn("_mid", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_mid", 33))
     per = s.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")
     return s.join(F.broadcast(per), "_p").withColumn(name, F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1) + 1).drop("_mid", "_p", "_before")
+
+
+def running_offset(df: DataFrame, key: str, order: str, text: str, gap: int = 1) -> DataFrame:
+    """n (characters of text) and start_char: where each row begins if a key's texts stand in order, `gap` characters apart. Null texts are empty."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.coalesce(F.length(text), F.lit(0))
+    return df.withColumn("n", n).withColumn("start_char", F.sum(F.col("n") + gap).over(w) - F.col("n") - gap)

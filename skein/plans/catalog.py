@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_connections, q_documents, q_more, q_study, q_text  # noqa: F401
+from . import q_connections, q_documents, q_more, q_sources, q_study, q_text  # noqa: F401
 from .registry import QUERIES, SQL
 
 

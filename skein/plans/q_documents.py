@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import state as S
+from ..operators.windows import running_offset
 from . import fixtures as X
 from .registry import query
 
@@ -214,7 +215,7 @@ def w6(t):
 
 @query("w9_running_offset", "SELECT conv_id, turn, n, start_char::BIGINT AS start_char FROM segments", "segments")
 def w9(t):
-    return X.segments(t).select("conv_id", "turn", "n", "start_char")
+    return running_offset(t.conversations, "conv_id", "turn", "text").select("conv_id", "turn", "n", "start_char")
 
 
 @query("j15_chunk_video_timestamp", """WITH c AS (SELECT conv_id, unnest(range(0, 10)) * 150 AS pos FROM (SELECT DISTINCT conv_id FROM conversations))

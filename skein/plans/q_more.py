@@ -96,7 +96,10 @@ def d6(t):
 
 @query("d11_updated_at", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2024-01-30' ELSE o_orderdate END AS updated_at FROM orders")
 def d11(t):
-    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.lit("2024-01-30").cast("timestamp")).otherwise(F.col("o_orderdate").cast("timestamp")).alias("updated_at"))
+    """Orders against themselves with another priority on finished ones: changed rows are stamped."""
+    old = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    new = old.drop("updated_at").withColumn("o_orderpriority", F.when(F.col("o_orderstatus") == "F", F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority")))
+    return S.touched(old, new, "o_orderkey", F.lit("2024-01-30").cast("timestamp")).select("o_orderkey", "updated_at")
 
 
 @query("d15_recovery_review", """WITH d AS (SELECT user_id * 7 AS id, arg_max(event_type <> 'error', event_id) AS accept FROM events WHERE event_type IN ('error', 'view') GROUP BY 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import temporal as T
+from ..operators.state import import_review, upsert_weights
 from . import fixtures as X
 from .registry import query
 
@@ -228,10 +229,22 @@ def d7(t):
     return g.where("e % 5 <> 0").drop("e")
 
 
-@query("d8_preferences", "SELECT c_custkey, coalesce(s.n, 1) AS n, CASE WHEN s.n IS NULL THEN 'default' ELSE 'own' END AS origin FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) s ON s.o_custkey = c_custkey")
+_U = "SELECT o_custkey AS user_id, count(*) % 5 AS a, (sum(o_orderkey) % 7)::DOUBLE AS b, count(*) % 3 AS c, CASE WHEN count(*) % 2 = 0 THEN 'softmax' END AS method FROM orders GROUP BY 1"
+
+
+@query("d8_preferences", f"""WITH u AS (SELECT user_id, a::DOUBLE AS a, b, c::DOUBLE AS c, method, a + b + c AS s FROM ({_U}) WHERE user_id % 2 = 0),
+  f AS (SELECT user_id, method, CASE WHEN s = 0 THEN 0.333 WHEN abs(s - 1) > 0.01 THEN round(a / s, 3) ELSE a END AS a, CASE WHEN s = 0 THEN 0.333 WHEN abs(s - 1) > 0.01 THEN round(b / s, 3) ELSE b END AS b, CASE WHEN s = 0 THEN 0.333 WHEN abs(s - 1) > 0.01 THEN round(c / s, 3) ELSE c END AS c FROM u)
+  SELECT c_custkey AS user_id, coalesce(f.a, CASE WHEN c_custkey % 3 = 0 THEN 0.5 END, 0.333)::DOUBLE AS semantic_similarity, coalesce(f.b, CASE WHEN c_custkey % 3 = 0 THEN 0.25 END, 0.333)::DOUBLE AS contradiction_detection, coalesce(f.c, CASE WHEN c_custkey % 3 = 0 THEN 0.25 END, 0.333)::DOUBLE AS thematic_bridge,
+    coalesce(f.method, CASE WHEN c_custkey % 3 = 0 THEN 'sigmoid' END, 'linear') AS method, CASE WHEN f.user_id IS NOT NULL AND c_custkey % 3 = 0 THEN 'updated' WHEN f.user_id IS NOT NULL THEN 'inserted' WHEN c_custkey % 3 = 0 THEN 'kept' ELSE 'default' END AS origin
+  FROM customer LEFT JOIN f ON f.user_id = c_custkey""")
 def d8(t):
-    s = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return t.customer.select("c_custkey").join(s, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(1)).alias("n"), F.when(F.col("n").isNull(), "default").otherwise("own").alias("origin"))
+    """Every third user has preferences, every second one with orders sends new weights."""
+    engines = ["semantic_similarity", "contradiction_detection", "thematic_bridge"]
+    n = F.count("*")
+    u = t.orders.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("user_id")).agg((n % 5).alias(engines[0]), (F.sum("o_orderkey") % 7).alias(engines[1]), (n % 3).alias(engines[2]), F.when(n % 2 == 0, "softmax").alias("method"))
+    users = t.customer.select(F.col("c_custkey").alias("user_id"))
+    kept = users.where("user_id % 3 = 0").select("user_id", F.lit(0.5).alias(engines[0]), F.lit(0.25).alias(engines[1]), F.lit(0.25).alias(engines[2]), F.lit("sigmoid").alias("method"))
+    return upsert_weights(users, kept, u, engines)
 
 
 @query("d9_prompt_usage", "SELECT user_id, event_type, count(*) AS used, max(ts) AS last_used, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1 AS is_default FROM events GROUP BY user_id, event_type")
@@ -245,10 +258,16 @@ def flt19(t):
     return t.lineitem.where("l_returnflag = 'N' and l_shipdate >= timestamp'1995-06-01' and l_shipdate < timestamp'1995-06-08'").orderBy(F.desc("l_discount"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_discount")
 
 
-@query("d14_import_review", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 10000000 END AS annotation_id FROM orders")
+@query("d14_import_review", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'pending' END AS status, k AS component_type,
+  CASE WHEN k = 'Position' THEN (o_orderkey % 1000)::INT END AS start_offset, CASE k WHEN 'Visual' THEN o_orderpriority WHEN 'Content' THEN o_orderstatus END AS value
+  FROM orders LEFT JOIN (SELECT unnest(['Position', 'Visual', 'Content', 'Temporal']) AS k) ON o_orderstatus = 'F' AND (k <> 'Content' OR o_orderkey % 5 <> 0)""")
 def d14(t):
-    s = F.col("o_orderstatus")
-    return t.orders.select("o_orderkey", F.when(s == "F", "accepted").when(s == "P", "rejected").otherwise("pending").alias("status"), F.when(s == "F", F.col("o_orderkey") + 10000000).alias("annotation_id"))
+    """Candidates from orders, decided by the order's state; states with the components that acceptance makes."""
+    key, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    start = (key % 1000).cast("int")
+    c = t.orders.select(key.alias("id"), F.col("o_custkey").alias("document_id"), start.alias("start_offset"), (start + 50).alias("end_offset"), F.col("o_orderpriority").alias("color"), F.when(key % 5 != 0, s).alias("note"))
+    states, rows = import_review(c, t.orders.where("o_orderstatus in ('F', 'P')").select(key.alias("id"), (s == "F").alias("accept")), _now("2024-01-15"))
+    return states.join(rows.withColumnRenamed("entity_id", "id"), "id", "left").select("id", "status", "component_type", "start_offset", "value")
 
 
 @query("time_distance", "SELECT event_id, abs(date_diff('hour', TIMESTAMP '2024-01-15', date_trunc('hour', ts))) AS hours, abs(date_diff('day', DATE '2024-01-15', ts::DATE)) AS days FROM events")

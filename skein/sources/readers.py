@@ -93,14 +93,20 @@ def parse_epub(content: bytes) -> dict:
     return {"title": (named("title") or [""])[0], "author": (named("creator") or [""])[0], "subjects": named("subject"), "chapters": chapters}
 
 
-@reader("epub")
-def epub(spark, path):
+def parse_epubs(files: DataFrame) -> DataFrame:
+    """files (path, content) to path, title, markdown; a file that is no readable book raises."""
+
     def run(batches):
         for b in batches:
             rows = [parse_epub(c) for c in b["content"]]
             yield pd.DataFrame({"path": b["path"], "title": [r["title"] for r in rows], "markdown": ["\n\n".join(r["chapters"]) for r in rows]})
 
-    return _files(spark, path, "*.epub").select("path", "content").mapInPandas(run, "path string, title string, markdown string")
+    return files.select("path", "content").mapInPandas(run, "path string, title string, markdown string")
+
+
+@reader("epub")
+def epub(spark, path):
+    return parse_epubs(_files(spark, path, "*.epub"))
 
 
 @reader("pdf")
@@ -117,8 +123,13 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {}
 
 
 def vault(spark: SparkSession, path: str) -> DataFrame:
-    """Folders of a vault: which of their parts are there; complete with content.md, chunks.json and metadata.json."""
-    f = _files(spark, path, "*").select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    """Folders of a vault and which of their parts are there."""
+    return vault_status(_files(spark, path, "*").select("path"))
+
+
+def vault_status(files: DataFrame) -> DataFrame:
+    """A listing (path) by folder: which parts are there; complete with content.md, chunks.json and metadata.json."""
+    f = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
     has = lambda n: F.bool_or(F.col("name") == n)
     g = f.groupBy("folder").agg(has("content.md").alias("content"), has("chunks.json").alias("chunks"), has("metadata.json").alias("metadata"))
     return g.withColumn("complete", F.col("content") & F.col("chunks") & F.col("metadata"))

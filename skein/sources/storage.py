@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,3 +19,11 @@ def sync_state(storage: DataFrame, table: DataFrame) -> DataFrame:
 def batch_size(n: Column, fields: int, parameters: int = 65535) -> Column:
     """A tenth of n rows, 5 to 100, and no more than fit in one statement's parameters."""
     return F.least(F.greatest(F.least(F.ceil(n / 10), F.lit(100)), F.lit(5)), F.lit(parameters // fields)).cast("long")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; in local mode, where that is unset, a temporary one."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='skein-')}/{name}-{uuid.uuid4().hex}"

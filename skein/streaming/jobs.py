@@ -1,14 +1,14 @@
-"""Streams over events: job states, windows and retries."""
+"""Streams over events: job states, windows, retries and stale jobs."""
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.storage import scratch
+
 STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
 
 
@@ -47,17 +47,73 @@ def job_states(events: DataFrame) -> DataFrame:
     return jobs.groupBy("job_id").applyInPandasWithState(update, "job_id long, status string, updated_us long, events long", "ts long, event long, status string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Minutes without a sign of life after which a running job is taken back, and retries of a failed one.
+STALE_MINUTES, MOST_RETRIES = 30, 3
+#: A failure that says one of these is tried again.
+TRANSIENT = ("temporary", "timeout", "network")
+_MINUTE = 60_000_000
+
+
+class JobTimers:
+    """One job: its status, retries so far, the timer that runs (microseconds, -1 for none) and the newest change seen."""
+
+    def __init__(self, status: str = "", retries: int = 0, timer: int = -1, at: int = -1, event: int = -1):
+        self.status, self.retries, self.timer, self.at, self.event = status, retries, timer, at, event
+
+    def due(self, now: int):
+        """What the timer does up to `now`: a failed job waits again, with one more retry; a silent one is taken back. Both then have no timer."""
+        if 0 <= self.timer <= now:
+            failed = self.status == "failed"
+            self.retries += failed
+            self.at, self.event, self.timer, self.status = self.timer, -1, -1, "pending"
+            yield self.at, self.status, self.retries, "retry" if failed else "stale"
+
+    def event_at(self, at: int, event: int, status: str, error: str | None):
+        """An event; older than the newest one (or than a timer that has fired) it counts for nothing."""
+        if (at, event) <= (self.at, self.event):
+            return
+        yield from self.due(at)
+        self.at, self.event, self.status, self.timer = at, event, status, -1
+        if status == "processing":
+            self.timer = at + STALE_MINUTES * _MINUTE
+        elif status == "failed" and self.retries < MOST_RETRIES and any(w in (error or "").lower() for w in TRANSIENT):
+            self.timer = at + min(2**self.retries, 30) * _MINUTE
+        yield at, status, self.retries, "event"
+
+
+def job_retries(jobs: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Events of jobs (job_id, ts, event_id, status, error) as a stream to every change of a job: job_id, at_us, status, retries, reason.
+
+    Timers run on event time: a transient failure is pending again after 2^retries minutes, 30 at most and MOST_RETRIES times; a job that is
+    processing and silent for STALE_MINUTES is pending again. A timer that is due before the next event acts at its own time, whether the
+    watermark or that event comes first, so results do not depend on how events are cut into batches. Timers beyond the watermark wait.
+    """
+
+    def update(key, batches, state: GroupState):
+        job = JobTimers(*state.get) if state.exists else JobTimers()
+        if state.hasTimedOut:
+            out = list(job.due(state.getCurrentWatermarkMs() * 1000))
+        else:
+            rows = [(int(pd.Timestamp(ts).value // 1000), int(e), s, x) for b in batches for ts, e, s, x in zip(b["ts"], b["event_id"], b["status"], b["error"], strict=True)]
+            out = [r for row in sorted(rows, key=lambda r: r[:2]) for r in job.event_at(*row)]
+        state.update((job.status, job.retries, job.timer, job.at, job.event))
+        if job.timer >= 0:
+            state.setTimeoutTimestamp(max(-(-job.timer // 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["job_id", "at_us", "status", "retries", "reason"])
+
+    rows = jobs.withWatermark("ts", late).select("job_id", "ts", "event_id", "status", "error")
+    return rows.groupBy("job_id").applyInPandasWithState(update, "job_id long, at_us long, status string, retries int, reason string", "status string, retries int, timer long, at long, event long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_once(stream: DataFrame, mode: str, path: str | None = None, name: str | None = None) -> DataFrame:
     """Everything that is there now, to a Parquet folder (append) or a memory table (all modes), exactly once; the result as a table."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skein-stream-")
-    import uuid
-
-    mark = uuid.uuid4().hex
-    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/stream-{mark}/state")
+    base = scratch(spark, "stream")
+    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
-        out = path or f"{base}/stream-{mark}/out"
+        out = path or f"{base}/out"
         w.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    w.format("memory").queryName(name or f"skein_{mark}").start().awaitTermination()
-    return spark.table(name or f"skein_{mark}")
+    name = name or "skein_" + base.rpartition("-")[2]
+    w.format("memory").queryName(name).start().awaitTermination()
+    return spark.table(name)
