@@ -37,6 +37,13 @@ ELEMENTS = {
 STAMP, STAMPED_WORD, SPEAKER_MARK, SOME_STAMPS, MANY_STAMPS = r"\[?\d{1,2}:\d{2}(?::\d{2})?\]?", r"\[\d{1,2}:\d{2}\]\s+\w+", "[[", 5, 20
 MARKDOWN_SIGNS = ((r"(?m)^#{1,6}\s+",), (r"(?m)^[*+-]\s+", r"(?m)^\d+\.\s+"), (r"\*\*.+\*\*", "__.+__"), (r"\[.+\]\(.+\)",))
 CODE_SIGNS = ((r"```[\s\S]*```", r"(?m)^    "), (r"function\s+\w+|class\s+\w+|const\s+\w+|import\s+",), (r"[{}\[\]()<>]",))
+CODE_LANGUAGES = (
+    ("javascript", r"(?m)import\s+.*from\s+['\"]|export\s+"),
+    ("python", r"(?m)def\s+\w+|import\s+\w+|from\s+\w+\s+import"),
+    ("go", r"package\s+\w+|func\s+\w+|import\s+\""),
+    ("rust", r"fn\s+\w+|impl\s+\w+|use\s+\w+"),
+    ("java", r"class\s+\w+.*\{|interface\s+\w+"),
+)
 DIRT = (r"\n{4,}", r"\n\n\d{1,4}\n\n", r"@page\s*\{|margin.*:\s*\d+pt|\.pt\s*;", r"(?m)\*\*[A-Z]{20,}\*\*|^[A-Z]{20,}$")
 SHORT_LINE, SHORT_SHARE = 40, 0.3
 TIDY = (("[“”]", '"'), ("[‘’]", "'"), ("–", "-"), ("—", "--"), ("…", "..."), (r"\n{3,}", "\n\n"), (" {2,}", " "), (r"(?m)^[ \t]+|[ \t]+$", ""))
@@ -102,12 +109,13 @@ def share_of(text: Column, signs) -> Column:
 
 
 def paste_format(text: Column) -> Column:
-    """struct(format, confidence): transcript, markdown, code or plain_text, by shares of tell-tale patterns."""
+    """struct(format, confidence, language): transcript, markdown, code or plain_text, by shares of tell-tale patterns; code may have a language."""
     stamps = F.regexp_count(text, F.lit(STAMP))
     transcript = (stamps > SOME_STAMPS) & (text.contains(SPEAKER_MARK) | (stamps > MANY_STAMPS) | text.rlike(STAMPED_WORD))
     md, code = share_of(text, MARKDOWN_SIGNS), share_of(text, CODE_SIGNS)
-    made = lambda f, c: F.struct(F.lit(f).alias("format"), c.cast("double").alias("confidence"))
-    return F.when(transcript, made("transcript", F.lit(0.9))).when(md >= 0.5, made("markdown", md)).when(code >= 0.5, made("code", code)).otherwise(made("plain_text", F.lit(0.5)))
+    language = F.coalesce(*[F.when(text.rlike(p), n) for n, p in CODE_LANGUAGES])
+    made = lambda f, c, of=F.lit(None): F.struct(F.lit(f).alias("format"), c.cast("double").alias("confidence"), of.cast("string").alias("language"))
+    return F.when(transcript, made("transcript", F.lit(0.9))).when(md >= 0.5, made("markdown", md)).when(code >= 0.5, made("code", code, F.when(code > 0.5, language))).otherwise(made("plain_text", F.lit(0.5)))
 
 
 def error_class(message: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,22 +36,52 @@ def step(state: tuple[float, float] | None, rating: int, days: float) -> tuple[f
     return s * (1 + math.exp(W[8]) * (11 - d) * s ** -W[9] * (math.exp(W[10] * (1 - r)) - 1) * bonus), nd
 
 
+class Fold:
+    """A card's reviews in order, one at a time."""
+
+    def __init__(self):
+        self.state, self.last, self.reps, self.lapses = None, None, 0, 0
+
+    def add(self, day: float, rating: int) -> None:
+        self.lapses += rating == 1 and self.state is not None
+        self.state = step(self.state, rating, 0.0 if self.last is None else max(0.0, day - self.last))
+        self.last, self.reps = day, self.reps + 1
+
+    def result(self) -> dict:
+        s, d = self.state
+        return {"reps": self.reps, "lapses": self.lapses, "stability": s, "difficulty": d, "last_day": self.last, "due_day": self.last + interval(s)}
+
+
 def fold(reviews: list[tuple[float, int]]) -> dict:
     """reviews: (day, rating) in order."""
-    state, last, lapses = None, None, 0
+    f = Fold()
     for day, rating in reviews:
-        lapses += rating == 1 and state is not None
-        state = step(state, rating, 0.0 if last is None else max(0.0, day - last))
-        last = day
-    return {"reps": len(reviews), "lapses": lapses, "stability": state[0], "difficulty": state[1], "last_day": last, "due_day": last + interval(state[0])}
+        f.add(day, rating)
+    return f.result()
 
 
 def schedule(reviews: DataFrame, card: str, ts: str, rating: str) -> DataFrame:
-    """One row a card: reps, lapses, stability, difficulty, last_day, due_day (days since the epoch). Each card is one array row."""
-    rows = F.array_sort(F.collect_list(F.struct((F.unix_micros(F.col(ts).cast("timestamp")) / 8.64e10).alias("d"), F.col(rating).alias("r"))))
+    """One row a card: reps, lapses, stability, difficulty, last_day, due_day (days since the epoch), in order of time, then rating. Rows without a card are left out.
+
+    Sorted rows stream through their task and a card that a batch ends in is carried to the next, so no card's reviews are gathered. A card is
+    one sequence: its reviews are read by one task.
+    """
+    rows = reviews.select(F.col(card).cast("long").alias(card), (F.unix_micros(F.col(ts).cast("timestamp")) / 8.64e10).alias("_d"), F.col(rating).alias("_r")).where(F.col(card).isNotNull())
+    names = (card, "reps", "lapses", "stability", "difficulty", "last_day", "due_day")
 
     def run(batches):
+        now, f = None, None
         for b in batches:
-            yield pd.DataFrame([{card: c} | fold([(x["d"], x["r"]) for x in own]) for c, own in zip(b[card], b["rows"], strict=True)])
-
-    return reviews.groupBy(card).agg(rows.alias("rows")).mapInPandas(run, f"{card} long, reps int, lapses int, stability double, difficulty double, last_day double, due_day double")
+            out = []
+            for c, own in groupby(zip(b[card], b["_d"], b["_r"], strict=True), key=lambda x: x[0]):
+                if f is not None and c != now:
+                    out.append({card: now} | f.result())
+                    f = None
+                now, f = c, f or Fold()
+                for _, day, r in own:
+                    f.add(day, r)
+            yield pd.DataFrame(out, columns=list(names))
+        if f is not None:
+            yield pd.DataFrame([{card: now} | f.result()])
+
+    return rows.repartition(card).sortWithinPartitions(card, "_d", "_r").mapInPandas(run, f"{card} long, reps int, lapses int, stability double, difficulty double, last_day double, due_day double")

@@ -34,17 +34,20 @@ def enr2(t):
     return t.documents.select("doc_id", F.coalesce(F.when(m == 0, F.col("lang")), F.when(m == 1, F.col("source")), F.lit("general")).alias("domain"), errors.alias("errors"))
 
 
-@query("src6_paste_format", r"""WITH t AS (SELECT conv_id, string_agg('[' || lpad(turn::VARCHAR, 2, '0') || ':00] ' || text || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '# head' || chr(10) || '- item **b**' WHEN conv_id % 3 = 1 THEN chr(10) || 'import x {}' ELSE '' END, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+@query("src6_paste_format", r"""WITH t AS (SELECT conv_id, string_agg('[' || lpad(turn::VARCHAR, 2, '0') || ':00] ' || text || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '# head' || chr(10) || '- item **b**' WHEN conv_id % 3 = 1 THEN chr(10) || (CASE conv_id % 5 WHEN 0 THEN 'import x from "y" {}' WHEN 1 THEN 'import x {}' WHEN 2 THEN 'import "x" {}' WHEN 3 THEN 'const x {} fn main' ELSE 'class A {' END) ELSE '' END, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
   s AS (SELECT conv_id, text, len(regexp_extract_all(text, '\[?\d{1,2}:\d{2}(?::\d{2})?\]?')) AS n,
     (regexp_matches(text, '(?m)^#{1,6}\s+')::INT + (regexp_matches(text, '(?m)^[*+-]\s+') OR regexp_matches(text, '(?m)^\d+\.\s+'))::INT + (regexp_matches(text, '\*\*.+\*\*') OR regexp_matches(text, '__.+__'))::INT + regexp_matches(text, '\[.+\]\(.+\)')::INT) / 4.0::DOUBLE AS md,
     ((regexp_matches(text, '(?s)```.*```') OR regexp_matches(text, '(?m)^    '))::INT + regexp_matches(text, 'function\s+\w+|class\s+\w+|const\s+\w+|import\s+')::INT + regexp_matches(text, '[{}\[\]()<>]')::INT) / 3.0::DOUBLE AS code FROM t)
   SELECT conv_id, CASE WHEN n > 5 AND (contains(text, '[[') OR n > 20 OR regexp_matches(text, '\[\d{1,2}:\d{2}\]\s+\w+')) THEN 'transcript' WHEN md >= 0.5 THEN 'markdown' WHEN code >= 0.5 THEN 'code' ELSE 'plain_text' END AS format,
-    round(CASE WHEN n > 5 AND (contains(text, '[[') OR n > 20 OR regexp_matches(text, '\[\d{1,2}:\d{2}\]\s+\w+')) THEN 0.9 WHEN md >= 0.5 THEN md WHEN code >= 0.5 THEN code ELSE 0.5 END, 6)::DOUBLE AS confidence FROM s""")
+    round(CASE WHEN n > 5 AND (contains(text, '[[') OR n > 20 OR regexp_matches(text, '\[\d{1,2}:\d{2}\]\s+\w+')) THEN 0.9 WHEN md >= 0.5 THEN md WHEN code >= 0.5 THEN code ELSE 0.5 END, 6)::DOUBLE AS confidence,
+    CASE WHEN (n > 5 AND (contains(text, '[[') OR n > 20 OR regexp_matches(text, '\[\d{1,2}:\d{2}\]\s+\w+'))) OR md >= 0.5 OR code <= 0.5 THEN NULL WHEN regexp_matches(text, 'import\s+.*from\s+[''"]|export\s+') THEN 'javascript' WHEN regexp_matches(text, 'def\s+\w+|import\s+\w+|from\s+\w+\s+import') THEN 'python'
+      WHEN regexp_matches(text, 'package\s+\w+|func\s+\w+|import\s+"') THEN 'go' WHEN regexp_matches(text, 'fn\s+\w+|impl\s+\w+|use\s+\w+') THEN 'rust' WHEN regexp_matches(text, 'class\s+\w+.*\{|interface\s+\w+') THEN 'java' END AS language FROM s""")
 def src6(t):
     m = F.col("conv_id") % 3
-    line = F.concat(F.lit("["), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":00] "), F.col("text"), F.when(m == 0, "\n# head\n- item **b**").when(m == 1, "\nimport x {}").otherwise(""))
+    code = F.element_at(F.array(*map(F.lit, ('import x from "y" {}', "import x {}", 'import "x" {}', "const x {} fn main", "class A {"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    line = F.concat(F.lit("["), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":00] "), F.col("text"), F.when(m == 0, "\n# head\n- item **b**").when(m == 1, F.concat(F.lit("\n"), code)).otherwise(""))
     d = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    return d.select("conv_id", X.paste_format(F.col("text")).alias("p")).select("conv_id", "p.format", F.round("p.confidence", 6).alias("confidence"))
+    return d.select("conv_id", X.paste_format(F.col("text")).alias("p")).select("conv_id", "p.format", F.round("p.confidence", 6).alias("confidence"), "p.language")
 
 
 def _grams(c):
