@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -326,3 +326,23 @@ def holding(texts: DataFrame, needles: DataFrame, id_col: str = "doc_id", text_c
     short = n.where(F.size("_w") < GRAM).drop("_n", "_w")
     held = F.expr(f"instr({text_col}, {needle_col}) > 0")
     return met.where(held).unionByName(texts.join(short, held))
+
+
+def _confidence_of(matches: DataFrame):
+    found = F.col("method") != "interpolated"
+    return found, F.sum(F.when(found, F.col("confidence")).otherwise(0.0))
+
+
+def match_statistics(matches: DataFrame) -> DataFrame:
+    """Matches of all chunks (confidence, method, start_offset, end_offset) by layer: n, share of all, mean confidence, characters."""
+    g = matches.groupBy("method").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"), F.sum(F.col("end_offset") - F.col("start_offset")).alias("chars"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each layer
+    return g.select("method", "n", F.round(F.col("n") / total, 6).alias("share"), F.round("mean", 6).alias("confidence"), "chars")
+
+
+def match_quality(matches: DataFrame, exact: float = 1.0, high: float = 0.85) -> DataFrame:
+    """Per document: chunks by tier (exact, high, medium; interpolated ones are synthetic), the share that was found and the mean confidence with 0 for the rest."""
+    found, total = _confidence_of(matches)
+    c = F.col("confidence")
+    tiers = {"exact": found & (c >= exact), "high": found & (c >= high) & (c < exact), "medium": found & (c < high), "synthetic": ~found}
+    return matches.groupBy("document_id").agg(*[F.count_if(x).alias(k) for k, x in tiers.items()], F.round(F.count_if(found) / F.count("*"), 6).alias("rate"), F.round(total / F.count("*"), 6).alias("confidence"))

@@ -104,3 +104,18 @@ def import_review(candidates: DataFrame, decisions: DataFrame, now) -> tuple[Dat
     value = F.when(F.col("component_type") == "Visual", F.col("color")).when(F.col("component_type") == "Content", F.col("note"))
     rows = c.select(F.col("id").alias("entity_id"), "component_type", "document_id", F.when(at, F.col("start_offset")).alias("start_offset"), F.when(at, F.col("end_offset")).alias("end_offset"), value.alias("value"), now.alias("created_at"))
     return j.select("id", state.alias("status")), rows
+
+
+def resume_plan(jobs: DataFrame, files: DataFrame, stages: list[str]) -> DataFrame:
+    """jobs (id, resume_count, last_stage, path, hash) against the files of checkpoints (path, content): where each job goes on.
+
+    A job that was resumed, names a known stage and whose file's SHA-256 begins with its hash goes on after that stage; a job past the last
+    stage is done. All others begin at the first stage, for a reason: fresh, no_stage, missing (no file or no hash), changed.
+    """
+    f = files.select("path", F.sha2("content", 256).alias("_sha"))
+    j = jobs.join(f, "path", "left")
+    at = F.array_position(F.array(*map(F.lit, stages)), F.col("last_stage"))
+    reason = (F.when(F.coalesce("resume_count", F.lit(0)) == 0, "fresh").when(F.coalesce(at, F.lit(0)) == 0, "no_stage").when(F.col("_sha").isNull() | (F.coalesce(F.length("hash"), F.lit(0)) == 0), "missing")
+              .when(~F.startswith(F.col("_sha"), F.col("hash")), "changed").when(at == len(stages), "done").otherwise("resumed"))
+    after = F.get(F.array(*map(F.lit, stages)), at.cast("int"))
+    return j.select("id", reason.alias("reason"), F.when(reason == "resumed", after).when(reason != "done", stages[0]).alias("next_stage"))

@@ -1,4 +1,4 @@
-"""Queries for readers and writers by round trips, highlights in HTML, the cache and the timers of jobs."""
+"""Queries for readers and writers by round trips, highlights in HTML, the cache, timers and checkpoints of jobs, and what the matcher found."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import caching, highlights
+from ..operators import caching, highlights, matching, state
 from ..sources import readers
 from ..sources.storage import scratch
 from ..streaming import jobs as J
@@ -128,3 +128,37 @@ def job_stream(events):
 def st3(t):
     """Every change of the jobs over the stream of events, run to the end once."""
     return J.run_once(J.job_retries(job_stream(J.read_events(t.spark, f"{t.folder}/events.parquet"))), "append")
+
+
+STAGES = ["extract", "clean", "chunk", "embed"]
+
+
+@query("st5_resume", """WITH j AS (SELECT doc_id AS id, doc_id % 3 AS resumes, CASE doc_id % 6 WHEN 0 THEN 'extract' WHEN 1 THEN 'clean' WHEN 2 THEN 'chunk' WHEN 3 THEN 'embed' WHEN 4 THEN 'unknown' END AS stage, text IS NOT NULL AND doc_id % 7 <> 0 AS there, doc_id % 5 = 0 AS bad FROM documents),
+  r AS (SELECT *, CASE WHEN resumes = 0 THEN 'fresh' WHEN stage IS NULL OR stage = 'unknown' THEN 'no_stage' WHEN NOT there THEN 'missing' WHEN bad THEN 'changed' WHEN stage = 'embed' THEN 'done' ELSE 'resumed' END AS reason FROM j)
+  SELECT id, reason, CASE WHEN reason = 'done' THEN NULL WHEN reason <> 'resumed' THEN 'extract' WHEN stage = 'extract' THEN 'clean' WHEN stage = 'clean' THEN 'chunk' ELSE 'embed' END AS next_stage FROM r""")
+def st5(t):
+    """A job a document whose checkpoint is its text; every seventh file is gone, every fifth hash is of something else."""
+    d = F.col("doc_id")
+    stage = F.get(F.array(*map(F.lit, [*STAGES, "unknown"])), (d % 6).cast("int"))
+    sha = F.substring(F.sha2(F.when(d % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256), 1, 16)
+    docs = t.documents.select("doc_id", "text", F.concat(F.lit("checkpoints/"), d).alias("path"))
+    jobs = docs.select(d.alias("id"), (d % 3).alias("resume_count"), stage.alias("last_stage"), "path", sha.alias("hash"))
+    return state.resume_plan(jobs, docs.where("doc_id % 7 <> 0").select("path", F.col("text").alias("content")), STAGES)
+
+
+def matches(t):
+    """What the offset matcher finds for chunks with squeezed white space."""
+    c = X.doc_chunks(t).select("document_id", "chunk_index", F.trim(F.regexp_replace("content", r"\s+", " ")).alias("content"))
+    return matching.match_documents(c, t.documents.select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query("a15_matcher_layers")
+def a15_layers(t):
+    """Layers over the matcher's own output, all documents (A15, A16)."""
+    return matching.match_statistics(matches(t))
+
+
+@query("a18_matcher_quality")
+def a18_quality(t):
+    """Tiers, recovery rate and mean confidence over the matcher's own output (A10, A18, A19, FLT12)."""
+    return matching.match_quality(matches(t))

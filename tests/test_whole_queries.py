@@ -188,3 +188,31 @@ def test_stitching_restores_texts(spark, folder):
     for i in (0, 1, 3, 4):
         text = TEXTS[i]
         assert got[i] == (len(text), hashlib.md5(text.encode()).hexdigest())
+
+
+def test_statistics_of_the_matcher(spark, folder):
+    found = catalog.queries()["str5_offset_matcher"](spark, folder).collect()
+    layers = {r["method"]: r for r in catalog.queries()["a15_matcher_layers"](spark, folder).collect()}
+    assert set(layers) == {r["method"] for r in found}
+    for m, r in layers.items():
+        own = [x for x in found if x["method"] == m]
+        assert (r["n"], r["chars"]) == (len(own), sum(x["end_offset"] - x["start_offset"] for x in own))
+        assert r["share"] == pytest.approx(len(own) / len(found), abs=1e-6) and r["confidence"] == pytest.approx(sum(x["confidence"] for x in own) / len(own), abs=1e-6)
+    quality = {r["document_id"]: r for r in catalog.queries()["a18_matcher_quality"](spark, folder).collect()}
+    assert set(quality) == {x["document_id"] for x in found}
+    for d, r in quality.items():
+        own = [x for x in found if x["document_id"] == d]
+        hit = [x["confidence"] for x in own if x["method"] != "interpolated"]
+        assert (r["exact"], r["high"], r["medium"], r["synthetic"]) == (sum(c == 1 for c in hit), sum(0.85 <= c < 1 for c in hit), sum(c < 0.85 for c in hit), len(own) - len(hit))
+        assert r["rate"] == pytest.approx(len(hit) / len(own), abs=1e-6) and r["confidence"] == pytest.approx(sum(hit) / len(own), abs=1e-6)
+
+
+def test_resume_plan(spark):
+    import hashlib
+
+    from skein.operators.state import resume_plan
+
+    sha = hashlib.sha256(b"x").hexdigest()
+    jobs = [(1, 0, "a", "p", sha), (2, 1, "a", "p", sha[:8]), (3, 1, "b", "p", sha), (4, 2, None, "p", sha), (5, 1, "a", "gone", sha), (6, 1, "a", "p", "0" * 16), (7, None, "a", "p", sha), (8, 1, "a", "p", None), (9, 1, "z", None, sha)]
+    got = resume_plan(spark.createDataFrame(jobs, "id long, resume_count int, last_stage string, path string, hash string"), spark.createDataFrame([("p", "x")], "path string, content string"), ["a", "b"])
+    assert {r["id"]: (r["reason"], r["next_stage"]) for r in got.collect()} == {1: ("fresh", "a"), 2: ("resumed", "b"), 3: ("done", None), 4: ("no_stage", "a"), 5: ("missing", "a"), 6: ("changed", "a"), 7: ("fresh", "a"), 8: ("missing", "a"), 9: ("no_stage", "a")}
