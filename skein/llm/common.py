@@ -324,18 +324,26 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 
 # ---------------------------------------------------------------- ranks
 
-def ranked(scratch: Scratch, df: DataFrame, group: str, order: list) -> DataFrame:
-    """df with `rank`: 1, 2, ... within each value of `group` (nulls last, one group) in the order given.
+def numbered(scratch: Scratch, df: DataFrame, order: list, name: str = "g") -> DataFrame:
+    """df with `name`: 0, 1, ... in the order given, which must tell all rows apart that differ. Written to the shared folder.
 
-    One range-partitioned sort over (group, *order); no group is gathered in one task. A row's global rank is its number
-    in its partition plus the sizes of the partitions before; subtracting the rows of the groups before gives its rank. Only
-    one row for each partition and for each group takes part in the window sums.
+    One range-partitioned sort; a row's number is its place in its partition plus the sizes of the partitions before. Only one row for
+    each partition takes part in the window sum. Rows come back in any order.
     """
     from pyspark.sql import Window
 
-    s = scratch.write(df.sort(F.col(group).asc_nulls_last(), *order).withColumn("_mid", F.monotonically_increasing_id()))
+    s = scratch.write(df.sort(*order).withColumn("_mid", F.monotonically_increasing_id()))
     s = s.withColumn("_part", F.shiftright("_mid", 33))
     parts = s.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    groups = s.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_skip", F.sum("_n").over(Window.orderBy(F.col(group).asc_nulls_last())) - F.col("_n")).select(F.col(group).alias("_g"), "_skip")
-    out = s.join(F.broadcast(parts), "_part").join(groups, s[group].eqNullSafe(groups["_g"]))
-    return out.withColumn("rank", F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1) - F.col("_skip") + 1).drop("_mid", "_part", "_before", "_g", "_skip")
+    return s.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid", "_part", "_before")
+
+
+def ranked(scratch: Scratch, df: DataFrame, group: str, order: list) -> DataFrame:
+    """df with `rank`: 1, 2, ... within each value of `group` (nulls last, one group) in the order given.
+
+    A row's rank is its number among all rows (numbered) less the least number of its group, which is aggregated before the shuffle; neither a
+    group nor the list of groups is gathered in one task.
+    """
+    g = numbered(scratch, df, [F.col(group).asc_nulls_last(), *order], "_g")
+    first = g.groupBy(F.col(group).alias("_key")).agg(F.min("_g").alias("_first"))
+    return g.join(first, g[group].eqNullSafe(first["_key"])).withColumn("rank", F.col("_g") - F.col("_first") + 1).drop("_g", "_key", "_first")
