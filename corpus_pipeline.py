@@ -17,7 +17,7 @@ from skein.shipping import ship_package
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter have no language and go; lang becomes the one predicted from the text.
 
-    Null, empty and letterless texts go; repeated rows, null ids and languages, very long texts and columns of any other name stay. Ties: the
+    Null, empty and letterless texts go, and no others, whatever languages are called; repeated rows, null ids and languages, very long texts and columns of any other name stay. Ties: the
     smaller language. Without any language in the table nothing can be predicted: every document with a letter stays as it is.
     """
     ship_package(spark)
@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = docs.columns
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = language_id.predict(spark, docs, model, "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    out = out.where(F.col("lang_pred") != language_id.UNKNOWN)
+    out = language_id.predict(spark, docs, model, "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), unknown=None)
+    out = out.where("lang_pred is not null")
     return out.select(*[(F.col("lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in names])
 
 

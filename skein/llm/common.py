@@ -345,5 +345,5 @@ def ranked(scratch: Scratch, df: DataFrame, group: str, order: list) -> DataFram
     group nor the list of groups is gathered in one task.
     """
     g = numbered(scratch, df, [F.col(group).asc_nulls_last(), *order], "_g")
-    first = g.groupBy(F.col(group).alias("_key")).agg(F.min("_g").alias("_first"))
-    return g.join(first, g[group].eqNullSafe(first["_key"])).withColumn("rank", F.col("_g") - F.col("_first") + 1).drop("_g", "_key", "_first")
+    first = scratch.write(g.groupBy(F.col(group).alias("_key")).agg(F.min("_g").alias("_first")))
+    return g.join(F.broadcast(first) if small_rows(first, BROADCAST_ROWS // 5) else first, g[group].eqNullSafe(first["_key"])).withColumn("rank", F.col("_g") - F.col("_first") + 1).drop("_g", "_key", "_first")

@@ -145,8 +145,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return langs, unit(p - p.mean(0)) if len(langs) > 1 else p
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", *keep: Column) -> DataFrame:
-    """The columns `keep` with lang_pred and score."""
+def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", *keep: Column, unknown: str | None = UNKNOWN) -> DataFrame:
+    """The columns `keep` with lang_pred and score; unknown: what texts without letters get, None where a language may have any name."""
     langs, prototypes = model
     sent = spark.sparkContext.broadcast(prototypes)  # languages x DIM floats
 
@@ -161,7 +161,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
                 for some, x in zip(h.any(1), cos, strict=True):
                     ok = bool(some) and len(langs) > 0
                     k = int(np.argmax(x)) if ok else 0
-                    pred.append(langs[k] if ok else UNKNOWN)
+                    pred.append(langs[k] if ok else unknown)
                     score.append(float(min(1.0, max(0.0, x[k]))) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*(f"c{k}" for k in range(batch.num_columns - 1)), "lang_pred", "score"])
 

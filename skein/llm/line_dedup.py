@@ -13,7 +13,8 @@ or within one insertion, deletion or substitution of a character. The earliest i
 3. Equal variants are joined by aggregation: lines with the same variant and the same place differ by a substitution there, and a line that
    is the variant itself differs by one character from all who share it. So the earliest of each (variant, place) and of each
    variant shows whether a line has an earlier neighbour; no pairs are made within a variant, however many lines share it.
-4. The edit distance of each line to be dropped and its earliest neighbour is verified on their texts.
+4. The edit distance of each line to be dropped and its earliest neighbour is verified on their texts, in a band of one edit: in proportion to
+   a line's length. A line of n characters emits about 2n variants.
 
 Defined results: null text stays null (no lines). Empty texts stay. Rows that repeat an id with the same text are one document: all stay alike.
 Rows that repeat an id with another text come in the order of their texts' hashes. Null ids come first. Ties cannot occur. Empty tables
@@ -113,7 +114,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     wanted = live.groupBy(F.col("at._ld_doc").alias("_ld_doc"), F.col("at._ld_text").alias("_ld_text")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "h1", "h2", "shared")).alias("want"))
     wanted = tmp.write(wanted)
-    texts = semi_join(keyed.where("text is not null"), wanted.select("_ld_doc").distinct(), "_ld_doc")
+    texts = semi_join(keyed.where("text is not null"), wanted.select("_ld_text").distinct(), "_ld_text")  # by text: ids may be null
     texts = texts.join(wanted, (texts["_ld_doc"].eqNullSafe(wanted["_ld_doc"])) & (texts["_ld_text"] == wanted["_ld_text"])).select(texts["_ld_doc"], texts["_ld_text"], "text", "want").dropDuplicates(["_ld_doc", "_ld_text"])
 
     def own_lines(batches):
@@ -177,7 +178,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     text_of = content.select("h1", "h2", "content")
     near = near.join(text_of, ["h1", "h2"]).select("h1", "h2", F.col("content").alias("c1"), F.col("e.h1").alias("g1"), F.col("e.h2").alias("g2"))
     near = near.join(text_of.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("content").alias("c2")), ["g1", "g2"])
-    near = near.where(F.levenshtein("c1", "c2") <= 1).select("h1", "h2", F.lit(True).alias("near"))
+    near = near.where(F.levenshtein("c1", "c2", 1) >= 0).select("h1", "h2", F.lit(True).alias("near"))
 
     many = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(tmp.write(many), ["h1", "h2"]).where(F.col("near") | (place != F.col("at")))

@@ -211,11 +211,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """doc_id, start_word, end_word (exclusive), other_doc: the passages of LEAST words or more that other documents have too."""
     tmp = Scratch(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    named = base.select("doc", F.md5(F.col("text").cast("binary")).alias("h"))
+    base = base.withColumn("h", F.md5(F.col("text").cast("binary")))
+    named = base.select("doc", "h")
     groups = tmp.write(named.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high"))  # apart from the join, so that a hot text can be split
-    copies = tmp.write(named.join(groups, "h").select("doc", "low", "high").distinct())
-    again = copies.where("doc <> low").select("doc").distinct()
-    single = base.join(F.broadcast(again) if small_rows(again) else again, "doc", "left_anti")
+    copies = tmp.write(named.join(groups, "h").select("doc", "h", "low", "high").distinct())
+    again = copies.where("doc <> low").select("doc", "h")  # rows, not ids: an id may have other texts
+    single = base.join(F.broadcast(again) if small_rows(again) else again, ["doc", "h"], "left_anti").drop("h")
 
     sparse = tmp.write(kept_suffixes(single))
     shared = sparse.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low <> high").select("gram", (F.col("n") > GROUP).alias("hot"))
@@ -231,8 +232,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     wide = windows.join(held, ["gram", "window"])
     spans = spans.unionByName(wide.select("doc", F.col("pos").alias("start"), (F.col("pos") + LEAST).alias("end"), F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")))
     n_words = F.regexp_count("text", F.lit(WORD)).cast("int")
-    sizes = semi_join(base, copies.select("doc").distinct(), "doc").select("doc", n_words.alias("end")).groupBy("doc").agg(F.max("end").alias("end"))
-    whole = copies.join(sizes, "doc").where(F.col("end") >= LEAST).select("doc", F.lit(0).alias("start"), "end", F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    sizes = semi_join(base, copies.select("doc").distinct(), "doc").select("doc", "h", n_words.alias("end")).distinct()
+    whole = copies.join(sizes, ["doc", "h"]).where(F.col("end") >= LEAST).select("doc", F.lit(0).alias("start"), "end", F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     spans = spans.unionByName(whole)
     merged = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "other")).alias("s")).mapInArrow(merge_spans, "doc_id long, start_word int, end_word int, other_doc long")
     return tmp.finish(merged)

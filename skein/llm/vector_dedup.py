@@ -12,7 +12,9 @@
    pairs that can are decided by the cosine of the unrotated vectors in double precision. It returns sums of links and a spanning forest
    of its links, never the links themselves; components follow by star contraction.
 
-The axes only order the work: they come from at most SAMPLE vectors (chosen by a hash) and do not change results.
+The axes only order the work: they come from about SAMPLE vectors at most (chosen by a hash) of the most frequent lengths and do not change
+results. Vectors of other lengths are compared as they are. Classes are told apart by 128 bits of hash, so that vectors themselves are
+shuffled to find equal ones, to be dealt to tiles and to be compared, and never to be joined back.
 
 Defined results: null labels, null, zero or empty vectors, and those with null or non-finite components link with nothing. Vectors of other
 lengths never link. Repeated rows are vectors of their own. A row that repeats an id shares its component. Null ids link with nothing.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import Forest, Scratch, components, ranked, sliced, small_rows
 
 TILE, SLICE, SAMPLE, GRID, LEAD, FEW = 1024, 16, 20_000, 3, 8, 16
+#: Axes are found for so many lengths, of so many components at most, by so many tasks.
+LENGTHS, LONGEST, PARTS = 4, 1024, 4
 
 
 def usable(vec: str):
@@ -43,15 +47,34 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Principal axes of unit vectors by length, leading ones first; from a bounded sample."""
-    n = vectors.count()
+    """Principal axes of unit vectors, leading ones first, for the LENGTHS most frequent lengths of up to LONGEST; from a bounded sample.
+
+    Workers add up the products of coordinates; LENGTHS x PARTS squares of a length come to the driver, no vectors.
+    """
+    sizes = vectors.where(F.size("vec") <= LONGEST).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()
+    if not sizes:
+        return {}
+    n = sum(r["count"] for r in sizes)
+    some = vectors.where(F.size("vec").isin([r["d"] for r in sizes]))
     if n > sample:
-        vectors = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    rows = vectors.select("vec").toPandas()["vec"]
-    out: dict[int, list] = {}
-    for v in rows:
-        out.setdefault(len(v), []).append(np.asarray(v, float))
-    return {d: np.linalg.eigh((u := unit(np.stack(v))).T @ u)[1][:, ::-1] for d, v in out.items() if d <= 4096}
+        some = some.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+
+    def products(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in sliced(batches):
+            vec = batch.column(0)
+            values, length = np.asarray(vec.flatten(), np.float64), np.asarray(vec.value_lengths(), np.int64)
+            start = np.cumsum(length) - length
+            for d in np.unique(length).tolist():
+                u = unit(values[start[length == d][:, None] + np.arange(d)])
+                sums[d] = sums.get(d, 0) + u.T @ u
+        for d, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([s.tobytes()], pa.binary())], names=["d", "s"])
+
+    total: dict[int, np.ndarray] = {}
+    for r in some.select("vec").repartition(PARTS).mapInArrow(products, "d int, s binary").toLocalIterator():  # a square at a time
+        total[r["d"]] = total.get(r["d"], 0) + np.frombuffer(r["s"]).reshape(r["d"], r["d"])
+    return {d: np.linalg.eigh(s)[1][:, ::-1] for d, s in total.items()}
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray | None, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +113,7 @@ def in_cells(classes: DataFrame, large: DataFrame, rotation, threshold: float) -
     def run(batches):
         for batch in sliced(batches):
             vec = batch.column("vec")
-            values, length = np.asarray(vec.flatten()), np.asarray(vec.value_lengths(), np.int64)
+            values, length = np.asarray(vec.flatten(), np.float64), np.asarray(vec.value_lengths(), np.int64)
             start = np.cumsum(length) - length
             lead = np.zeros((batch.num_rows, LEAD))
             rest = np.zeros(batch.num_rows)
@@ -131,13 +154,17 @@ def tile_pairs(placed: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
     """One row per row: id_col, n_links, component_id, kept."""
     tmp = Scratch(spark)
-    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = all_rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vec") & F.exists("vec", lambda x: x != 0))
-    classes = tmp.write(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("uid", F.xxhash64("label", "vec")))
+    held = "array<float>" if dict(rows.dtypes)[vec_col] == "array<float>" else "array<double>"  # half the bytes to shuffle; computed in doubles
+    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(held).alias("vec"))
+    is_good = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vec") & F.exists("vec", lambda x: x != 0)
+    good = all_rows.where(is_good)
+    hashes = [F.xxhash64("label", "vec").alias("uid"), F.xxhash64(F.lit(1), "vec", "label").alias("uid2")]
+    good = good.select("*", *hashes)
+    classes = tmp.write(good.groupBy("uid", "uid2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("id").alias("rep"), F.count("*").alias("copies")))
     rotation = spark.sparkContext.broadcast(axes(classes))  # a square of the vectors' length
 
     large = classes.groupBy("label").agg((F.count("*") > FEW * TILE).alias("large"))
-    placed = tmp.write(in_cells(classes, large, rotation, threshold))
+    placed = in_cells(classes.drop("uid2"), large, rotation, threshold)
     placed = ranked(tmp, placed, "group", [F.when(F.col("large"), F.col("l3")).otherwise(F.col("l0")), "l1", "uid"])
     placed = tmp.write(placed.withColumn("tile", F.concat_ws(":", "cell", F.floor((F.col("rank") - 1) / TILE))).drop("rank", "group"))
     pairs = tmp.write(tile_pairs(placed, threshold))
@@ -153,7 +180,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
         out: tuple[list, ...] = ([], [], [], [], [])
         for d in np.unique(length):
             own = np.flatnonzero(length == d)
-            x = np.stack([vec[int(k)].values.to_numpy(zero_copy_only=False) for k in own])
+            x = np.stack([vec[int(k)].values.to_numpy(zero_copy_only=False) for k in own]).astype(np.float64)
             one = tile[own] == low
             same = t.column("t2")[0].as_py() == low
             a, b = own[one], own[one] if same else own[~one]
@@ -174,8 +201,10 @@ def near_vectors(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
 
     found = tmp.write(spread.groupBy("label", "dim", "t1", "t2").applyInArrow(compare, "uid long, rep long, n long, a long, b long"))
     counts = found.where("uid is not null").groupBy("uid", "rep").agg(F.sum("n").alias("n"))
-    classes2 = classes.join(counts, ["uid", "rep"], "left").select("label", "vec", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    of = tmp.write(all_rows.join(classes2, ["label", "vec"], "left").select("id", "rep", "n_links"))
+    classes2 = classes.select("uid", "uid2", "rep", "copies").join(counts, ["uid", "rep"], "left").select("uid", "uid2", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    bad = ~F.coalesce(is_good, F.lit(False))
+    of = good.select("id", "uid", "uid2").join(classes2, ["uid", "uid2"]).select("id", "rep", "n_links")
+    of = tmp.write(of.unionByName(all_rows.where(bad).select("id", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("n_links"))))
     member = of.where("rep is not null").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     same_id = of.join(member.where("low < high"), "id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     comp = components(found.where("a is not null").select("a", "b").unionByName(same_id), tmp).withColumnRenamed("id", "low")

@@ -145,6 +145,21 @@ def test_repeated_rows_keep_their_lines(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, "same line here"): 3, (None, "a line of nobody"): 1}
 
 
+def test_lines_of_null_ids_come_first(spark):
+    rows = [(None, "a line that null holds", "en", "s"), (1, "a line that null holdz", "en", "s"), (2, "a line that null holds", "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark, docs_of(spark, rows)).collect()}
+    assert got == {None: "a line that null holds", 1: "", 2: ""}
+
+
+def test_very_long_lines_are_compared_in_a_band(spark):
+    r = random.Random(6)
+    line = "".join(r.choice("abcdefgh ") for _ in range(60_000)).strip()
+    changed, cut, twice = line[:30_000] + "#" + line[30_001:], line[:41_000] + line[41_001:], "#" + line[1:-1] + "#"
+    rows = [(1, line, "en", "s"), (2, changed, "en", "s"), (3, cut, "en", "s"), (4, twice, "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark, docs_of(spark, rows)).collect()}
+    assert [len(got[i]) for i in (1, 2, 3, 4)] == [len(line), 0, 0, len(twice)]
+
+
 # ------------------------------------------------------------------ 3
 
 @pytest.fixture(scope="module")
@@ -669,3 +684,30 @@ def test_passages_of_frequent_grams(spark):
         assert x["other_doc"] != x["doc_id"]
         got[x["doc_id"]][x["start_word"]:x["end_word"]] = True
     assert [i for i in want if (want[i] != got[i]).any()] == []
+
+
+# ------------------------------------------------------------------ rows that share an id
+
+def test_passages_of_an_id_with_a_copy(spark):
+    r = random.Random(12)
+    a, b = prose(r, 80), prose(r, 60)
+    rows = [(3, a, "en", "s"), (7, a, "en", "s"), (7, b, "en", "s"), (9, prose(r, 20) + " " + b + " " + prose(r, 20), "en", "s")]
+    got = sorted(tuple(x) for x in suffix_dedup.repeated_passages(spark, docs_of(spark, rows)).collect())
+    # the spans of both texts of 7 come together
+    assert got == [(3, 0, 80, 7), (7, 0, 80, 3), (9, 20, 80, 7)]
+    apart = sorted(tuple(x) for x in suffix_dedup.repeated_passages(spark, docs_of(spark, rows[1:])).collect())
+    assert apart == [(7, 0, 60, 9), (9, 20, 80, 7)]
+
+
+def test_vectors_of_many_lengths_and_labels(spark):
+    r = np.random.default_rng(7)
+    rows = []
+    for label in range(60):
+        for d in (3, 8, 5000) if label < 2 else (3, 8):
+            v = r.normal(size=d)
+            rows += [(len(rows), [float(x) for x in v], label), (len(rows) + 1, [float(x) for x in v * 2], label), (len(rows) + 2, [float(x) for x in -v], label)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {x["vec_id"]: tuple(x) for x in vector_dedup.near_vectors(spark, df).collect()}
+    for i, v, label in rows:
+        near = [j for j, w, other in rows if other == label and j != i and len(v) == len(w) and float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) >= 0.93]
+        assert got[i][1] == len(near) and got[i][2] == min([i, *near])

@@ -39,3 +39,11 @@ def test_stage_names(name):
     import corpus_pipeline
 
     assert name in dict(corpus_pipeline.STAGES)
+
+
+def test_no_name_of_a_language_costs_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"some words of a text {i}", "und" if i % 2 else "en", "s") for i in range(20)] + [(20, "1 2 3", "en", "s"), (21, None, "und", "s")]
+    out = corpus_pipeline.identify_language(spark, docs_of(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(20))
