@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cleanup import clean_epub, clean_pages
 
 
 def sliding_batches(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +68,7 @@ def html_to_markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", t).strip()
 
 
-FUNCTIONS = {"clean_pages": clean_pages, "clean_epub": clean_epub, "html_to_markdown": html_to_markdown}
+FUNCTIONS = {"html_to_markdown": html_to_markdown}
 
 
 def map_text(df: DataFrame, function: str, column: str, to: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.sets import levenshtein_similarity, set_similarity, trigrams
 from ..operators import chunking as C
+from ..operators import layout as L
 from ..operators import matching as M
 from ..operators import scheduling
 from ..operators import text as T
@@ -106,16 +107,33 @@ def str7(t):
     return M.stitch_documents(parts, share=1.0).select("document_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("str8_page_cleanup")
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PAGED = "regexp_replace(text, '((?:[^ \\t\\n\\x0B\\f\\r]+[ \\t\\n\\x0B\\f\\r]+){59}[^ \\t\\n\\x0B\\f\\r]+)[ \\t\\n\\x0B\\f\\r]+', E'\\\\1\\n\\n212 Jane Writer\\n\\n', 'g')"
+
+
+@query("str8_page_cleanup", rf"""WITH d AS (SELECT doc_id, {_PAGED} AS text FROM documents),
+  t AS (SELECT doc_id, length(text) AS given, regexp_replace(regexp_replace(regexp_replace(text, '[\x01-\x04]|{L.STYLE}', '', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g') AS text FROM d),
+  b AS (SELECT doc_id, given, list_filter(string_split_regex(trim(text, {_SPACE}), '\n[ \t\n\x0B\f\r]*\n'), lambda b: NOT regexp_matches(b, '^\**[A-Z]{{{L.GLYPHS},}}\**$')) AS b FROM t),
+  m AS (SELECT doc_id, given, array_to_string(list_transform(b, lambda b: CASE WHEN regexp_matches(b, '{L.LOCATOR}') THEN chr(2) || b || chr(3)
+    WHEN length(b) <= {L.LABEL_CHARS} AND regexp_matches(b, '{L.LABEL.replace("'", "''")}') AND NOT regexp_matches(b, '{L.CONNECTS}') AND NOT regexp_matches(b, '[.!?]$')
+    THEN chr(1) || CASE WHEN regexp_matches(b, '{L.CAPITALS}') THEN chr(4) ELSE '' END || b || chr(3) ELSE b END), E'\n\n') AS t FROM b),
+  r AS (SELECT doc_id, given, regexp_replace(regexp_replace(t, '{L.BROKEN}', '\1 \2', 'g'), '{L.BROKEN}', '\1 \2', 'g') AS t FROM m)
+  SELECT doc_id, given, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, given, trim(replace(regexp_replace(regexp_replace(t, '{L.BESIDE}', E'\n\n', 'g'), '{L.MARKS}', '', 'g'), chr(4), '## '), {_SPACE}) AS t FROM r)""")
 def str8(t):
-    d = t.documents.select("doc_id", F.concat(F.lit("some text,\n\n12\n\nand more,\n\nRunning Header\n\n"), F.lower("text"), F.lit("  x\n\n\n\n\nend")).alias("text"))
-    return T.map_text(d, "clean_pages", "text")
+    """Every sixty words a page ends: its running head goes where a sentence goes on behind it."""
+    white = r"[ \t\n\x0B\f\r]"
+    d = t.documents.select("doc_id", F.regexp_replace("text", rf"((?:[^ \t\n\x0B\f\r]+{white}+){{59}}[^ \t\n\x0B\f\r]+){white}+", "$1\n\n212 Jane Writer\n\n").alias("text"))
+    d = d.select("doc_id", F.length("text").alias("given"), L.clean_pages(F.col("text")).alias("text"))
+    return d.select("doc_id", "given", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("str9_epub_cleanup")
 def str9(t):
-    d = t.documents.select("doc_id", F.concat(F.lit('Cover\n\n[next](ch1.xhtml)\n\n\n\n'), F.col("text")).alias("text"))
-    return T.map_text(d, "clean_epub", "text")
+    """Documents as books: a cover, a table of contents, the publisher's page and note, file names and inner links around their text."""
+    front = "Cover\n\n# Contents\n\n[One](ch1.xhtml)\n[Two](ch2.xhtml)\n[Three](ch3.xhtml)\n\n# ch_01-a.xhtml\n\nISBN 1, all rights reserved.\n\n# Chapter 1\n\n"
+    back = "\n\n# Publisher's Note\n\nsaid here [back](ch1.xhtml#a)"
+    d = t.documents.select("doc_id", L.clean_book(F.concat(F.lit(front), F.col("text"), F.lit(back))).alias("text"))
+    return d.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("str10_sanitize_html", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?i)\s*on\w+\s*=\s*["''][^"'']*["'']', '', 'g'), '(?i)\s*on\w+\s*=\s*[^\s>]*', '', 'g'),

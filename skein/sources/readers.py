@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.text import clean_pages, html_to_markdown
+from ..operators.layout import clean_pages
+from ..operators.text import html_to_markdown
 
 Reader = Callable[[SparkSession, str], DataFrame]
 READERS: dict[str, Reader] = {}
@@ -56,8 +57,7 @@ def markdown(spark, path):
 
 @reader("markdown_clean")
 def markdown_clean(spark, path):
-    clean = F.pandas_udf(lambda s: s.map(clean_pages), "string")
-    return _titled(_text(spark, path, "*.md").withColumn("markdown", clean("markdown")))
+    return _titled(_text(spark, path, "*.md").withColumn("markdown", clean_pages(F.col("markdown"))))
 
 
 @reader("txt", "paste")

@@ -158,12 +158,6 @@ def test_pieces_and_blocks():
     assert chunking.fingerprint_similarity(f, f) == pytest.approx(1.0)
 
 
-def test_cleanup():
-    assert T.clean_pages("one,\n\n12\n\ntwo") == "one, two"
-    assert T.clean_pages("x.\n\nTHE BEGINNING\n\ny") == "x.\n\n## THE BEGINNING\n\ny"
-    assert T.clean_epub("see [a](b.xhtml)") == "see"
-
-
 # ------------------------------------------------------------------ the rest
 
 def test_schedule_grows_with_good_answers():
