@@ -242,6 +242,8 @@ class Merges:
 class SpeculativeTokenizer(WordTokenizer):
     """WordTokenizer's texts, with words encoded by Merges instead of the library; its normaliser and pre-tokenizer cut the words."""
 
+    most_known = 200_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -343,7 +345,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         t, speller = _tokenizer(tokenizer)
-        for batch in sliced(batches, 1 << 20):
+        for batch in sliced(batches, 1 << 19):
             ids = list(t.texts(batch.column(1)))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32))

@@ -44,6 +44,8 @@ class WordTokenizer:
     are, since such a string may run across these bounds.
     """
 
+    most_known = KNOWN_WORDS
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -64,7 +66,7 @@ class WordTokenizer:
 
     def learn(self, words: list[str]) -> np.ndarray:
         """The places of the words among those known."""
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > self.most_known:
             self.forget()
         known = self.known
         before = len(known)
