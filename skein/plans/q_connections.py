@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.sets import jaccard
 from ..functions.vectors import cosine
 from ..operators import engines as E
+from ..operators.vector_index import VectorIndex
 from ..operators.vector_search import top_k_cosine
 from ..operators.windows import global_rank
+from ..sources.storage import scratch
 from . import fixtures as X
 from .registry import query
 
@@ -34,6 +36,26 @@ def j2(t):
     return E.semantic_similarity(X.chunks(t), threshold=0.3, k=10).withColumn("strength", R6("strength", 5))
 
 
+@query("j5_indexed_exact", _MATCH.format(where="a.id % 50 = 0 AND", t=0.3, k=10), "chunks")
+def j5_exact(t):
+    """A batch of searches through the index, in its exact mode."""
+    c = X.chunks(t)
+    index = VectorIndex.build(c, scratch(t.spark, "index"))
+    return index.search(c.where("id % 50 = 0"), 10, 0.3, exact=True).withColumn("similarity", R6("similarity"))
+
+
+@query("j1_index_recall")
+def j1_recall(t):
+    """What the index finds of the ten best that a search of all rows gives, and the rows it reads for that, for each query."""
+    c = X.chunks(t)
+    q = c.where("id % 50 = 0")
+    index = VectorIndex.build(c, scratch(t.spark, "index"))
+    all_rows = top_k_cosine(q, c, 10, 0.3).select("source", "target")
+    found = index.search(q, 10, 0.3).select("source", "target", F.lit(1).alias("hit"))
+    met = all_rows.join(found, ["source", "target"], "left").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
+    return index.rows_read(q).join(met, "id", "left").select(F.col("id").alias("source"), F.coalesce("exact", F.lit(0)).alias("exact"), F.coalesce("found", F.lit(0)).alias("found"), "lists", "rows_read")
+
+
 _CONTRA = """WITH p AS (SELECT a.id AS source, b.id AS target,
     len(list_intersect(a.concepts, b.concepts))::DOUBLE / len(list_distinct(list_concat(a.concepts, b.concepts))) AS j, abs(a.polarity - b.polarity) AS d, (a.importance + b.importance) / 2 AS i
   FROM chunks a JOIN chunks b ON a.document_id <> b.document_id AND a.is_current AND b.is_current AND a.polarity * b.polarity < 0),
