@@ -80,29 +80,3 @@ def map_text(df: DataFrame, function: str, column: str, to: str | None = None) -
         return s.map(lambda x: None if x is None else f(x))
 
     return df.withColumn(to or column, run(F.col(column)))
-
-
-_STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-
-
-def stem(word: str) -> str:
-    """A light English stemmer: plurals, -ed, -ing, -ly."""
-    for end, to in (("ies", "y"), ("sses", "ss"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("es", "e"), ("s", "")):
-        if word.endswith(end) and len(word) - len(end) >= 3 and not word.endswith("ss"):
-            return word[: len(word) - len(end)] + to
-    return word
-
-
-def search_terms(text):
-    """Column of distinct stems of a text without stop words (an approximation of English full-text search)."""
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({stem(w) for w in re.findall(r"[a-z0-9]+", (t or "").lower()) if w not in _STOP}))
-
-    return run(text)
-
-
-def full_text_search(df: DataFrame, text_col: str, query: str) -> DataFrame:
-    """Rows whose text has all the query's stems."""
-    want = sorted({stem(w) for w in re.findall(r"[a-z0-9]+", query.lower()) if w not in _STOP})
-    return df.where(F.size(F.array_except(F.array(*map(F.lit, want)) if want else F.array().cast("array<string>"), search_terms(F.col(text_col)))) == 0)

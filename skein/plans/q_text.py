@@ -11,6 +11,8 @@ from ..operators import layout as L
 from ..operators import matching as M
 from ..operators import scheduling
 from ..operators import text as T
+from ..operators.text_index import TextIndex
+from ..sources.storage import scratch
 from ..streaming import jobs as S
 from . import fixtures
 from .registry import query
@@ -332,7 +334,23 @@ def j26(t):
 @query("flt11_full_text")
 def flt11(t):
     """All turns that hold both words' stems; compared with a plain loop in the tests."""
-    return T.full_text_search(t.conversations.select("conv_id", "turn", "text"), "text", "de les").select("conv_id", "turn")
+    index = TextIndex.build(t.conversations, ["conv_id", "turn"], "text", scratch(t.spark, "postings"))
+    return index.search("de les").select("conv_id", "turn")
+
+
+#: Ten kinds of queries, over words of the turns' four languages.
+SHAPES = ["thing", "the thing when", "der die", "der or que", "der -die", '"und der"', '"queen thing" or "der die"', "en* der", "que* -que", "-und -the"]
+
+
+@query("flt11_query_shapes")
+def flt11_shapes(t):
+    """What ten kinds of queries find, with the nearness of the words; compared with a plain loop over all turns in the tests."""
+    index = TextIndex.build(t.conversations, ["conv_id", "turn"], "text", scratch(t.spark, "postings"))
+    found = [index.search(q).select(F.lit(i).alias("shape"), "conv_id", "turn", "score") for i, q in enumerate(SHAPES)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 @query("tg1_heading_chunks")

@@ -233,14 +233,6 @@ def test_needles_are_found_in_all_texts_that_hold_them(spark):
     assert sorted((r["doc_id"], r["text"], r["item"], r["needle"]) for r in got) == want
 
 
-def test_full_text_equals_a_loop(spark):
-    rows = [(1, 0, "The cats are running"), (2, 0, "a cat ran"), (3, 1, "running, CATS!"), (4, 0, None), (5, 0, "")]
-    df = spark.createDataFrame(rows, "conv_id long, turn int, text string")
-    terms = lambda t: {T.stem(w) for w in re.findall("[a-z0-9]+", (t or "").lower())}
-    want = [i for i, _, t in rows if {T.stem("cats"), T.stem("running")} <= terms(t)]
-    assert sorted(r["conv_id"] for r in T.full_text_search(df, "text", "the cats running").collect()) == want == [1, 3]
-
-
 def test_contradictions_equal_brute_force(spark):
     from skein.operators.engines import contradiction
 
