@@ -251,16 +251,11 @@ def stitch(parts: list[str], least: int = 20, share: float = 0.8, similar: float
 
 
 def locate_all(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """needles (needle_id, document_id, needle) in texts (document_id, text): start, end, confidence, method. Needles without document_id are
-    sought in every text.
+    """needles (needle_id, document_id, needle) in their own texts (document_id, text): start, end, confidence, method; a guess where there is no hit.
 
-    Exact hits are native; only the others reach Python, a batch at a time.
+    Exact hits are native; only the others reach Python, a batch at a time. seek.seek looks for needles in all texts.
     """
-    if "document_id" in needles.columns:
-        met = needles.join(texts, "document_id")
-    else:  # work is needles times texts, so few large files of texts are dealt out
-        met = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id").crossJoin(needles)
-    j = met.withColumn("at", F.expr("instr(text, needle) - 1"))
+    j = needles.join(texts, "document_id").withColumn("at", F.expr("instr(text, needle) - 1"))
     exact = j.where("at >= 0").select("needle_id", "document_id", F.col("at").alias("start"), (F.col("at") + F.length("needle")).alias("end"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
 
     def rest(batches):
