@@ -127,7 +127,7 @@ def job_stream(events):
 @query("st3_retry_timers")
 def st3(t):
     """Every change of the jobs over the stream of events, run to the end once."""
-    return J.run_once(J.job_retries(job_stream(J.read_events(t.spark, f"{t.folder}/events.parquet"))), "append")
+    return J.run_once(J.job_retries(job_stream(J.read_events(t.spark, f"{t.folder}/events.parquet"))))
 
 
 STAGES = ["extract", "clean", "chunk", "embed"]

@@ -405,13 +405,12 @@ def st8(t):
 
 @query("st1_stream_job_states", "SELECT job_id, status, epoch_us(updated_at) AS updated_us, n AS events FROM (SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS updated_at, count(*) AS n FROM job_events GROUP BY job_id)", "job_events")
 def st1(t):
-    """State per job over a stream of events, run to the end once; the last row of each job."""
-    out = S.run_once(S.job_states(S.read_events(t.spark, f"{t.folder}/events.parquet")), "update")
-    return out.groupBy("job_id").agg(F.max_by("status", F.struct("events")).alias("status"), F.max("updated_us").alias("updated_us"), F.max("events").alias("events"))
+    """State per job over a stream of events, run to the end once; each batch's jobs are upserted into a snapshot table."""
+    return S.latest_once(S.job_states(S.read_events(t.spark, f"{t.folder}/events.parquet")), ["job_id"], "events")
 
 
 @query("ext_stream_windows", """WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w""")
 def windows(t):
-    """Extension: tumbling windows over a stream, all rows kept (complete mode)."""
-    out = S.run_once(S.windowed_counts(S.read_events(t.spark, f"{t.folder}/events.parquet")), "complete")
+    """Extension: tumbling windows over a stream, each batch's windows upserted (update mode)."""
+    out = S.latest_once(S.windowed_counts(S.read_events(t.spark, f"{t.folder}/events.parquet")), ["start", "event_type"], "n")
     return out.withColumn("total", F.round("total", 4))

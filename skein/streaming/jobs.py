@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.snapshots import SnapshotTable
 from ..sources.storage import scratch
 
 STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
@@ -105,15 +106,19 @@ def job_retries(jobs: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.groupBy("job_id").applyInPandasWithState(update, "job_id long, at_us long, status string, retries int, reason string", "status string, retries int, timer long, at long, event long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, mode: str, path: str | None = None, name: str | None = None) -> DataFrame:
-    """Everything that is there now, to a Parquet folder (append) or a memory table (all modes), exactly once; the result as a table."""
+def run_once(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Everything that is there now, appended to a Parquet folder exactly once; the result as a table."""
+    base = scratch(stream.sparkSession, "stream")
+    out = path or f"{base}/out"
+    w = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
+    w.format("parquet").option("path", out).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def latest_once(stream: DataFrame, keys: list[str], order: str, folder: str | None = None, buckets: int = 8) -> DataFrame:
+    """Everything that a stream of updates says now, the newest row of each key, in a snapshot table: each batch is upserted, nothing is kept on the driver."""
     spark = stream.sparkSession
-    base = scratch(spark, "stream")
-    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
-    if mode == "append":
-        out = path or f"{base}/out"
-        w.format("parquet").option("path", out).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    name = name or "skein_" + base.rpartition("-")[2]
-    w.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    base = folder or scratch(spark, "snapshot")
+    table = SnapshotTable(spark, f"{base}/table", stream.schema, keys, order, buckets)
+    table.follow(stream, "updates", f"{base}/state", mode="update").awaitTermination()
+    return table.read()

@@ -152,7 +152,7 @@ def test_retry_timers_do_not_depend_on_batches(spark, tmp_path):
         for k, f in enumerate(sorted((tmp_path / name).glob("part-*"))):
             os.utime(f, (1_700_000_000 + k * 60,) * 2)  # files come in order of their times
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{name}")
-        got.append(sorted(map(tuple, jobs.run_once(jobs.job_retries(stream, "800 minutes"), "append").collect())))
+        got.append(sorted(map(tuple, jobs.run_once(jobs.job_retries(stream, "800 minutes")).collect())))
     assert got[0] == got[1]
     assert [(r[1] // 60_000_000 - 1000, r[2], r[3], r[4]) for r in got[0] if r[0] == 1 and r[1] <= 1100 * 60_000_000] == [(0, "processing", 0, "event"), (30, "pending", 0, "stale"), (40, "failed", 0, "event"), (41, "pending", 1, "retry"), (50, "failed", 1, "event"), (52, "pending", 2, "retry")]
 
