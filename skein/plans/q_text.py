@@ -11,6 +11,7 @@ from ..operators import layout as L
 from ..operators import matching as M
 from ..operators import scheduling
 from ..operators import text as T
+from ..operators.articles import extract_articles
 from ..operators.seek import seek
 from ..operators.text_index import TextIndex
 from ..sources.storage import scratch
@@ -130,6 +131,18 @@ def str8(t):
     return d.select("doc_id", "given", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+_SITE = r"^(.*\S)\s+[|–—»-]\s+[^|–—»-]*$"
+
+
+@query("src4_articles", rf"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a, regexp_extract(html, '<title>([^<]*)', 1) AS t, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang FROM pages)
+  SELECT page_id, lang, regexp_replace(regexp_replace(CASE WHEN len(string_split(regexp_extract(t, '{_SITE}', 1), ' ')) > 3 THEN regexp_extract(t, '{_SITE}', 1) ELSE t END, '&[a-z]+;', '', 'g'), '[^A-Za-z0-9]', '', 'g') AS title, md5(regexp_replace(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&[a-z]+;', '', 'g'), '[^A-Za-z0-9]', '', 'g')) AS letters, true AS is_article FROM a""")
+def src4_articles(t):
+    """Title, language and the article's ASCII letters of each page, by the subtree of most text; articles of any length count."""
+    out = extract_articles(t.pages.select("page_id", "html"), scratch(t.spark, "articles"), least=1)
+    letters = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "")
+    return out.select("page_id", "lang", letters("title").alias("title"), F.md5(letters("text").cast("binary")).alias("letters"), "is_article")
+
+
 @query("str9_epub_cleanup")
 def str9(t):
     """Documents as books: a cover, a table of contents, the publisher's page and note, file names and inner links around their text."""
