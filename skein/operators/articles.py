@@ -4,7 +4,7 @@ A page becomes rows in the order of its source: an element's beginning, its end,
 three for each character in a link, less RUN; runs beside the text (navigation, forms, hidden or advertising elements) count RUN against
 it. A running sum over a page's rows gives every element's sum as the difference between its end and its beginning, so nothing is summed
 upward element by element. The article is the element of the largest sum, the innermost of equals, and those of its siblings that hold at least a share
-of that sum; the runs between their beginnings and ends are its text, found by an interval join.
+of that sum, or are paragraphs, headings, lists or tables without a link; the runs between their beginnings and ends are its text, found by an interval join.
 
 All steps are keyed by page, so rows are shuffled once. Parsing is the only Python: it turns one page into rows.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN, SIBLING, LEAST = 25, 0.2, 140
+PLAIN = r"^(?:p|h[1-6]|ul|ol|dl|pre|blockquote|table|figure)$"
 
 # Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -165,13 +166,16 @@ def extract_articles(pages: DataFrame, scratch: str, html_col: str = "html", lea
 
     chars = F.length("text")
     value = F.when(F.col("kind") != "text", 0).when(F.col("beside"), -RUN).when(F.col("heading"), chars - 3 * F.col("links")).otherwise(chars - 3 * F.col("links") - RUN)
-    summed = rows.where("kind <> 'fact'").withColumn("sum", F.sum(value).over(Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    unlike = F.when(F.col("kind") == "text", F.col("links") + F.col("beside").cast("int")).otherwise(0)
+    summed = rows.where("kind <> 'fact'").withColumn("sum", F.sum(value).over(so_far)).withColumn("unlike", F.sum(unlike).over(so_far))
     opens, closes = F.col("kind") == "open", F.col("kind") == "close"
     elements = summed.where(opens | closes).groupBy("doc", "element").agg(
         F.min("seq").alias("begin"), F.max("seq").alias("end"), F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.first("tag").alias("tag"),
-        (F.max(F.when(closes, F.col("sum"))) - F.max(F.when(opens, F.col("sum")))).alias("gain"))
+        (F.max(F.when(closes, F.col("sum"))) - F.max(F.when(opens, F.col("sum")))).alias("gain"),
+        (F.max("unlike") == F.min("unlike")).alias("linkless"))
     best = elements.groupBy("doc").agg(F.max_by(F.struct("element", "parent", "gain"), F.struct("gain", "depth", -F.col("element"))).alias("best")).where(F.col("best.gain") >= least)
-    kept = elements.join(best, "doc").where((F.col("element") == F.col("best.element")) | ((F.col("parent") == F.col("best.parent")) & (F.col("gain") >= F.col("best.gain") * SIBLING)))
+    kept = elements.join(best, "doc").where((F.col("element") == F.col("best.element")) | ((F.col("parent") == F.col("best.parent")) & ((F.col("gain") >= F.col("best.gain") * SIBLING) | (F.col("linkless") & F.col("tag").rlike(PLAIN)))))
     kept = kept.select("doc", "begin", "end", (F.col("element") == F.col("best.element")).alias("is_best"))
     runs = rows.where("kind = 'text' and not beside").join(kept, "doc").where(F.col("seq").between(F.col("begin"), F.col("end")))
     runs = runs.groupBy("doc", "seq").agg(F.first("tag").alias("tag"), F.first("text").alias("text"))  # elements kept do not overlap, but once is enough
