@@ -135,9 +135,9 @@ _SITE = r"^(.*\S)\s+[|–—»-]\s+[^|–—»-]*$"
 
 
 @query("src4_articles", rf"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a, regexp_extract(html, '<title>([^<]*)', 1) AS t, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang FROM pages),
-  r AS (SELECT *, list_filter(list_transform(string_split_regex(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&(?:lt|gt|quot|#x27|#39);', '*', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS runs FROM a),
+  r AS (SELECT *, list_filter(list_transform(string_split_regex(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&(?:lt|gt|quot|#x27|#39);', '*', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS runs FROM a),
   g AS (SELECT *, list_sum(list_transform(runs, lambda x: length(x))) - 25 * (len(runs) - 1) >= 140 AS is_article FROM r)
-  SELECT page_id, lang, regexp_replace(regexp_replace(CASE WHEN len(string_split(regexp_extract(t, '{_SITE}', 1), ' ')) > 3 THEN regexp_extract(t, '{_SITE}', 1) ELSE t END, '&[a-z]+;', '', 'g'), '[^A-Za-z0-9]', '', 'g') AS title,
+  SELECT page_id, lang, regexp_replace(regexp_replace(CASE WHEN len(string_split(regexp_extract(t, '{_SITE}', 1), ' ')) > 3 THEN regexp_extract(t, '{_SITE}', 1) ELSE t END, '&[a-z]+;?', '', 'g'), '[^A-Za-z0-9]', '', 'g') AS title,
     md5(CASE WHEN is_article THEN regexp_replace(array_to_string(runs, ''), '[^A-Za-z0-9]', '', 'g') ELSE '' END) AS letters, is_article FROM g""")
 def src4_articles(t):
     """Title, language and the article's ASCII letters of each page, by the subtree of most text."""
