@@ -118,12 +118,28 @@ class Merges:
         self.edges = np.array(sorted(child), np.int64)
         self.ends = np.array([child[k] for k in self.edges.tolist()], np.int64)
         self.token = np.array(token, np.int64)
+        # the states behind two symbols, as a table: most steps are the first two
+        self.first = np.unique(np.array([p[0] for p in symbols.values()] + [s for p in symbols.values() for s in p[1:2]], np.int64))
+        self.place = np.full(self.size, -1, np.int64)
+        self.place[self.first] = np.arange(len(self.first))
+        self.two = np.full((len(self.first), len(self.first)), -1, np.int32)
+        for p in {p[:2] for p in symbols.values() if len(p) > 1}:
+            self.two[self.place[p[0]], self.place[p[1]]] = child[child[p[0]] * self.size + p[1]]
 
     def longest(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each position the longest token that begins there, and its number of symbols."""
         n = len(symbols)
         token, size = symbols.astype(np.int64), np.ones(n, np.int64)
-        at, state, k = np.arange(n), np.zeros(n, np.int64), 0
+        if n < 2:
+            return token, size
+        i, j = self.place[symbols[:-1]], self.place[symbols[1:]]
+        state = np.where((i >= 0) & (j >= 0), self.two[i, j], -1).astype(np.int64)
+        at, k = np.flatnonzero(state >= 0), 2
+        state = state[at]
+        t = self.token[state]
+        token[at[t >= 0]], size[at[t >= 0]] = t[t >= 0], 2
+        go = at + 2 < n
+        at, state = at[go], state[go]
         while len(at):
             key = state * self.size + symbols[at + k]
             e = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
@@ -276,7 +292,9 @@ class SpeculativeTokenizer(WordTokenizer):
         normal = self.plain.normalizer.normalize_str if self.plain.normalizer else str
         for i in range(0, len(words), LOT):
             lot = words[i:i + LOT]
-            own = [] if any(not w or any(c.isspace() for c in w) for w in lot) else normal(" ".join(lot)).split(" ")
+            row = " ".join(lot)
+            # a word with white space in it, or without anything else, makes another number of parts
+            own = normal(row).split(" ") if all(lot) and len(row.split()) == len(lot) else []
             if len(own) == len(lot):
                 begin = np.cumsum([0] + [len(w) + 1 for w in own])
                 got = self._cut(" ".join(own))
