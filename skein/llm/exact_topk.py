@@ -4,13 +4,13 @@ Vectors are turned into integers, floor(scale * x), and held in blocks of bounde
 those with most energy first; a slice's partial products with a query are one of its score lists. Cells of some query blocks and some
 candidate blocks are tasks; the few queries travel to the candidates.
 
-1. Local score lists: only the leading slice is multiplied; its k best entries in each block have their full scores taken. The k-th best
-   distinct candidate of all blocks gives a cutoff that the k-th best of all candidates can only exceed.
-2. The cutoff goes back with the queries. A score of cutoff or more needs a slice of cutoff / SLICES or more, so a block whose slices' norms
-   leave no room for that is not multiplied, and neither is it shipped if no query needs it. In others, slices are multiplied one after the
-   other; after each, what is missing is at most the product of the norms of the remaining coordinates, and entries, candidates
-   and queries that cannot reach the cutoff go. What is left are the sufficient entries.
-3. Their scores are resolved exactly, the k best of each cell are ranked.
+1. Local score lists: every slice of every block gives its k best entries for each query, with the sums of their partial products. The k-th best
+   distinct candidate of all these gives a cutoff that the k-th best of all candidates can only exceed.
+2. The cutoff goes back with the queries. A score of cutoff or more needs a slice of cutoff / SLICES or more: each slice collects its entries of that
+   uniform threshold, the sufficient entries. Where norms leave no room for it, a slice is not multiplied, and a block that is too short for
+   every query of a lot is not shipped to it. After each slice, entries, candidates and queries that cannot reach the cutoff with all that is missing
+   go (Cauchy-Schwarz).
+3. What slices that were not multiplied add to the collected entries is resolved exactly, and the k best of each cell are ranked.
 
 Every row takes part and nothing approximate is kept: bounds are rounded outwards. The queries are a set stated by the caller (rows by id), met
 with all rows in blocks; what goes from a cell to the next step is k rows a query.
@@ -111,27 +111,35 @@ def best(of: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndar
     return order[rank < k]
 
 
-def leading(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
-    """The local list: (query's number, candidate's number, score) of the best entries by the leading slice."""
+def local_lists(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
+    """The score lists of a block: for each slice the k entries of the highest partial products with each query, and the sums of their partial products
+    over all slices: (query's number, candidate's number, score), each entry once."""
     kind = _kind(q, c)
     if kind is None:
         s = exact_scores(q, c)
         i, j = np.nonzero(cid[None, :] != qid[:, None])
         return i, j, s[i, j]
-    end = edges(q.shape[1])[1]
-    a, b = q.astype(kind), c.astype(kind)
-    p = a[:, :end] @ b[:, :end].T
-    p[cid[None, :] == qid[:, None]] = -np.inf
+    cuts = edges(q.shape[1])
     some = min(k, len(c))
-    j = np.argpartition(p, len(c) - some, axis=1)[:, len(c) - some:]
-    s = np.einsum("ijd,id->ij", b[j].astype(np.float64), a.astype(np.float64)).astype(np.int64)
-    i = np.repeat(np.arange(len(q)), some)
-    keep = cid[j.ravel()] != qid[i]
-    return i[keep], j.ravel()[keep], s.ravel()[keep]
+    listed = np.zeros((len(q), len(c)), bool)
+    total = np.zeros((len(q), len(c)), kind)
+    same = cid[None, :] == qid[:, None]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        p = q[:, i:j].astype(kind) @ c[:, i:j].astype(kind).T
+        total += p
+        p[same] = -np.inf
+        np.put_along_axis(listed, np.argpartition(p, len(c) - some, axis=1)[:, len(c) - some:], True, axis=1)
+    listed &= ~same
+    i, j = np.nonzero(listed)
+    return i, j, total[i, j].astype(np.int64)
 
 
 def sufficient(qid: np.ndarray, q: np.ndarray, cut: np.ndarray, cid: np.ndarray, c: np.ndarray, work: list[int] | None = None):
-    """All entries (query's number, candidate's number, score) that reach the query's cutoff. work[0] counts multiplications."""
+    """All entries (query's number, candidate's number, score) that reach the query's cutoff. work[0] counts multiplications.
+
+    Each slice collects its entries of cutoff / SLICES or more; a score of the cutoff has one such part at least. Slices in which the norms of queries
+    and candidates leave no room for that are not multiplied as a whole, and what they add is resolved for the collected entries alone.
+    """
     none = np.zeros(0, np.int64)
     kind = _kind(q, c)
     if kind is None:
@@ -141,41 +149,55 @@ def sufficient(qid: np.ndarray, q: np.ndarray, cut: np.ndarray, cid: np.ndarray,
         i, j = np.nonzero((cid[None, :] != qid[:, None]) & (s >= cut[:, None]))
         return i, j, s[i, j]
     cuts = edges(q.shape[1])
+    slices = list(zip(cuts[:-1], cuts[1:], strict=True))
     part = lambda x, i, j: np.sqrt((x[:, i:j] * x[:, i:j]).sum(1)) * (1 + 1e-6)
-    qn, cn = ([part(x, i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (q, c))
+    qn, cn = ([part(x, i, j) for i, j in slices] for x in (q, c))
     room = sum(a * b.max(initial=0.0) for a, b in zip(qn, cn, strict=True))
-    rows = np.flatnonzero(room >= cut - 1e-3)  # others cannot have a slice of cutoff / SLICES with all slices together reaching it
+    rows = np.flatnonzero(room >= cut - 1e-3)  # no candidate is long enough for the others
+    if not len(rows) or not len(c):
+        return none, none, none
     cols = np.arange(len(c))
-    low = cut.astype(np.float64)
+    least = cut[rows] / len(slices) - np.abs(cut[rows] * 1e-6) - 1e-3  # the uniform threshold, rounded down
+    seen = np.zeros((len(rows), len(cols)), bool)
     total = np.zeros((len(rows), len(cols)), kind)
-    for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if not len(rows) or not len(cols):
-            return none, none, none
-        total += q[rows, i:j].astype(kind) @ c[cols, i:j].astype(kind).T
+    later = []
+    for s, (i, j) in enumerate(slices):
+        able = qn[s][rows] * cn[s][cols].max(initial=0.0) >= least
+        if not able.any():
+            later.append((i, j))
+            continue
+        p = q[rows, i:j].astype(kind) @ c[cols, i:j].astype(kind).T
         if work is not None:
             work[0] += len(rows) * len(cols) * (j - i)
-        if s + 2 == len(cuts):
-            break
-        qt, ct = part(q[rows], j, q.shape[1]), part(c[cols], j, q.shape[1])
-        alive = total + np.outer(qt, ct).astype(kind) * kind(1 + 1e-5) >= (low[rows][:, None] - 1e-3).astype(kind) - np.abs(low[rows][:, None] * 1e-6).astype(kind)
-        r, k = alive.any(1), alive.any(0)
-        if not r.all() or not k.all():
-            rows, cols, total, alive = rows[r], cols[k], total[np.ix_(r, k)], alive[np.ix_(r, k)]
-        x, y = np.nonzero(alive) if alive.mean() < 0.05 else (none, none)
-        if len(x) or not alive.any():  # few entries are left: the rest of each by itself
-            out: tuple[list, ...] = ([], [], [])
-            for at in range(0, len(x), 1 << 15):
-                u, v = x[at:at + (1 << 15)], y[at:at + (1 << 15)]
-                rest = np.einsum("nd,nd->n", q[rows[u], j:], c[cols[v], j:])
-                if work is not None:
-                    work[0] += len(u) * (q.shape[1] - j)
-                score = total[u, v].astype(np.int64) + rest.astype(np.int64)
-                keep = (score >= cut[rows[u]]) & (cid[cols[v]] != qid[rows[u]])
-                out[0].append(rows[u][keep]), out[1].append(cols[v][keep]), out[2].append(score[keep])
-            return tuple(np.concatenate([none, *o]) for o in out)
-    score = total.astype(np.int64)
-    x, y = np.nonzero((score >= cut[rows][:, None]) & (cid[cols][None, :] != qid[rows][:, None]))
-    return rows[x], cols[y], score[x, y]
+        total += p
+        seen |= p >= least[:, None].astype(kind)
+        # rows and columns of which no entry can reach the cutoff with all that is still to come go
+        rest = [t for t in range(s + 1, len(slices))] + [slices.index(x) for x in later]
+        if rest:
+            qt, ct = (np.sqrt(sum(n[t][keep] ** 2 for t in rest)) for n, keep in ((qn, rows), (cn, cols)))
+            alive = total + np.outer(qt, ct).astype(kind) * kind(1 + 1e-5) >= (cut[rows][:, None] - 1e-3).astype(kind) - np.abs(cut[rows][:, None] * 1e-6).astype(kind)
+            r, k = alive.any(1), alive.any(0)
+            if not r.all() or not k.all():
+                rows, cols, least, total, seen = rows[r], cols[k], least[r], total[np.ix_(r, k)], seen[np.ix_(r, k)]
+                alive = alive[np.ix_(r, k)]
+            if not len(rows) or not len(cols):
+                return none, none, none
+            if alive.mean() < 0.02:  # few are left: whatever slice would collect them, the rest of each by itself
+                seen = alive
+                later += [x for x in slices[s + 1:]]
+                break
+    x, y = np.nonzero(seen)
+    out: tuple[list, ...] = ([], [], [])
+    for at in range(0, len(x), 1 << 15):
+        u, v = x[at:at + (1 << 15)], y[at:at + (1 << 15)]
+        score = total[u, v].astype(np.int64)
+        for i, j in later:
+            score += np.einsum("nd,nd->n", q[rows[u], i:j], c[cols[v], i:j]).astype(np.int64)
+            if work is not None:
+                work[0] += len(u) * (j - i)
+        keep = (score >= cut[rows[u]]) & (cid[cols[v]] != qid[rows[u]])
+        out[0].append(rows[u][keep]), out[1].append(cols[v][keep]), out[2].append(score[keep])
+    return tuple(np.concatenate([none, *o]) for o in out)
 
 
 def top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -224,7 +246,7 @@ def top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, s
                     cid, c = _open(block, orders[ask["dim"]])
                     for at in range(0, len(qid), ROWS):
                         to = slice(at, at + ROWS)
-                        i, j, s = leading(qid[to], q[to], cid, c, k) if phase == 1 else sufficient(qid[to], q[to], cut[to], cid, c)
+                        i, j, s = local_lists(qid[to], q[to], cid, c, k) if phase == 1 else sufficient(qid[to], q[to], cut[to], cid, c)
                         keep = best(i, cid[j], s, k)
                         for o, v in zip(found, (at + i[keep], cid[j[keep]], s[keep]), strict=True):
                             o.append(v)

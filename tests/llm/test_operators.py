@@ -368,7 +368,13 @@ def test_cutoffs_save_products_and_lose_nothing(skew):
     full = (q @ c.T).astype(np.int64)
     np.fill_diagonal(full[:, :40], np.iinfo(np.int64).min)
     cut = np.sort(full, 1)[:, -20]
-    i, j, s = exact_topk.leading(qid, q, cid, c, 20)
+    i, j, s = exact_topk.local_lists(qid, q, cid, c, 20)
+    own = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    cuts = exact_topk.edges(32)
+    for at, end in zip(cuts[:-1], cuts[1:], strict=True):  # every slice's list is there
+        p = q[:, at:end] @ c[:, at:end].T
+        np.fill_diagonal(p[:, :40], -np.inf)
+        assert all((x, int(y)) in own for x in range(40) for y in np.argsort(-p[x])[:20] if p[x, y] > np.sort(p[x])[-21])
     for x in range(40):
         assert np.sort(s[i == x])[-20] <= cut[x] and (full[x, j[i == x]] == s[i == x]).all()
     work = [0]
