@@ -17,6 +17,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RUN, SIBLING, LEAST = 25, 0.2, 140
 PLAIN = r"^(?:p|h[1-6]|ul|ol|dl|pre|blockquote|table|figure)$"
@@ -32,12 +33,12 @@ PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset fig
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|menu|nav\w*|newsletter|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])")
 BYLINE = re.compile(r"(?:^|[\s_-])(?:byline|author|written-?by)(?:$|[\s_-])")
 
-ROWS = "doc long, seq int, kind string, element int, parent int, depth int, tag string, text string, links int, beside boolean, heading boolean"
-_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_())
+ROWS = "doc long, seq int, kind string, element int, parent int, depth int, tag string, text string, chars int, links int, beside boolean, heading boolean"
+_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
 
 
 class _Rows(HTMLParser):
-    """The rows of one page: (seq, kind, element, parent, depth, tag, text, links, beside, heading); kinds: open, close, text, and facts (tag: which)."""
+    """The rows of one page: (seq, kind, element, parent, depth, tag, text, chars, links, beside, heading); kinds: open, close, text, and facts (tag: which)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -48,7 +49,7 @@ class _Rows(HTMLParser):
         self.linked = 0
 
     def _row(self, kind: str, element: int, parent: int, tag: str, text: str | None = None, links: int = 0, beside: bool = False) -> None:
-        self.rows.append((len(self.rows), kind, element, parent, len(self.stack), tag, text, links, beside, bool(re.fullmatch("h[1-6]", tag))))
+        self.rows.append((len(self.rows), kind, element, parent, len(self.stack), tag, text, len(text or ""), links, beside, bool(re.fullmatch("h[1-6]", tag))))
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -138,37 +139,43 @@ def rows_of(page: str) -> list[tuple]:
 
 
 def page_rows(pages: DataFrame, html_col: str) -> DataFrame:
-    """pages (doc, html) as ROWS."""
+    """pages as rows: a row of kind `page` with the other columns, then those of ROWS."""
+    other = [c for c in pages.columns if c != html_col]
+    given = pages.select(F.monotonically_increasing_id().alias("doc"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(other)), F.lit(0).alias("_")).alias("page"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches):
         for batch in batches:
-            for doc, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):  # a page at a time bounds the memory
-                rows = rows_of(page or "")
+            kind = batch.schema.field("page").type
+            names = [x.split()[0] for x in ROWS.split(", ")] + ["page"]
+            for k, (doc, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):  # a page at a time bounds the memory
+                first = (-1, "page", -1, -1, 0, "", None, 0, 0, False, False)
+                rows = [first, *rows_of(page or "")]
                 for i in range(0, len(rows), 10_000):
-                    cols = [[doc] * len(rows[i:i + 10_000]), *zip(*rows[i:i + 10_000], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
+                    some = rows[i:i + 10_000]
+                    cols = [[doc] * len(some), *zip(*some, strict=True)]
+                    own = pa.concat_arrays([batch.column(1).slice(k, 1), pa.nulls(len(some) - 1, kind)]) if i == 0 else pa.nulls(len(some), kind)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)), own], names=names)
 
-    return pages.select("doc", html_col).mapInArrow(run, ROWS)
+    schema = StructType.fromDDL(ROWS).add("page", given.schema["page"].dataType)
+    return given.mapInArrow(run, schema)
 
 
 def extract_articles(pages: DataFrame, scratch: str, html_col: str = "html", least: int = LEAST) -> DataFrame:
     """pages with title, byline, site_name, lang, excerpt, content (HTML of its paragraphs and headings), text, length, is_article.
 
     is_article: whether the best element's sum reaches `least`; where it does not, content and text are empty. A null or broken page is no article.
-    scratch: a new folder that all executors share, for the rows.
+    scratch: a new folder that all executors share, for the rows; what is read of them to find the article are numbers.
     """
     spark = pages.sparkSession
-    numbered = pages.withColumn("_doc", F.monotonically_increasing_id())
-    numbered.write.parquet(f"{scratch}/pages")
-    numbered = spark.read.schema(numbered.schema).parquet(f"{scratch}/pages")
-    page_rows(numbered.select(F.col("_doc").alias("doc"), html_col), html_col).write.parquet(f"{scratch}/rows")
-    rows = spark.read.schema(ROWS).parquet(f"{scratch}/rows").repartition("doc")
-
-    chars = F.length("text")
-    value = F.when(F.col("kind") != "text", 0).when(F.col("beside"), -RUN).when(F.col("heading"), chars - 3 * F.col("links")).otherwise(chars - 3 * F.col("links") - RUN)
+    parsed = page_rows(pages, html_col)
+    parsed.write.parquet(f"{scratch}/rows")
+    rows = spark.read.schema(parsed.schema).parquet(f"{scratch}/rows")
+
+    value = F.when(F.col("kind") != "text", 0).when(F.col("beside"), -RUN).when(F.col("heading"), F.col("chars") - 3 * F.col("links")).otherwise(F.col("chars") - 3 * F.col("links") - RUN)
     so_far = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     unlike = F.when(F.col("kind") == "text", F.col("links") + F.col("beside").cast("int")).otherwise(0)
-    summed = rows.where("kind <> 'fact'").withColumn("sum", F.sum(value).over(so_far)).withColumn("unlike", F.sum(unlike).over(so_far))
+    numbers = rows.where(F.col("kind").isin("open", "close", "text")).select("doc", "seq", "kind", "element", "parent", "depth", "tag", value.alias("value"), unlike.alias("unlike"))
+    summed = numbers.withColumn("sum", F.sum("value").over(so_far)).withColumn("unlike", F.sum("unlike").over(so_far))
     opens, closes = F.col("kind") == "open", F.col("kind") == "close"
     elements = summed.where(opens | closes).groupBy("doc", "element").agg(
         F.min("seq").alias("begin"), F.max("seq").alias("end"), F.max("parent").alias("parent"), F.max("depth").alias("depth"), F.first("tag").alias("tag"),
@@ -176,9 +183,8 @@ def extract_articles(pages: DataFrame, scratch: str, html_col: str = "html", lea
         (F.max("unlike") == F.min("unlike")).alias("linkless"))
     best = elements.groupBy("doc").agg(F.max_by(F.struct("element", "parent", "gain"), F.struct("gain", "depth", -F.col("element"))).alias("best")).where(F.col("best.gain") >= least)
     kept = elements.join(best, "doc").where((F.col("element") == F.col("best.element")) | ((F.col("parent") == F.col("best.parent")) & ((F.col("gain") >= F.col("best.gain") * SIBLING) | (F.col("linkless") & F.col("tag").rlike(PLAIN)))))
-    kept = kept.select("doc", "begin", "end", (F.col("element") == F.col("best.element")).alias("is_best"))
-    runs = rows.where("kind = 'text' and not beside").join(kept, "doc").where(F.col("seq").between(F.col("begin"), F.col("end")))
-    runs = runs.groupBy("doc", "seq").agg(F.first("tag").alias("tag"), F.first("text").alias("text"))  # elements kept do not overlap, but once is enough
+    kept = kept.select("doc", "begin", "end")  # apart from each other
+    runs = rows.where("kind = 'text' and not beside").select("doc", "seq", "tag", "text").join(kept, "doc").where(F.col("seq").between(F.col("begin"), F.col("end")))
 
     text = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("seq", "tag", "text"))).alias("all"))
 
@@ -201,10 +207,11 @@ def extract_articles(pages: DataFrame, scratch: str, html_col: str = "html", lea
     # a title that ends in the site's name loses it, if words enough are left
     cut = F.regexp_extract("named", r"^(.*\S)\s+[|–—»-]\s+[^|–—»-]*$", 1)
     title = F.coalesce("og", F.when(F.size(F.split(cut, " ")) > 3, cut), F.when(F.col("named") != "", F.col("named")), "h1", F.lit("Untitled"))
-    out = numbered.join(text.withColumnRenamed("doc", "_doc").withColumnRenamed("text", "_text").withColumnRenamed("content", "_content"), "_doc", "left")
-    out = out.join(facts.withColumnRenamed("doc", "_doc"), "_doc", "left").join(head.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    whole = rows.where("kind = 'page'").select("doc", "page")
+    found = text.select("doc", F.col("content").alias("_content"), F.col("text").alias("_text"), "first")
+    out = whole.join(found, "doc", "left").join(facts, "doc", "left").join(head, "doc", "left")
     empty = F.lit("")
     return out.select(
-        *(F.col(f"`{c}`") for c in pages.columns if c != html_col), title.alias("title"), F.coalesce("byline", empty).alias("byline"), F.coalesce("site", empty).alias("site_name"), "lang",
+        *(F.col(f"page.c{k}").alias(c) for k, c in enumerate(c for c in pages.columns if c != html_col)), title.alias("title"), F.coalesce("byline", empty).alias("byline"), F.coalesce("site", empty).alias("site_name"), "lang",
         F.coalesce("about", "first", empty).alias("excerpt"), F.coalesce("_content", empty).alias("content"), F.coalesce("_text", empty).alias("text"),
         F.coalesce(F.length("_text"), F.lit(0)).alias("length"), F.col("_text").isNotNull().alias("is_article"))

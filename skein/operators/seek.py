@@ -4,8 +4,9 @@ A window as long as the needle is a hit if the sets of trigrams of both have a J
 own trigrams are in the window: |A n B| >= t |A u B| >= t |A|. So
 1. a text that holds fewer than t of a needle's trigrams has no hit. One look-up of a text's distinct trigrams in the inverted lists of all needles
    counts them for every needle at once;
-2. of the others, each window lies within one of the stretches of two needle lengths that begin at multiples of its length, and a stretch with fewer than
-   t of the needle's trigrams holds no hit. Only windows of other stretches are scored.
+2. of the others, each window lies within a few cells of CELL characters, as many as its length needs, and cells with fewer than t of the needle's
+   trigrams hold no hit. All needles' trigrams in all runs of cells are counted by products of matrices; only windows that begin where enough are found
+   are scored.
 No hit is lost by either step, and rows come out only for hits.
 
 Needles are a stated set of queries: they travel to the texts in blocks of bounded bytes, and each block reads the texts once.
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .matching import Hit, set_similarity, squeeze, trigram_set, windows
 
-BLOCK_BYTES = 4 << 20  # of needles that are sent at once
+BLOCK_BYTES, BLOCK_ROWS = 48 << 10, 500  # of needles that are sent at once
+CELL, CELLS = 128, 1024  # characters of a cell, cells that are looked at together
 OUT = "needle_id long, document_id long, start int, end int, confidence double, method string"
 
 
@@ -44,6 +46,8 @@ class Needles:
         order = np.argsort(flat, kind="stable")
         self.lists, self.at = of[order], np.searchsorted(flat[order], np.arange(len(self.keys) + 1))
         self.own, self.least = own, np.array([threshold * len(g) * (1 - 1e-9) for g in self.grams])
+        self.incidence = np.zeros((len(self.rows), len(self.keys)), np.float32)  # at most BLOCK_ROWS x BLOCK_BYTES
+        self.incidence[of, flat] = 1
         self.tried = 0  # windows scored
 
     def numbers(self, text: str) -> np.ndarray:
@@ -64,36 +68,71 @@ class Needles:
         spans = self.at[here + 1] - self.at[here]
         lists = self.lists[np.repeat(self.at[here] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())]
         counts = np.bincount(lists, minlength=len(self.rows))
+        left = []
         for j in np.flatnonzero((counts >= self.least) if bounded else np.ones(len(self.rows), bool)).tolist():
-            hit = self._locate(j, text, s, numbers if bounded and len(low) == len(s) else None)
+            hit = self._exact(j, text, s)
+            if hit is not None:
+                yield j, hit
+            elif self.rows[j][2] and len(s) >= len(self.rows[j][2]):
+                left.append(j)
+        sure = bounded and len(low) == len(s)
+        starts = self._cells([j for j in left if self.grams[j]], numbers) if sure else {}
+        for j in left:
+            c = self.rows[j][2]
+            if sure and self.grams[j]:
+                if j not in starts:
+                    continue
+                grid = np.asarray(windows(c, s))
+                grid = grid[np.isin(grid // CELL, starts[j])]
+            else:
+                grid = np.asarray(windows(c, s))
+            hit = self._score(j, text, s, grid)
             if hit is not None:
                 yield j, hit
 
-    def _locate(self, j: int, text: str, s: str, numbers: np.ndarray | None) -> Hit | None:
+    def _exact(self, j: int, text: str, s: str) -> Hit | None:
         _, raw, c = self.rows[j]
         k = text.find(raw)
         if raw and k >= 0:
             return Hit(k, k + len(raw), 1.0, "exact")
-        if not c or len(s) < len(c):
+        k = s.find(c) if c else -1
+        if k < 0:
             return None
-        k = s.find(c)
-        if k >= 0:
-            at = squeeze(text)[1]
-            return Hit(at[k], at[k + len(c) - 1] + 1, 1.0, "exact")
-        starts = np.arange(0)
-        grid = windows(c, s)
-        if numbers is None or not self.grams[j]:
-            starts = np.asarray(grid)
-        else:
-            mine = np.zeros(len(self.keys) + 1, bool)
-            mine[self.own[j]] = True
-            p = np.flatnonzero(mine[numbers])  # -1 is the last place, never one of ours
-            stretch = np.concatenate([p // len(c), p // len(c) - 1])
-            pairs = np.unique(stretch * np.int64(len(self.keys) + 1) + np.tile(numbers[p], 2)) if len(p) else np.zeros(0, np.int64)
-            full = np.flatnonzero(np.bincount(np.maximum(pairs // (len(self.keys) + 1), -1) + 1, minlength=1) >= self.least[j]) - 1
-            starts = np.asarray(grid)
-            starts = starts[np.isin(starts // len(c), full)]
-        best, where = 0.0, -1
+        at = squeeze(text)[1]
+        return Hit(at[k], at[k + len(c) - 1] + 1, 1.0, "exact")
+
+    def _cells(self, needles: list[int], numbers: np.ndarray) -> dict[int, np.ndarray]:
+        """For each needle the cells in which a window may begin that holds enough of its trigrams.
+
+        A window that begins in a cell ends `wide` cells on at most; the trigrams of so many cells are counted for all needles of one width by one product.
+        """
+        out: dict[int, np.ndarray] = {}
+        if not needles:
+            return out
+        p = np.flatnonzero(numbers >= 0)
+        widths: dict[int, list[int]] = {}
+        for j in needles:
+            widths.setdefault(-(-(CELL - 1 + len(self.rows[j][2])) // CELL), []).append(j)
+        most = max(widths)
+        cells = -(-max(1, len(numbers)) // CELL)
+        for first in range(0, cells, CELLS):  # some cells at a time bound the memory
+            n = min(CELLS, cells - first)
+            own = p[np.searchsorted(p, first * CELL):np.searchsorted(p, (first + n + most) * CELL)]
+            held = np.zeros((n + most, len(self.keys)), bool)
+            held[own // CELL - first, numbers[own]] = True
+            union, done = held[:n].copy(), 1
+            for wide in sorted(widths):
+                for k in range(done, wide):
+                    union |= held[k:n + k]
+                done, some = wide, widths[wide]
+                cell, x = np.nonzero(union.astype(np.float32) @ self.incidence[some].T >= self.least[some])
+                for j in np.unique(x).tolist():
+                    found = cell[x == j] + first
+                    out[some[j]] = np.concatenate([out[some[j]], found]) if some[j] in out else found
+        return out
+
+    def _score(self, j: int, text: str, s: str, starts: np.ndarray) -> Hit | None:
+        c, best, where = self.rows[j][2], 0.0, -1
         for k in starts.tolist():
             self.tried += 1
             v = set_similarity(self.grams[j], trigram_set(s[k:k + len(c)]))
@@ -113,8 +152,8 @@ def seek(needles: DataFrame, texts: DataFrame, threshold: float = 0.75) -> DataF
     Null needles and texts have no hits. Of equally good windows the first counts; places are in the raw text. Rows that repeat a document are sought each.
     """
     needles = needles.where("needle is not null").select(F.col("needle_id").cast("long").alias("needle_id"), "needle")
-    size = needles.agg(F.sum(F.octet_length("needle")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    size = needles.agg(F.sum(F.octet_length("needle")).alias("bytes"), F.count("*").alias("rows")).first()
+    blocks = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES), -(-size["rows"] // BLOCK_ROWS))
     texts = texts.where("text is not null").select(F.col("document_id").cast("long").alias("document_id"), "text")
     found = None
     for b in range(blocks):
