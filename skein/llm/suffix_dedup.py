@@ -6,16 +6,19 @@ A-Z lower-cased.
 1. Equal texts are one; each of them is a repeat of its whole length if that is enough.
 2. The suffixes kept are those at minimisers: of every WINDOW consecutive K-word grams, the one of the smallest hash. K + WINDOW - 1 = 50, so
    two documents that share 50 words keep a suffix at the same word of the passage.
-3. Suffixes whose gram no other document keeps are dropped (counts, summed before the shuffle).
-4. Grams of up to GROUP rows: the suffixes carry the 64-bit hashes of the words before and after, as many as a passage of `least` words around
-   the gram can need, and are sorted by gram; every pair of a gram is compared, and the matches extended left and right word by word.
-   Grams of more rows: every 50-word window whose minimiser is such a gram is hashed; the least and greatest document of each hash are
-   aggregated before the shuffle, and the windows that two documents hold are joined back. Each window has one minimiser, so none is
-   left out, and a passage in a third of all documents is no group gathered in one task.
+3. Suffixes whose gram no other document keeps are dropped (counts, summed before the shuffle). The others carry the 64-bit hashes of the words before
+   and after their gram, as many as a passage of `least` words around it can need, and are sorted as suffixes: by gram, the words after it, then those
+   before it.
+4. Neighbours are compared, and the matches extended left and right word by word. Grams of up to GROUP rows stay in one task, so each of their rows meets
+   all others. The suffixes of more frequent grams are range-partitioned by all their words, so that a gram of a third of all documents is many tasks;
+   a row that is alike with a neighbour of another document in all its words gives that span. What is left of them, and the two ends of rows that are
+   all alike, give the 50-word windows that they stand for (each window has one minimiser); the least and greatest document of each are aggregated before
+   the shuffle, and windows that two documents hold are joined back. So no match is left out that neighbours do not show.
 5. Matches of `least` words or more are merged into spans of each document.
 
 Defined results: null or short texts: no spans. Rows that repeat an id with the same text: one document. Rows that repeat an id with other
-texts: their spans come together under that id. Null ids: no spans. Repeats within one document alone are no spans. Other columns are
+texts: their spans come together under that id. Null ids: no spans. Repeats within one document alone are no spans.
+other_doc is one of the documents that have the passage too. Other columns are
 not read.
 """
 
@@ -56,12 +59,6 @@ def owners(h: np.ndarray) -> np.ndarray:
     return view.argmin(1) + np.arange(len(view))
 
 
-def window_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of the windows of LEAST words, from the grams at their start, K words on and at their end."""
-    n = len(h) - SIDE
-    return mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + h[K:K + n] * np.uint64(0xC2B2AE3D27D4EB4F) + h[SIDE:] * np.uint64(0x165667B19E3779F9))
-
-
 def _documents(texts: list[bytes]):
     """(number, word hashes) of each text of LEAST words or more."""
     for i, j in blocks_of(texts):
@@ -87,53 +84,39 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, pos int, gram long")
 
 
-_SUFFIX = "gram long, doc long, pos int, n_before int, n_after int, before binary, after binary, window long"
+_SUFFIX = "gram long, doc long, pos int, n_before int, n_after int, before binary, after binary, low int, high int, hot boolean"
 
 
 def with_context(docs: DataFrame) -> DataFrame:
-    """docs (doc, text, few, many: arrays of positions) to one row per suffix of `few` with the words around it, nearest first, and
-    one per window (pos: its start, window: its hash) whose minimiser is in `many`."""
-    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("window", pa.int64())])
+    """docs (doc, text, few, many: arrays of positions) to one row per suffix with the words around its gram, nearest first; hot: of `many`.
+
+    low and high: how many words before the gram the last and the first window begins whose minimiser the suffix is.
+    """
+    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("hot", pa.bool_())])
 
-    def suffixes(doc, words, h, at):
+    def suffixes(doc, words, h, own, at, hot):
         pad = np.concatenate([np.zeros(SIDE, np.uint64), words, np.zeros(SIDE, np.uint64)])
         before = pad[at[:, None] + SIDE - 1 - np.arange(SIDE)]
         after = pad[at[:, None] + SIDE + K + np.arange(SIDE)]
-        return h[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.minimum(at, SIDE).astype(np.int32), np.minimum(len(words) - K - at, SIDE).astype(np.int32), [x.tobytes() for x in before], [x.tobytes() for x in after]
-
-    def places(positions, kept):
-        return np.intersect1d(np.asarray(positions, np.int64), kept)  # a repeated id may bring another text's positions
+        return h[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.minimum(at, SIDE).astype(np.int32), np.minimum(len(words) - K - at, SIDE).astype(np.int32), [x.tobytes() for x in before], [x.tobytes() for x in after], (at - np.searchsorted(own, at, "right") + 1).astype(np.int32), (at - np.searchsorted(own, at)).astype(np.int32), np.full(len(at), hot)
 
     def run(batches):
         for batch in sliced(batches, 1 << 20):
-            ids, few, many = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            wide: tuple[list, ...] = ([], [], [], [])
+            ids = batch.column(0).to_pylist()
+            out: tuple[list, ...] = tuple([] for _ in schema)
             for k, words in _documents(utf8(batch.column(1).to_pylist())):
                 h = gram_hashes(words)
-                own = owners(h)
+                own = owners(h)  # grows with the window
                 kept = np.unique(own)
-                at = places(few[k].values, kept)
-                if len(at):
-                    for o, v in zip(out, suffixes(ids[k], words, h, at), strict=True):
-                        o.extend(v) if isinstance(v, list) else o.append(v)
-                flag = np.zeros(len(h), bool)
-                flag[places(many[k].values, kept)] = True
-                s = np.flatnonzero(flag[own])
-                if len(s):
-                    for o, v in zip(wide, (h[own[s]].view(np.int64), np.full(len(s), ids[k], np.int64), s.astype(np.int32), window_hashes(h)[s].view(np.int64)), strict=True):
-                        o.append(v)
+                for column, hot in ((2, False), (3, True)):
+                    at = np.intersect1d(np.asarray(batch.column(column)[k].values, np.int64), kept)  # a repeated id may bring another text's positions
+                    if len(at):
+                        for o, v in zip(out, suffixes(ids[k], words, h, own, at, hot), strict=True):
+                            o.extend(v) if isinstance(v, list) else o.append(v)
             if out[0]:
-                first = [np.concatenate(o) for o in out[:5]]
-                for i in range(0, len(out[5]), 1 << 12):  # 500 bytes a row
-                    j = slice(i, i + (1 << 12))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(o[j]) for o in first), pa.array(out[5][j], pa.binary()), pa.array(out[6][j], pa.binary()), pa.nulls(len(out[5][j]), pa.int64())], schema=schema)
-            if wide[0]:
-                gram, doc, pos, window = (np.concatenate(o) for o in wide)
-                for i in range(0, len(gram), 1 << 16):
-                    j = slice(i, i + (1 << 16))
-                    n = len(gram[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[j]), pa.array(doc[j]), pa.array(pos[j]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(window[j])], schema=schema)
+                flat = [np.concatenate(out[c]) if c not in (5, 6) else out[c] for c in range(len(out))]
+                for i in range(0, len(flat[0]), 1 << 12):  # 500 bytes a row
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i:i + (1 << 12)], f.type) for c, f in zip(flat, schema, strict=True)], schema=schema)
 
     return docs.select("doc", "text", "few", "many").mapInArrow(run, _SUFFIX)
 
@@ -142,6 +125,7 @@ class _Rows:
     def __init__(self, batch):
         self.batch = batch
         self.gram, self.doc, self.pos, self.nb, self.na = (np.asarray(batch.column(c)) for c in range(5))
+        self.low, self.high = (np.asarray(batch.column(c)) for c in ("low", "high"))
         read = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIDE)
         self.before, self.after = read(5), read(6)
 
@@ -189,6 +173,67 @@ def neighbours(batches):
         carry = batch.slice(max(0, batch.num_rows - NEAR))
 
 
+def owned_windows(r: _Rows, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, hash) of the windows of LEAST words whose minimiser is the suffix of each row, told apart by the words before and behind its gram."""
+    n = len(rows)
+    steps = np.arange(SIDE + 1)
+    m = (steps >= r.low[rows][:, None]) & (steps <= r.high[rows][:, None])  # so many words before the gram, the rest behind it
+    power = np.cumprod(np.full(SIDE, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    sums = lambda x: np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(mix(x) * power, 1, dtype=np.uint64)], 1)
+    before, after = sums(r.before[rows]), sums(r.after[rows])
+    i, k = np.nonzero(m)
+    h = mix(before[i, k] + mix(after[i, LEAST - K - k]) * np.uint64(0xC2B2AE3D27D4EB4F) + steps[k].astype(np.uint64))
+    return rows[i], r.pos[rows[i]] - k.astype(np.int32), h
+
+
+_FOUND = "doc long, start int, end int, other long, gram long, window long"
+
+
+def hot_neighbours(batches):
+    """Suffixes of frequent grams in their order: a row that matches a neighbour of another document in all words around its gram gives that span.
+
+    The others, and the first and the last row of those that are all alike (at least two documents), give all windows that they stand for, so that each
+    window is there for two documents if two have it.
+    """
+    carry, fresh = None, 0
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def settle(r: _Rows, first: int, end: int):
+        """Rows first to end, compared with up to NEAR rows on either side."""
+        other = np.full(len(r.gram), -1, np.int64)
+        full = np.zeros(len(r.gram), bool)
+        order = np.arange(len(r.gram))
+        alike = (r.gram[1:] == r.gram[:-1]) & (r.nb[1:] == r.nb[:-1]) & (r.na[1:] == r.na[:-1]) & (r.before[1:] == r.before[:-1]).all(1) & (r.after[1:] == r.after[:-1]).all(1)
+        of = np.concatenate([[0], np.cumsum(~alike)])[:len(r.gram)]  # rows that are all alike have one number
+        at_end = ~(np.concatenate([[False], alike]) & np.concatenate([alike, [False]]))[:len(r.gram)]
+        for d in range(1, NEAR + 1):
+            i, j = order[:-d], order[d:]
+            m = (of[i] == of[j]) & (r.doc[i] != r.doc[j]) & (r.nb[i] + r.na[i] + K >= LEAST)
+            for x, y in ((i[m], j[m]), (j[m], i[m])):
+                other[x] = np.where(full[x], np.minimum(other[x], r.doc[y]), r.doc[y])
+                full[x] = True
+        own = order[first:end]
+        x = own[full[own]]
+        if len(x):
+            none = pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(r.doc[x]), pa.array(r.pos[x] - r.nb[x]), pa.array((r.pos[x] + K + r.na[x]).astype(np.int32)), pa.array(other[x]), none, none], names=names)
+        x = own[~full[own] | at_end[own]]
+        for at in range(0, len(x), 1 << 11):
+            i, start, h = owned_windows(r, x[at:at + (1 << 11)])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(r.doc[i]), pa.array(start.astype(np.int32)), pa.array((start + LEAST).astype(np.int32)), pa.nulls(len(i), pa.int64()), pa.array(r.gram[i]), pa.array(h.view(np.int64))], names=names)
+
+    for batch in sliced(batches):
+        table = pa.Table.from_batches([carry, batch] if carry is not None else [batch]).combine_chunks()
+        batch = table.to_batches()[0]
+        end = max(fresh, batch.num_rows - NEAR)  # the last rows wait for those behind them
+        yield from settle(_Rows(batch), fresh, end)
+        cut = max(0, end - NEAR)
+        carry, fresh = batch.slice(cut), end - cut
+    if carry is not None and carry.num_rows > fresh:
+        yield from settle(_Rows(carry), fresh, carry.num_rows)
+
+
 def merge_spans(batches):
     for batch in sliced(batches):
         out: tuple[list, ...] = ([], [], [], [])
@@ -225,9 +270,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     at = tmp.write(sparse.join(shared, "gram").groupBy("doc").agg(places(False).alias("few"), places(True).alias("many")))
     texts = semi_join(single, at.select("doc"), "doc").join(at, "doc")
     suffixes = tmp.write(with_context(texts))
-    few = suffixes.where("window is null").drop("window").repartition("gram").sortWithinPartitions("gram", "doc", "pos")
+    order = ["gram", "after", "before", "doc", "pos"]  # suffix order: the gram stands for the first K words
+    few = suffixes.where("not hot").drop("hot").repartition("gram").sortWithinPartitions(*order)
     spans = tmp.write(few.mapInArrow(neighbours, _SPAN))
-    windows = suffixes.where("window is not null").select("gram", "window", "doc", "pos")
+    many = suffixes.where("hot").drop("hot").repartitionByRange(*order).sortWithinPartitions(*order)
+    many = tmp.write(many.mapInArrow(hot_neighbours, _FOUND))
+    # what no neighbour has shown: windows that two documents have
+    spans = spans.unionByName(many.where("window is null").select("doc", "start", "end", "other"))
+    windows = many.where("window is not null").select("gram", "window", "doc", F.col("start").alias("pos"))
     held = tmp.write(windows.groupBy("gram", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high"))
     wide = windows.join(held, ["gram", "window"])
     spans = spans.unionByName(wide.select("doc", F.col("pos").alias("start"), (F.col("pos") + LEAST).alias("end"), F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")))

@@ -692,6 +692,33 @@ def test_passages_of_frequent_grams(spark):
     assert [i for i in want if (want[i] != got[i]).any()] == []
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_of_recombined_blocks(spark, seed):
+    """Documents made of the same few blocks in any order: alike rows of many documents, partners in part, and repeats within one document."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    r = random.Random(seed)
+    blocks = [prose(r, r.choice([22, 28, 35, 45, 70])) for _ in range(9)]
+    rows = [" ".join(r.choice([*blocks, prose(r, 15)]) for _ in range(r.randint(1, 6))) for _ in range(120)]
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in rows]
+    at = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            at[tuple(w[k:k + 50])].add(i)
+    want, got = ({i: np.zeros(len(w), bool) for i, w in enumerate(words)} for _ in range(2))
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            if len(at[tuple(w[k:k + 50])]) > 1:
+                want[i][k:k + 50] = True
+    for x in suffix_dedup.repeated_passages(spark, docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect():
+        assert x["other_doc"] != x["doc_id"]
+        got[x["doc_id"]][x["start_word"]:x["end_word"]] = True
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    assert [i for i in want if (want[i] != got[i]).any()] == [] and sum(w.sum() for w in want.values()) > 3000
+
+
 # ------------------------------------------------------------------ rows that share an id
 
 def test_passages_of_an_id_with_a_copy(spark):
