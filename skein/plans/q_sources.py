@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import caching, highlights, matching, state
-from ..sources import readers
+from ..sources import batches, readers
 from ..sources.storage import scratch
 from ..streaming import jobs as J
 from . import fixtures as X
@@ -81,6 +81,24 @@ def snk1(t):
     return both.groupBy("result").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.sum("o_custkey").alias("keys"))
 
 
+def _order_rule(batch):
+    """Refuses a batch that holds an order of too much or one that is pending."""
+    price, status = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    if any(p is None or p >= 200000 or s == "P" for p, s in zip(price, status, strict=True)):
+        raise batches.Refused("an order breaks the rule")
+
+
+@query("snk1_batch_isolation", """SELECT CASE WHEN o_totalprice < 200000 AND o_orderstatus <> 'P' THEN 'inserted' ELSE 'failed' END AS result, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1""")
+def snk1_isolation(t):
+    """Orders written in batches to a store that refuses whole batches; rows that were let in are read back, the others are those refused one by one."""
+    store = batches.FolderStore(scratch(t.spark, "store"), _order_rule)
+    rows = t.orders.select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
+    batches.write_batches(rows, store, size=100)
+    there = batches.read_committed(t.spark, store, rows.schema).select("o_orderkey", F.lit("inserted").alias("result"))
+    refused = batches.read_refused(t.spark, store).select(F.col("row")["o_orderkey"].cast("long").alias("o_orderkey"), F.lit("failed").alias("result"))
+    return there.unionByName(refused).groupBy("result").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("str25_highlight_injection", """WITH a AS (SELECT p.entity_id, p.document_id, p.start_offset AS s, p.end_offset AS e FROM components p JOIN components v ON v.entity_id = p.entity_id AND v.component_type = 'Visual' WHERE p.component_type = 'Position')
   SELECT c.id, a.entity_id::VARCHAR AS annotation_id, (least(e, end_offset) - greatest(s, start_offset))::INT AS chars, s >= start_offset AS begins, e <= end_offset AS ends
   FROM doc_chunks c JOIN a ON a.document_id = c.document_id AND a.s < c.end_offset AND a.e > c.start_offset""", "doc_chunks components")
