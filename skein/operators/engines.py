@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,29 +61,65 @@ def by_rarity(chunks: DataFrame) -> DataFrame:
     return rows.select("id", F.transform("c", lambda x: x["concept"]).alias("concepts"))
 
 
+#: Rows of either sign of a concept that are compared at once.
+TILE = 1024
+
+
 def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: float = 0.3, k: int = 20) -> DataFrame:
     """Pairs that share concepts but differ in the sign of their polarity; strengths to nine places.
 
     A pair of similarity min_overlap has a concept in common among the rarest n - ceil(min_overlap * n) + 1 of each side, so only these are
     joined, and a common concept joins only chunks that have few rarer ones. Opposite signs join positive with negative rows only, so
-    equal-signed pairs never arise.
+    equal-signed pairs never arise. A concept's rows meet in tiles of TILE x TILE: what leaves a tile is k rows for each of its rows, however
+    many pairs it holds, and a concept of many chunks is many tasks.
     """
     c = chunks.where("is_current").select("id", "document_id", "polarity", "importance")
     c = c.join(by_rarity(chunks.where("is_current")), "id")
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        some = F.size("concepts") - F.ceil(min_overlap * F.size("concepts") - 1e-9).cast("int") + 1
-        return df.select(*[F.col(x).alias(p + x) for x in df.columns], F.explode(F.slice("concepts", 1, some)).alias("concept"))
-
-    pairs = side(c.where("polarity > 0"), "a_").join(side(c.where("polarity < 0"), "b_"), "concept").where("a_document_id <> b_document_id")
-    pairs = pairs.where(F.col("a_polarity") - F.col("b_polarity") >= min_distance)
-    # a pair is met once for each of these concepts it shares: keep the rarest, which is always among them
-    pairs = pairs.where(F.element_at(F.array_intersect("a_concepts", "b_concepts"), 1) == F.col("concept"))
-    j = jaccard(F.col("a_concepts"), F.col("b_concepts"))
-    strength = F.least(F.lit(1.0), 0.4 * j + 0.4 * ((F.col("a_polarity") - F.col("b_polarity")) / 2) + 0.2 * ((F.col("a_importance") + F.col("b_importance")) / 2))
-    pairs = pairs.where(j >= min_overlap).select("a_id", "b_id", F.round(strength, 9).alias("strength"))
-    both = pairs.select(F.col("a_id").alias("source"), F.col("b_id").alias("target"), "strength").unionByName(pairs.select(F.col("b_id").alias("source"), F.col("a_id").alias("target"), "strength"))
-    return best_per(both, "source", k, "strength", "target").select("source", "target", F.lit("contradiction_detection").alias("connection_type"), "strength")
+    some = F.size("concepts") - F.ceil(min_overlap * F.size("concepts") - 1e-9).cast("int") + 1
+    each = c.where("polarity <> 0").withColumn("concept", F.explode(F.slice("concepts", 1, some)))
+    positive = F.col("polarity") > 0
+    sizes = each.groupBy("concept").agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).where("p > 0 and n > 0")
+    tiles = sizes.select("concept", F.ceil(F.col("p") / TILE).cast("int").alias("tp"), F.ceil(F.col("n") / TILE).cast("int").alias("tn"))
+    dealt = each.join(tiles, "concept")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.withColumn("x", F.explode(F.when(positive, F.array(own("tp"))).otherwise(all_of("tp")))).withColumn("y", F.explode(F.when(positive, all_of("tn")).otherwise(F.array(own("tn")))))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        up, down = part[part["polarity"] > 0].sort_values("id"), part[part["polarity"] < 0].sort_values("id")
+        names = ["source", "target", "strength"]
+        if not len(up) or not len(down):
+            return pd.DataFrame({n: pd.Series([], dtype="float64" if n == "strength" else "int64") for n in names})
+        concept = part["concept"].iloc[0]
+        at = {x: i for i, x in enumerate(sorted({x for own in part["concepts"] for x in own}))}
+
+        def held(rows, before):
+            """Which concepts rows have; before: only those rarer than this one."""
+            out = np.zeros((len(rows), len(at)), np.float32)
+            for r, own in enumerate(rows["concepts"]):
+                own = list(own)
+                out[r, [at[x] for x in (own[:own.index(concept)] if before else own)]] = 1
+            return out
+
+        a, b = held(up, False), held(down, False)
+        common = (a @ b.T).astype(np.float64)
+        j = common / (a.sum(1)[:, None] + b.sum(1)[None, :] - common)
+        d = up["polarity"].to_numpy()[:, None] - down["polarity"].to_numpy()[None, :]
+        # a pair is met once for each of these concepts it shares: the rarest counts
+        ok = (held(up, True) @ held(down, True).T == 0) & (j >= min_overlap) & (d >= min_distance) & (up["document_id"].to_numpy()[:, None] != down["document_id"].to_numpy()[None, :])
+        s = np.minimum(1.0, 0.4 * j + 0.4 * (d / 2) + 0.2 * ((up["importance"].to_numpy()[:, None] + down["importance"].to_numpy()[None, :]) / 2))
+        s = np.where(ok, np.floor(s * 1e9 + 0.5) / 1e9, -1.0)
+        out = []
+        for x, y, m in ((up, down, s), (down, up, s.T)):
+            order = np.argsort(-m, axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(m, order, 1)
+            r, q = np.nonzero(top >= 0)
+            out.append(pd.DataFrame({"source": x["id"].to_numpy()[r], "target": y["id"].to_numpy()[order[r, q]], "strength": top[r, q]}))
+        return pd.concat(out)
+
+    pairs = dealt.select("id", "document_id", "polarity", "importance", "concepts", "concept", "x", "y").groupBy("concept", "x", "y").applyInPandas(best, "source long, target long, strength double")
+    pairs = pairs.withColumn("strength", F.round("strength", 9))
+    return best_per(pairs, "source", k, "strength", "target").select("source", "target", F.lit("contradiction_detection").alias("connection_type"), "strength")
 
 
 def default_bridge_score(importance_a: Column, importance_b: Column, overlap: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import rank_within
 from .registry import PARTS, Tables
 
 PARTS["chunks"] = ((), """SELECT vec_id AS id, label AS document_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS chunk_index,
@@ -15,13 +16,19 @@ PARTS["chunks"] = ((), """SELECT vec_id AS id, label AS document_id, (row_number
 def chunks(t: Tables) -> DataFrame:
     v = F.col("vec_id")
     return t.embeddings.select(
-        v.alias("id"), F.col("label").alias("document_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("chunk_index"),
+        v.alias("id"), F.col("label").alias("document_id"),
         (v % 10 != 0).alias("is_current"), ((v * 37) % 101 / 100.0).alias("importance"), (((v * 53) % 201 - 100) / 100.0).alias("polarity"),
         F.array(F.concat(F.lit("c"), v % 4), F.concat(F.lit("d"), v % 3)).alias("concepts"), F.concat(F.lit("dom"), F.col("label") % 4).alias("domain"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
 
 
+def chunk_numbers(t: Tables) -> DataFrame:
+    """id, document_id, chunk_index: ranks from one range-partitioned sort, as a label may hold a third of all rows."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"))
+    return rank_within(rows, "document_id", [F.col("id")]).select("id", "document_id", (F.col("rank") - 1).cast("int").alias("chunk_index"))
+
+
 PARTS["edges"] = ((), """SELECT vec_id AS source, (vec_id * 31 + j * 17) % 97 AS target,
   ['semantic_similarity', 'contradiction_detection', 'thematic_bridge'][((vec_id + j) % 3 + 1)::INT] AS connection_type,
   ((vec_id * 13 + j * 29) % 101) / 100.0 AS strength,

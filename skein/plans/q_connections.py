@@ -10,7 +10,7 @@ from ..functions.vectors import cosine
 from ..operators import engines as E
 from ..operators.vector_index import VectorIndex
 from ..operators.vector_search import top_k_cosine
-from ..operators.windows import global_rank
+from ..operators.windows import global_rank, rank_within
 from ..sources.storage import scratch
 from . import fixtures as X
 from .registry import query
@@ -143,7 +143,7 @@ def j7(t):
 @query("j16_document_connections", """SELECT e.source, e.target, e.connection_type, e.strength, s.document_id AS source_document, g.document_id AS target_document, s.chunk_index AS source_index, g.chunk_index AS target_index
   FROM edges e JOIN chunks s ON s.id = e.source JOIN chunks g ON g.id = e.target WHERE s.document_id = 2 OR g.document_id = 2""", "chunks edges")
 def j16(t):
-    c = X.chunks(t).select("id", "document_id", "chunk_index")
+    c = X.chunk_numbers(t)
     s = c.select(F.col("id").alias("source"), F.col("document_id").alias("source_document"), F.col("chunk_index").alias("source_index"))
     g = c.select(F.col("id").alias("target"), F.col("document_id").alias("target_document"), F.col("chunk_index").alias("target_index"))
     return X.edges(t).select("source", "target", "connection_type", "strength").join(s, "source").join(g, "target").where("source_document = 2 or target_document = 2")
@@ -169,8 +169,9 @@ def j20(t):
 @query("j24_newer_documents", "SELECT a.id, count(b.id) AS newer FROM doc_rows a LEFT JOIN doc_rows b ON a.user_id = b.user_id AND b.created_at > a.created_at GROUP BY a.id", "doc_rows")
 def j24(t):
     """How many documents of the same owner are newer: by rank, not by a self join."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"))
-    return X.doc_rows(t).select("id", (F.rank().over(w) - 1).cast("long").alias("newer"))
+    rows = X.doc_rows(t).select("id", "user_id", "created_at")
+    ranked = rank_within(rows, "user_id", [F.desc("created_at"), F.col("id")], ties=[F.col("created_at")])
+    return ranked.select("id", (F.col("rank") - 1).cast("long").alias("newer"))
 
 
 @query("j25_vault_edges_direct", """WITH v AS (SELECT source % 5 AS vault, e.*, s.id IS NOT NULL AND g.id IS NOT NULL AS ok FROM edges e LEFT JOIN (SELECT id FROM chunks WHERE id % 23 <> 0) s ON s.id = e.source LEFT JOIN (SELECT id FROM chunks WHERE id % 23 <> 0) g ON g.id = e.target)
@@ -275,13 +276,22 @@ def flt6(t):
 @query("flt4_undetected_chunks", "SELECT id, document_id, chunk_index FROM chunks WHERE is_current AND id NOT IN (SELECT source FROM edges WHERE strength > 0.5)", "chunks edges")
 def flt4(t):
     done = X.edges(t).where("strength > 0.5").select(F.col("source").alias("id"))
-    return X.chunks(t).where("is_current").join(done, "id", "left_anti").select("id", "document_id", "chunk_index")
+    left = X.chunks(t).where("is_current").join(done, "id", "left_anti").select("id")
+    return X.chunk_numbers(t).join(left, "id").select("id", "document_id", "chunk_index")
+
+
+def next_chunks(t):
+    """id and other: each chunk and the one after it in its document, joined on numbers that no value is hot in."""
+    c = X.chunk_numbers(t)
+    after = c.select("document_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("id").alias("other"))
+    return c.join(after, ["document_id", "chunk_index"]).select("id", "other")
 
 
 @query("set3_array_jaccard", "SELECT a.id, b.id AS other, round(len(list_intersect(a.concepts, b.concepts))::DOUBLE / len(list_distinct(list_concat(a.concepts, b.concepts))), 6) AS jaccard FROM chunks a JOIN chunks b ON b.document_id = a.document_id AND b.chunk_index = a.chunk_index + 1", "chunks")
 def set3(t):
-    w = Window.partitionBy("document_id").orderBy("chunk_index")
-    c = X.chunks(t).withColumn("other", F.lead("id").over(w)).withColumn("oc", F.lead("concepts").over(w)).where("other is not null")
+    c = next_chunks(t)
+    own = X.chunks(t).select("id", "concepts")
+    c = c.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("concepts").alias("oc")), "other")
     return c.select("id", "other", R6(jaccard(F.col("concepts"), F.col("oc"))).alias("jaccard"))
 
 
@@ -293,8 +303,9 @@ def set4(t):
 
 @query("math_cosine_adjacent", "SELECT id, round(list_cosine_similarity(embedding, nxt), 6) AS similarity FROM (SELECT id, embedding, lead(embedding) OVER (PARTITION BY document_id ORDER BY chunk_index) AS nxt FROM chunks) WHERE nxt IS NOT NULL", "chunks")
 def cos(t):
-    n = F.lead("embedding").over(Window.partitionBy("document_id").orderBy("chunk_index"))
-    return X.chunks(t).withColumn("n", n).where("n is not null").select("id", R6(cosine(F.col("embedding"), F.col("n"))).alias("similarity"))
+    own = X.chunks(t).select("id", "embedding")
+    c = next_chunks(t).join(own, "id").join(own.select(F.col("id").alias("other"), F.col("embedding").alias("n")), "other")
+    return c.where("n is not null").select("id", R6(cosine(F.col("embedding"), F.col("n"))).alias("similarity"))
 
 
 @query("d3_reprocess_smart", "SELECT source, target, connection_type FROM edges WHERE NOT ((source IN (SELECT id FROM chunks WHERE document_id = 4) OR target IN (SELECT id FROM chunks WHERE document_id = 4)) AND user_validated IS NOT DISTINCT FROM false)", "chunks edges")

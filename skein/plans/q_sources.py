@@ -9,7 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import caching, highlights, matching, state
+from ..operators import caching, fallback, highlights, matching, state
 from ..sources import batches, readers
 from ..sources.storage import scratch
 from ..streaming import jobs as J
@@ -180,3 +180,31 @@ def a15_layers(t):
 def a18_quality(t):
     """Tiers, recovery rate and mean confidence over the matcher's own output (A10, A18, A19, FLT12)."""
     return matching.match_quality(matches(t))
+
+
+def _large(texts):
+    """Stands for a model that is cut off by long texts and fails on a batch whose first text is of an odd kind."""
+    if texts and sum(map(ord, texts[0][:40])) % 3 == 0:
+        raise RuntimeError("out of memory")
+    return [f"topic {len(set(t.split())) % 9}" if len(t) < 4000 else None for t in texts]
+
+
+def _small(texts):
+    if len(texts) > 24:
+        raise RuntimeError("too many texts")
+    return [f"topic {len(t) % 9}" if t else None for t in texts]
+
+
+def _rules(texts):
+    return ["general" for _ in texts]
+
+
+#: Models are injected; these are stand-ins with fixed failures.
+MODELS = [("large", _large), ("small", _small), ("rules", _rules)]
+
+
+@query("enr2_breaker_chain")
+def enr2_chain(t):
+    """Every document through a chain of failing models: answer, model, models asked and number of errors; compared with a sequential loop in the tests."""
+    out = fallback.answer_rows(t.documents.select("doc_id", "text"), "doc_id", "text", MODELS)
+    return out.select("doc_id", "lane", "answer", "model", "asked", F.size("errors").alias("errors"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import exact_percentiles
 from ..operators import temporal as T
 from ..operators.state import import_review, upsert_weights
 from . import fixtures as X
@@ -144,8 +145,8 @@ def normalised(weights):
 
 @query("a17_percentiles", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def a17(t):
-    p = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))]
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *p)
+    p = exact_percentiles(t.events, "event_type", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).join(p.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type"))).drop("_type")
 
 
 @query("a23_custom_presets", "SELECT user_id, list_sort(list_concat(list_filter(list(DISTINCT event_type), lambda x: x <> 'view'), ['mine'])) AS presets, len(list_filter(list(DISTINCT event_type), lambda x: x <> 'view')) + 1 AS n FROM events GROUP BY user_id")

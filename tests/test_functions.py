@@ -233,9 +233,12 @@ def test_needles_are_found_in_all_texts_that_hold_them(spark):
     assert sorted((r["doc_id"], r["text"], r["item"], r["needle"]) for r in got) == want
 
 
-def test_contradictions_equal_brute_force(spark):
+@pytest.mark.parametrize("tile", [1024, 9])
+def test_contradictions_equal_brute_force(spark, monkeypatch, tile):
     from skein.operators.engines import contradiction
 
+    monkeypatch.setattr("skein.operators.engines.TILE", tile)
+
     r = random.Random(4)
     rows = [(i, i % 5, r.random() > 0.1, round(r.uniform(-1, 1), 2), round(r.random(), 2), ["all"] + [r.choice("abcdefgh") for _ in range(r.randint(0, 4))]) for i in range(120)]
     d = spark.createDataFrame(rows, "id long, document_id long, is_current boolean, polarity double, importance double, concepts array<string>")
