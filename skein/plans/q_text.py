@@ -9,7 +9,7 @@ from ..functions.sets import levenshtein_similarity, set_similarity, trigrams
 from ..operators import chunking as C
 from ..operators import layout as L
 from ..operators import matching as M
-from ..operators import scheduling
+from ..operators import scheduling, table_functions
 from ..operators import text as T
 from ..operators.articles import extract_articles
 from ..operators.seek import seek
@@ -413,6 +413,23 @@ def tg5(t):
     return C.block_documents(conversations_markdown(t), id_col="conv_id")
 
 
+def in_sql(t, sql: str, **views):
+    """A query in SQL over frames and the library's table functions."""
+    table_functions.register(t.spark)
+    return t.spark.sql(sql, **views)
+
+
+@query("tg2_chunks_in_sql")
+def tg2_sql(t):
+    """The recursive chunks by a lateral join with a table function; the same as the DataFrame form."""
+    return in_sql(t, "SELECT d.doc_id AS document_id, c.*, 'recursive' AS chunker_type FROM {docs} d, LATERAL chunk_text(d.text, 'recursive', 128) c", docs=t.documents.select("doc_id", "text"))
+
+
+@query("tg5_blocks_in_sql")
+def tg5_sql(t):
+    return in_sql(t, "SELECT d.conv_id AS document_id, b.* FROM {docs} d, LATERAL markdown_blocks(d.text) b", docs=conversations_markdown(t))
+
+
 @query("st8_fsrs_schedule")
 def st8(t):
     r = fixtures.reviews(t).select(F.col("user_id").alias("card_id"), "ts", F.expr("CASE rating WHEN 'again' THEN 1 WHEN 'hard' THEN 2 WHEN 'good' THEN 3 ELSE 4 END").alias("rating"))
