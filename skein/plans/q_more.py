@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -60,15 +62,34 @@ def _mapped(name, schema, f):
     query(name)(run)
 
 
+def _place(doc, text, room):
+    """A place anywhere in the text, by the document's id."""
+    return zlib.crc32(str(doc).encode()) % max(1, len(text) - room)
+
+
 def _annotation(doc, text):
-    needle = text[100:160]
-    edited = text[:100] + needle[:20] + "X" + needle[21:] + text[160:]
-    h = M.match_annotation(needle, edited, text[70:100], text[160:190], edited[50:250], 50)
+    """A marked passage in a text that has changed since: not at all, in the passage, and what is known of its surroundings less and less."""
+    kind, at = (doc or 0) % 5, _place(doc, text, 60)
+    needle, before, after = text[at:at + 60], text[max(0, at - 30):at], text[at + 60:at + 90]
+    new = text if kind == 0 else text[:at] + needle[:20] + "X" + needle[21:] + text[at + 60:]
+    if kind == 4:
+        needle = "".join(chr(0x4E00 + ord(c) % 97) for c in needle)
+    near = new[max(0, at - 200):at + 260] if kind == 2 else None
+    h = M.match_annotation(needle, new, *((before, after) if kind in (1, 4) else ("", "")), near, max(0, at - 200))
     return doc, h.start if h else None, h.end if h else None, h.confidence if h else None, h.method if h else "lost"
 
 
 def _repair(doc, text):
-    h = M.repair_offset(" ".join(text[50:350].split()), text, 60)
+    """A stored chunk: as it is, with squeezed white space, rewritten in its middle, or rewritten throughout."""
+    kind, at = (doc or 0) % 4, _place(doc, text, 400)
+    chunk = text[at:at + 400]
+    if kind:
+        chunk = " ".join(chunk.split())
+    if kind == 2:
+        chunk = f"{chunk[:120]} other words {chunk[160:]}"
+    if kind == 3:
+        chunk = chunk[::-1]
+    h = M.repair_offset(chunk, text, at)
     return doc, h.start if h else None, h.end if h else None, h.method if h else "lost"
 
 
