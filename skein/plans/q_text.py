@@ -13,6 +13,7 @@ from ..operators import scheduling, table_functions
 from ..operators import text as T
 from ..operators.articles import extract_articles
 from ..operators.seek import seek
+from ..operators.structure import similar_structures
 from ..operators.text_index import TextIndex
 from ..sources.storage import scratch
 from ..streaming import jobs as S
@@ -261,6 +262,13 @@ def str22(t):
     return conversations_markdown(t).mapInPandas(run, "conv_id long, sequence string, depth int, complexity double, hash string")
 
 
+@query("str22_similar_structures")
+def str22_similar(t):
+    """Pairs of structures of a similarity of 0.9 or more among the conversations, each structure by its smallest conversation; compared with all pairs in the tests."""
+    f = str22(t).select(F.col("conv_id").alias("id"), F.filter(F.split("sequence", "-"), lambda x: x != "").alias("sequence"), "depth", "complexity")
+    return similar_structures(f, 0.9)[0].select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
 def conversations_markdown(t):
     rows = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text")).alias("s"))))
     body = F.array_join(F.transform(rows, lambda x: x["s"]), "\n\n")
