@@ -13,6 +13,7 @@ from ..operators import scheduling, table_functions
 from ..operators import text as T
 from ..operators.articles import extract_articles
 from ..operators.seek import seek
+from ..operators.semantic_chunks import semantic_chunks
 from ..operators.structure import similar_structures
 from ..operators.text_index import TextIndex
 from ..sources.storage import scratch
@@ -421,6 +422,12 @@ def tg5(t):
     return C.block_documents(conversations_markdown(t), id_col="conv_id")
 
 
+@query("tg2_semantic_chunks")
+def tg2_semantic(t):
+    """Chunks of one topic by a stand-in for a sentence model; planted changes are found in the tests."""
+    return semantic_chunks(t.documents.select(F.col("doc_id").alias("document_id"), "text"))
+
+
 def in_sql(t, sql: str, **views):
     """A query in SQL over frames and the library's table functions."""
     table_functions.register(t.spark)
