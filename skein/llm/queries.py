@@ -36,8 +36,8 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(spark, _table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-#: Small enough that tables of a few MB split several times; a parameter of the operator.
-SHARD_BYTES = 256 << 10
+#: Small enough that tables of a few MB split several times, some buckets deeper than others; a parameter of the operator.
+SHARD_BYTES = 160 << 10
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

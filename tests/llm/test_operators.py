@@ -719,6 +719,57 @@ def test_passages_of_recombined_blocks(spark, seed):
     assert [i for i in want if (want[i] != got[i]).any()] == [] and sum(w.sum() for w in want.values()) > 3000
 
 
+# ------------------------------------------------------------------ 5, once more
+
+def key_of(i):
+    import hashlib
+
+    return int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16)
+
+
+def test_only_oversized_buckets_split(spark):
+    """A run of ids whose hashes share many bits, null ids, rows that repeat an id: depths differ, and only where bytes ask for it."""
+    near = sorted(range(60_000), key=key_of)[:40]  # their hashes begin alike
+    rows = [(i, "x" * 100, "en", "s") for i in [*near, *range(100_000, 100_200)]] + [(None, "y" * 90, "en", "s")] * 2 + [(5, "z" * 700, "en", "s")] * 2
+    limit = 1000
+    got = sharding.shards(spark, docs_of(spark, rows), limit=limit).collect()
+    assert len(got) == len(rows)
+    size = Counter()
+    for r in got:
+        size[r["depth"], r["shard"]] += r["n_bytes"]
+    depths = {r["depth"] for r in got}
+    assert max(depths) - min(depths) >= 8
+    for r in got:
+        h = key_of(r["doc_id"])
+        assert r["shard"] == h >> (60 - r["depth"]) and r["shard_bytes"] == size[r["depth"], r["shard"]] and r["fits"] == (r["shard_bytes"] <= limit)
+        assert r["fits"] or len({key_of(x["doc_id"]) for x in got if (x["depth"], x["shard"]) == (r["depth"], r["shard"])}) == 1
+        if r["depth"]:  # the bucket above did not fit
+            above = sum(len(t) for i, t, *_ in rows if key_of(i) >> (61 - r["depth"]) == r["shard"] >> 1)
+            assert above > limit
+    assert {r["shard_bytes"] for r in got if r["doc_id"] == 5} == {1400} and {r["shard_docs"] for r in got if r["doc_id"] is None} <= set(range(2, 20))
+    table = sorted(sharding.directory(sharding.shards(spark, docs_of(spark, rows), limit=limit)).collect(), key=lambda r: r["first_hash"])
+    assert len(table) == len(size) and all(a["last_hash"] < b["first_hash"] for a, b in zip(table, table[1:], strict=False))
+    assert all(sum(t["first_hash"] <= key_of(r["doc_id"]) <= t["last_hash"] for t in table) == 1 for r in got)
+
+
+def test_the_query_splits_to_several_depths(spark):
+    from skein.llm import queries
+
+    assert len({r["depth"] for r in queries.op5_sharding(spark, "/root/testdata/sf0.01").select("depth").distinct().collect()}) >= 2
+
+
+# ------------------------------------------------------------------ 8, as registered
+
+def test_toxicity_query_quality(spark):
+    from skein.llm import queries
+
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(r["score"], truth[r["doc_id"]], r["predicted"]) for r in queries.op8_toxicity(spark, "/root/testdata/sf0.01").collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    yes, no = [s for s, t, _ in held if t], [s for s, t, _ in held if not t]
+    area = sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / (len(yes) * len(no))
+    assert area >= 0.85 and sum(p for _, t, p in held if not t) <= 0.05 * len(no) and sum(p for _, t, p in held if t) >= 0.4 * len(yes)
+
+
 # ------------------------------------------------------------------ rows that share an id
 
 def test_passages_of_an_id_with_a_copy(spark):
