@@ -9,7 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import caching, fallback, highlights, matching, state
+from ..operators import caching, fallback, highlights, matching, payloads, state
 from ..sources import batches, readers
 from ..sources.storage import scratch
 from ..streaming import jobs as J
@@ -208,3 +208,26 @@ def enr2_chain(t):
     """Every document through a chain of failing models: answer, model, models asked and number of errors; compared with a sequential loop in the tests."""
     out = fallback.answer_rows(t.documents.select("doc_id", "text"), "doc_id", "text", MODELS)
     return out.select("doc_id", "lane", "answer", "model", "asked", F.size("errors").alias("errors"))
+
+
+PAYLOADS = """SELECT l_orderkey AS id, list(DISTINCT l_partkey ORDER BY l_partkey) AS parts FROM lineitem GROUP BY l_orderkey"""
+
+
+def order_payloads(t):
+    """A payload an order: its parts as chunk_ids; every 13th is cut off, every 17th holds a text instead, every 19th lacks them."""
+    parts = F.array_sort(F.collect_set("l_partkey"))
+    o = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(parts.alias("parts"))
+    i = F.col("id")
+    whole = F.to_json(F.struct(F.col("parts").alias("chunk_ids"), F.struct((i % 7).alias("page")).alias("position"), (i % 2 == 0).alias("open")))
+    odd = F.when(i % 13 == 0, F.concat(F.lit("{"), F.substring(whole, 3, 40))).when(i % 17 == 0, F.lit('{"chunk_ids": "all of them"}')).when(i % 19 == 0, F.lit('{"note": [1, 2]}'))
+    return o.select("id", F.coalesce(odd, whole).alias("payload"), "parts")
+
+
+@query("j27_payload_containment", f"""WITH o AS ({PAYLOADS}), g AS (SELECT id, parts FROM o WHERE id % 13 <> 0 AND id % 17 <> 0 AND id % 19 <> 0),
+  s AS (SELECT id AS search, parts[1:2] AS wanted FROM o WHERE id % 50 = 0), e AS (SELECT id, parts, unnest(parts) AS part FROM g)
+  SELECT search, id FROM s JOIN e ON e.part = s.wanted[1] WHERE len(s.wanted) = 1 OR list_contains(e.parts, s.wanted[2])""")
+def j27_payload(t):
+    """For the orders divisible by 50: the payloads whose chunk_ids hold the first two parts of each, by the table of elements."""
+    p = order_payloads(t)
+    table = payloads.PayloadTable.build(p.select("id", "payload"), "$.chunk_ids", "long", scratch(t.spark, "payloads"))
+    return table.contains(p.where("id % 50 = 0").select(F.col("id").alias("search"), F.slice("parts", 1, 2).alias("values")))
