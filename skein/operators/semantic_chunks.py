@@ -20,17 +20,36 @@ from pyspark.sql import functions as F
 
 from .chunking import sentence_spans
 
-SIDE, DIM = 3, 128
+SIDE, DIM = 3, 64
 Embed = Callable[[list[str]], np.ndarray]
 
 
+_WORD = re.compile(r"\w+")
+
+
+class _Places(dict):
+    """Where words are counted; forgets when it knows too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = zlib.crc32(word.encode()) % DIM
+        return out
+
+
+_places = _Places()
+
+
 def hashed_words(sentences: list[str]) -> np.ndarray:
     """A stand-in for a model: counts of hashed words in DIM places."""
-    out = np.zeros((len(sentences), DIM))
-    for i, s in enumerate(sentences):
-        for w in re.findall(r"\w+", s.lower()):
-            out[i, zlib.crc32(w.encode()) % DIM] += 1
-    return out
+    places: list[int] = []
+    counts = []
+    for s in sentences:
+        words = _WORD.findall(s.lower())
+        places += [_places[w] for w in words]
+        counts.append(len(words))
+    at = np.repeat(np.arange(len(sentences)) * DIM, counts) + np.array(places, np.int64)
+    return np.bincount(at, minlength=len(sentences) * DIM).astype(float).reshape(len(sentences), DIM)
 
 
 def gaps(vectors: np.ndarray, of: np.ndarray) -> np.ndarray:
