@@ -61,8 +61,8 @@ def by_rarity(chunks: DataFrame) -> DataFrame:
     return rows.select("id", F.transform("c", lambda x: x["concept"]).alias("concepts"))
 
 
-#: Rows of either sign of a concept that are compared at once.
-TILE = 1024
+#: Rows of either sign of a concept that are compared at once: what a tile sends on is k of its TILE partners for each row.
+TILE = 2048
 
 
 def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: float = 0.3, k: int = 20) -> DataFrame:
@@ -102,8 +102,8 @@ def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: flo
             return out
 
         a, b = held(up, False), held(down, False)
-        common = (a @ b.T).astype(np.float64)
-        j = common / (a.sum(1)[:, None] + b.sum(1)[None, :] - common)
+        j = (a @ b.T).astype(np.float64)
+        j /= a.sum(1)[:, None] + b.sum(1)[None, :] - j
         d = up["polarity"].to_numpy()[:, None] - down["polarity"].to_numpy()[None, :]
         # a pair is met once for each of these concepts it shares: the rarest counts
         ok = (held(up, True) @ held(down, True).T == 0) & (j >= min_overlap) & (d >= min_distance) & (up["document_id"].to_numpy()[:, None] != down["document_id"].to_numpy()[None, :])
@@ -111,10 +111,11 @@ def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: flo
         s = np.where(ok, np.floor(s * 1e9 + 0.5) / 1e9, -1.0)
         out = []
         for x, y, m in ((up, down, s), (down, up, s.T)):
-            order = np.argsort(-m, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(m, order, 1)
-            r, q = np.nonzero(top >= 0)
-            out.append(pd.DataFrame({"source": x["id"].to_numpy()[r], "target": y["id"].to_numpy()[order[r, q]], "strength": top[r, q]}))
+            for at in range(0, len(m), 256):  # some rows at a time bound the memory
+                order = np.argsort(-m[at:at + 256], axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(m[at:at + 256], order, 1)
+                r, q = np.nonzero(top >= 0)
+                out.append(pd.DataFrame({"source": x["id"].to_numpy()[at + r], "target": y["id"].to_numpy()[order[r, q]], "strength": top[r, q]}))
         return pd.concat(out)
 
     pairs = dealt.select("id", "document_id", "polarity", "importance", "concepts", "concept", "x", "y").groupBy("concept", "x", "y").applyInPandas(best, "source long, target long, strength double")

@@ -233,7 +233,7 @@ def test_needles_are_found_in_all_texts_that_hold_them(spark):
     assert sorted((r["doc_id"], r["text"], r["item"], r["needle"]) for r in got) == want
 
 
-@pytest.mark.parametrize("tile", [1024, 9])
+@pytest.mark.parametrize("tile", [2048, 9])
 def test_contradictions_equal_brute_force(spark, monkeypatch, tile):
     from skein.operators.engines import contradiction
 
