@@ -61,8 +61,28 @@ def by_rarity(chunks: DataFrame) -> DataFrame:
     return rows.select("id", F.transform("c", lambda x: x["concept"]).alias("concepts"))
 
 
-#: Rows of either sign of a concept that are compared at once: what a tile sends on is k of its TILE partners for each row.
-TILE = 2048
+#: Sources of a concept that a task compares with targets at once.
+TILE = 1024
+
+
+def strengths(a: pd.DataFrame, b: pd.DataFrame, concept: str, min_overlap: float, min_distance: float) -> np.ndarray:
+    """Strengths of all pairs to nine places, -1 where they do not contradict or share a concept rarer than this one (there they are met)."""
+    at = {x: i for i, x in enumerate(sorted({x for rows in (a, b) for own in rows["concepts"] for x in own}))}
+
+    def held(rows, before):
+        out = np.zeros((len(rows), len(at)), np.float32)
+        for r, own in enumerate(rows["concepts"]):
+            own = list(own)
+            out[r, [at[x] for x in (own[:own.index(concept)] if before else own)]] = 1
+        return out
+
+    x, y = held(a, False), held(b, False)
+    j = (x @ y.T).astype(np.float64)
+    j /= x.sum(1)[:, None] + y.sum(1)[None, :] - j
+    d = np.abs(a["polarity"].to_numpy()[:, None] - b["polarity"].to_numpy()[None, :])
+    ok = (held(a, True) @ held(b, True).T == 0) & (j >= min_overlap) & (d >= min_distance) & (a["document_id"].to_numpy()[:, None] != b["document_id"].to_numpy()[None, :])
+    s = np.minimum(1.0, 0.4 * j + 0.4 * (d / 2) + 0.2 * ((a["importance"].to_numpy()[:, None] + b["importance"].to_numpy()[None, :]) / 2))
+    return np.where(ok, np.floor(s * 1e9 + 0.5) / 1e9, -1.0)
 
 
 def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: float = 0.3, k: int = 20) -> DataFrame:
@@ -70,8 +90,8 @@ def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: flo
 
     A pair of similarity min_overlap has a concept in common among the rarest n - ceil(min_overlap * n) + 1 of each side, so only these are
     joined, and a common concept joins only chunks that have few rarer ones. Opposite signs join positive with negative rows only, so
-    equal-signed pairs never arise. A concept's rows meet in tiles of TILE x TILE: what leaves a tile is k rows for each of its rows, however
-    many pairs it holds, and a concept of many chunks is many tasks.
+    equal-signed pairs never arise. A concept's chunks are dealt to tiles of about TILE sources, so a concept of many chunks is many tasks; the targets
+    pass by each tile as a sorted stream, and what leaves it is k rows for each source.
     """
     c = chunks.where("is_current").select("id", "document_id", "polarity", "importance")
     c = c.join(by_rarity(chunks.where("is_current")), "id")
@@ -82,43 +102,51 @@ def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: flo
     tiles = sizes.select("concept", F.ceil(F.col("p") / TILE).cast("int").alias("tp"), F.ceil(F.col("n") / TILE).cast("int").alias("tn"))
     dealt = each.join(tiles, "concept")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = dealt.withColumn("x", F.explode(F.when(positive, F.array(own("tp"))).otherwise(all_of("tp")))).withColumn("y", F.explode(F.when(positive, all_of("tn")).otherwise(F.array(own("tn")))))
-
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        up, down = part[part["polarity"] > 0].sort_values("id"), part[part["polarity"] < 0].sort_values("id")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["concept", "id", "document_id", "polarity", "importance", "concepts"]
+    sources = dealt.select(*cols, positive.alias("up"), F.when(positive, own("tp")).otherwise(own("tn")).alias("tile"), F.lit(0).alias("role"))
+    targets = dealt.where(positive).select(*cols, F.lit(False).alias("up"), all_of("tn").alias("tile"), F.lit(1).alias("role"))
+    targets = targets.unionByName(dealt.where(~positive).select(*cols, F.lit(True).alias("up"), all_of("tp").alias("tile"), F.lit(1).alias("role")))
+    met = sources.unionByName(targets).repartition("concept", "up", "tile").sortWithinPartitions("concept", "up", "tile", "role", "id")
+
+    def best(batches):
+        """Tiles of sources, each followed by its targets by id: the k best of each source are kept as targets pass by."""
         names = ["source", "target", "strength"]
-        if not len(up) or not len(down):
-            return pd.DataFrame({n: pd.Series([], dtype="float64" if n == "strength" else "int64") for n in names})
-        concept = part["concept"].iloc[0]
-        at = {x: i for i, x in enumerate(sorted({x for own in part["concepts"] for x in own}))}
-
-        def held(rows, before):
-            """Which concepts rows have; before: only those rarer than this one."""
-            out = np.zeros((len(rows), len(at)), np.float32)
-            for r, own in enumerate(rows["concepts"]):
-                own = list(own)
-                out[r, [at[x] for x in (own[:own.index(concept)] if before else own)]] = 1
-            return out
-
-        a, b = held(up, False), held(down, False)
-        j = (a @ b.T).astype(np.float64)
-        j /= a.sum(1)[:, None] + b.sum(1)[None, :] - j
-        d = up["polarity"].to_numpy()[:, None] - down["polarity"].to_numpy()[None, :]
-        # a pair is met once for each of these concepts it shares: the rarest counts
-        ok = (held(up, True) @ held(down, True).T == 0) & (j >= min_overlap) & (d >= min_distance) & (up["document_id"].to_numpy()[:, None] != down["document_id"].to_numpy()[None, :])
-        s = np.minimum(1.0, 0.4 * j + 0.4 * (d / 2) + 0.2 * ((up["importance"].to_numpy()[:, None] + down["importance"].to_numpy()[None, :]) / 2))
-        s = np.where(ok, np.floor(s * 1e9 + 0.5) / 1e9, -1.0)
-        out = []
-        for x, y, m in ((up, down, s), (down, up, s.T)):
-            for at in range(0, len(m), 256):  # some rows at a time bound the memory
-                order = np.argsort(-m[at:at + 256], axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(m[at:at + 256], order, 1)
-                r, q = np.nonzero(top >= 0)
-                out.append(pd.DataFrame({"source": x["id"].to_numpy()[at + r], "target": y["id"].to_numpy()[order[r, q]], "strength": top[r, q]}))
-        return pd.concat(out)
-
-    pairs = dealt.select("id", "document_id", "polarity", "importance", "concepts", "concept", "x", "y").groupBy("concept", "x", "y").applyInPandas(best, "source long, target long, strength double")
+        tile = None  # (concept, up, tile)
+        held: list[pd.DataFrame] = []  # the tile's sources, until its first target comes
+        up = top_s = top_t = None
+
+        def flush():
+            if up is None:
+                return pd.DataFrame({n: pd.Series([], dtype="float64" if n == "strength" else "int64") for n in names})
+            r, q = np.nonzero(top_s >= 0)
+            return pd.DataFrame(dict(zip(names, (up["id"].to_numpy()[r], top_t[r, q], top_s[r, q]), strict=True)))
+
+        for batch in batches:
+            for key, part in batch.groupby(["concept", "up", "tile"], sort=False):
+                if key != tile:
+                    yield flush()
+                    tile, held, up = key, [], None
+                a, b = part[part["role"] == 0], part[part["role"] == 1]
+                if len(a):
+                    held.append(a)
+                if not len(b):
+                    continue
+                if up is None:
+                    if not held:
+                        continue
+                    up = pd.concat(held)
+                    top_s, top_t = np.full((len(up), k), -1.0), np.zeros((len(up), k), np.int64)
+                for at in range(0, len(b), 512):
+                    some = b.iloc[at:at + 512]
+                    s = strengths(up, some, key[0], min_overlap, min_distance)
+                    # those kept come first, so that of equals the smaller target stays
+                    both, ids = np.hstack([top_s, s]), np.hstack([top_t, np.broadcast_to(some["id"].to_numpy(), s.shape)])
+                    order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                    top_s, top_t = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+        yield flush()
+
+    pairs = met.mapInPandas(best, "source long, target long, strength double")
     pairs = pairs.withColumn("strength", F.round("strength", 9))
     return best_per(pairs, "source", k, "strength", "target").select("source", "target", F.lit("contradiction_detection").alias("connection_type"), "strength")
 
