@@ -65,24 +65,52 @@ def by_rarity(chunks: DataFrame) -> DataFrame:
 TILE = 1024
 
 
-def strengths(a: pd.DataFrame, b: pd.DataFrame, concept: str, min_overlap: float, min_distance: float) -> np.ndarray:
-    """Strengths of all pairs to nine places, -1 where they do not contradict or share a concept rarer than this one (there they are met)."""
-    at = {x: i for i, x in enumerate(sorted({x for rows in (a, b) for own in rows["concepts"] for x in own}))}
-
-    def held(rows, before):
-        out = np.zeros((len(rows), len(at)), np.float32)
+class Sources:
+    """A tile of sources of one concept, and the k best targets of each that have passed by."""
+
+    def __init__(self, rows: pd.DataFrame, concept: str, k: int, min_overlap: float, min_distance: float):
+        self.rows, self.concept, self.k, self.min_overlap, self.min_distance = rows, concept, k, min_overlap, min_distance
+        self.at = {x: i for i, x in enumerate(sorted({x for own in rows["concepts"] for x in own}))}  # what only targets have is never common
+        self.held, self.rarer, self.size = self._sets(rows)
+        self.document, self.polarity, self.importance = (rows[c].to_numpy()[:, None] for c in ("document_id", "polarity", "importance"))
+        self.strength, self.target = np.full((len(rows), k), -1.0), np.zeros((len(rows), k), np.int64)
+
+    def _sets(self, rows: pd.DataFrame):
+        """Which concepts rows have, which of them are rarer than this one, and how many they have."""
+        held, rarer, size = np.zeros((len(rows), len(self.at)), np.float32), np.zeros((len(rows), len(self.at)), np.float32), np.zeros(len(rows))
         for r, own in enumerate(rows["concepts"]):
             own = list(own)
-            out[r, [at[x] for x in (own[:own.index(concept)] if before else own)]] = 1
-        return out
-
-    x, y = held(a, False), held(b, False)
-    j = (x @ y.T).astype(np.float64)
-    j /= x.sum(1)[:, None] + y.sum(1)[None, :] - j
-    d = np.abs(a["polarity"].to_numpy()[:, None] - b["polarity"].to_numpy()[None, :])
-    ok = (held(a, True) @ held(b, True).T == 0) & (j >= min_overlap) & (d >= min_distance) & (a["document_id"].to_numpy()[:, None] != b["document_id"].to_numpy()[None, :])
-    s = np.minimum(1.0, 0.4 * j + 0.4 * (d / 2) + 0.2 * ((a["importance"].to_numpy()[:, None] + b["importance"].to_numpy()[None, :]) / 2))
-    return np.where(ok, np.floor(s * 1e9 + 0.5) / 1e9, -1.0)
+            size[r] = len(own)
+            places = [self.at.get(x, -1) for x in own]
+            held[r, [p for p in places if p >= 0]] = 1
+            rarer[r, [p for p in places[:own.index(self.concept)] if p >= 0]] = 1
+        return held, rarer, size
+
+    def strengths(self, b: pd.DataFrame) -> np.ndarray:
+        """Strengths of all pairs to nine places, -1 where they do not contradict or share a rarer concept (there they are met)."""
+        held, rarer, size = self._sets(b)
+        j = (self.held @ held.T).astype(np.float64)
+        j /= self.size[:, None] + size[None, :] - j
+        d = np.abs(self.polarity - b["polarity"].to_numpy()[None, :])
+        ok = (j >= self.min_overlap) & (d >= self.min_distance) & (self.document != b["document_id"].to_numpy()[None, :]) & (self.rarer @ rarer.T == 0)
+        s = np.minimum(1.0, 0.4 * j + 0.4 * (d / 2) + 0.2 * ((self.importance + b["importance"].to_numpy()[None, :]) / 2))
+        return np.where(ok, np.floor(s * 1e9 + 0.5) / 1e9, -1.0)
+
+    def meet(self, b: pd.DataFrame) -> None:
+        """Targets in the order of their ids: of equals the earlier stays, so only what is better than a source's last counts."""
+        s = self.strengths(b)
+        better = s > self.strength[:, -1:]
+        rows, cols = np.flatnonzero(better.any(1)), np.flatnonzero(better.any(0))
+        if not len(rows):
+            return
+        both = np.hstack([self.strength[rows], s[np.ix_(rows, cols)]])
+        ids = np.hstack([self.target[rows], np.broadcast_to(b["id"].to_numpy()[cols], (len(rows), len(cols)))])
+        order = np.argsort(-both, axis=1, kind="stable")[:, :self.k]
+        self.strength[rows], self.target[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+
+    def best(self) -> pd.DataFrame:
+        r, q = np.nonzero(self.strength >= 0)
+        return pd.DataFrame({"source": self.rows["id"].to_numpy()[r], "target": self.target[r, q], "strength": self.strength[r, q]})
 
 
 def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: float = 0.3, k: int = 20) -> DataFrame:
@@ -111,40 +139,23 @@ def contradiction(chunks: DataFrame, min_overlap: float = 0.5, min_distance: flo
 
     def best(batches):
         """Tiles of sources, each followed by its targets by id: the k best of each source are kept as targets pass by."""
-        names = ["source", "target", "strength"]
         tile = None  # (concept, up, tile)
         held: list[pd.DataFrame] = []  # the tile's sources, until its first target comes
-        up = top_s = top_t = None
-
-        def flush():
-            if up is None:
-                return pd.DataFrame({n: pd.Series([], dtype="float64" if n == "strength" else "int64") for n in names})
-            r, q = np.nonzero(top_s >= 0)
-            return pd.DataFrame(dict(zip(names, (up["id"].to_numpy()[r], top_t[r, q], top_s[r, q]), strict=True)))
-
+        up: Sources | None = None
         for batch in batches:
             for key, part in batch.groupby(["concept", "up", "tile"], sort=False):
                 if key != tile:
-                    yield flush()
+                    if up is not None:
+                        yield up.best()
                     tile, held, up = key, [], None
                 a, b = part[part["role"] == 0], part[part["role"] == 1]
                 if len(a):
                     held.append(a)
-                if not len(b):
-                    continue
-                if up is None:
-                    if not held:
-                        continue
-                    up = pd.concat(held)
-                    top_s, top_t = np.full((len(up), k), -1.0), np.zeros((len(up), k), np.int64)
-                for at in range(0, len(b), 512):
-                    some = b.iloc[at:at + 512]
-                    s = strengths(up, some, key[0], min_overlap, min_distance)
-                    # those kept come first, so that of equals the smaller target stays
-                    both, ids = np.hstack([top_s, s]), np.hstack([top_t, np.broadcast_to(some["id"].to_numpy(), s.shape)])
-                    order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                    top_s, top_t = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
-        yield flush()
+                if len(b) and held:
+                    up = up or Sources(pd.concat(held), key[0], k, min_overlap, min_distance)
+                    up.meet(b)
+        if up is not None:
+            yield up.best()
 
     pairs = met.mapInPandas(best, "source long, target long, strength double")
     pairs = pairs.withColumn("strength", F.round("strength", 9))
