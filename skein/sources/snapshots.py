@@ -191,7 +191,11 @@ class SnapshotTable:
     def follow(self, stream: DataFrame, name: str, checkpoint: str, merge=None, mode: str = "append"):
         """Start upserting a stream into the table, a version a batch; the query runs to the end of what is there. A batch that runs again changes nothing."""
         def apply(rows: DataFrame, batch: int) -> None:
-            if not rows.isEmpty():
-                self.upsert(rows, name, batch, merge)
+            rows = rows.persist()  # else each action below works the batch out again, its state with it
+            try:
+                if not rows.isEmpty():
+                    self.upsert(rows, name, batch, merge)
+            finally:
+                rows.unpersist()
 
         return stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()

@@ -122,3 +122,23 @@ def test_latest_once(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     got = jobs.latest_once(stream.groupBy("k").agg(F.max("at").alias("at"), F.count("*").alias("n")), ["k"], "n", f"file://{tmp_path}/out")
     assert sorted(map(tuple, got.collect())) == [(1, 2, 3), (5, 0, 1), (6, 1, 1), (7, 2, 1)]
+
+
+def test_job_states_of_many_files(spark, tmp_path):
+    """A job for nearly every event and many small files: one batch, no key in Python, each job's newest status."""
+    rng = random.Random(9)
+    kinds = ["signup", "view", "click", "purchase", "error"]
+    events = [(i, rng.randrange(40), rng.choice(kinds), i // 90) for i in range(120)]
+    for k in range(12):
+        part = spark.createDataFrame(events[k::12], "event_id long, user_id long, event_type string, at long").select("event_id", "user_id", "event_type", F.timestamp_seconds("at").alias("ts"))
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = jobs.job_states(jobs.read_events(spark, f"{tmp_path}/in"))
+    assert "InPandas" not in stream._jdf.queryExecution().analyzed().toString()
+    got = jobs.latest_once(stream, ["job_id"], "events", f"file://{tmp_path}/out")
+    status = dict(zip(kinds, ["pending", "processing", "paused", "completed", "failed"], strict=True))
+    want = {}
+    for i, user, kind, at in events:
+        old = want.get(user * 100000 + i // 5, ((-1, -1, ""), 0))
+        want[user * 100000 + i // 5] = max(old[0], (at * 1_000_000, i, status[kind])), old[1] + 1
+    assert sorted(map(tuple, got.collect())) == sorted((k, x[2], x[0], n) for k, (x, n) in want.items())
+    assert len(list((tmp_path / "out" / "table" / "history").glob("*.json"))) == 1
