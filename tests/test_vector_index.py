@@ -1,5 +1,6 @@
 """The inverted-file index against a search of all rows."""
 
+import math
 import os
 
 import numpy as np
@@ -73,3 +74,22 @@ def test_recall_query(spark):
     rows = catalog.queries()["j1_index_recall"](spark, FOLDER).collect()
     assert sum(r["found"] for r in rows) >= 0.9 * sum(r["exact"] for r in rows)
     assert len(rows) == spark.read.parquet(f"{FOLDER}/embeddings.parquet").where("vec_id % 50 = 0").count()
+
+
+def test_blocks_are_shuffled_once(spark):
+    """However many blocks there are, no vector is dealt out for each of them; equal vectors tie, and null documents and zero vectors find nothing."""
+    rng = np.random.default_rng(3)
+    own = [[float(y) for y in rng.normal(size=8).astype(np.float32)] for _ in range(60)]
+    values = [(i, i % 7, own[i % 60]) for i in range(300)] + [(300, None, own[0]), (301, 1, [0.0] * 8), (302, 2, None)]
+    df = spark.createDataFrame(values, "id long, document_id long, embedding array<double>")
+    out = top_k_cosine(df, df, 4, 0.2, block=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInPandas" not in plan
+    got = {(r["source"], r["rank"]): (r["target"], r["similarity"]) for r in out.collect()}
+    want = {}
+    for i, d, x in values[:300]:
+        def cosine(y):
+            return sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+        near = sorted((-s, j) for j, e, y in values[:300] if e != d and (s := min(1.0, cosine(y))) > 0.2)[:4]
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(near)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
