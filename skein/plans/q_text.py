@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.sets import levenshtein_similarity, set_similarity, trigrams
 from ..operators import chunking as C
 from ..operators import layout as L
 from ..operators import matching as M
@@ -14,6 +13,7 @@ from ..operators import text as T
 from ..operators.articles import extract_articles
 from ..operators.seek import seek
 from ..operators.semantic_chunks import semantic_chunks
+from ..operators.similarity import line_distances, trigram_counts
 from ..operators.structure import similar_structures
 from ..operators.text_index import TextIndex
 from ..sources.storage import scratch
@@ -65,8 +65,9 @@ def _grams(c):
   SELECT doc_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM g""")
 def str1(t):
     """Each whole text against itself from its 20th character on."""
-    d = t.documents.select("doc_id", trigrams(F.col("text")).alias("a"), trigrams(F.expr("substring(text, 20)")).alias("b"))  # each made once
-    return d.select("doc_id", F.round(set_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    d = trigram_counts(t.documents.select("doc_id", F.col("text").alias("a"), F.expr("substring(text, 20)").alias("b")), "a", "b", ["doc_id"])
+    shared = F.coalesce(F.try_divide("both", F.col("n_a") + F.col("n_b") - F.col("both")), F.when(F.col("both").isNotNull(), 1.0))
+    return d.select("doc_id", F.round(shared, 6).alias("similarity"))
 
 
 _LINES = r"list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^ -~]', '?', 'g'))"
@@ -80,7 +81,8 @@ def str2(t):
     d = t.documents.select("doc_id", lines.alias("l")).where(F.size("l") > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.struct(k.alias("line"), F.get("l", k - 1).alias("a"), F.get("l", k).alias("b")))
     p = d.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
-    return p.select("doc_id", "line", F.levenshtein("a", "b").alias("distance"), F.round(levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    p = line_distances(p, "a", "b", ["doc_id", "line"])
+    return p.select("doc_id", "line", "distance", F.round(F.when(F.col("n") == 0, 1.0).otherwise(1 - F.col("distance") / F.col("n")), 6).alias("similarity"))
 
 
 @query("str3_locate_benchmark", "SELECT b.item_id AS needle_id, d.doc_id AS document_id, (instr(d.text, b.text) - 1)::INT AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -252,3 +252,30 @@ def test_contradictions_equal_brute_force(spark, monkeypatch, tile):
                 found.append((-round(s, 9), b[0]))
         want |= {(a[0], b) for _, b in sorted(found)[:20]}
     assert {(e["source"], e["target"]) for e in contradiction(d).collect()} == want and len(want) > 200
+
+
+def test_trigram_counts(spark):
+    """Counted in batches as by the column expressions; null and short texts too."""
+    from skein.functions.sets import set_similarity, trigrams
+    from skein.operators.similarity import trigram_counts
+
+    texts = [("Ab\nab AB", "ab"), ("ÄÖÜ äöü", "äöü"), ("x😀y😀x😀", "😀y😀"), ("", ""), ("ab", "abc"), (None, "abc"), ("abc", None), ("ΑΣ ΟΔΟΣ", "ΟΔΟΣ")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "id long, a string, b string")
+    out = trigram_counts(df, "a", "b", ["id"])
+    assert "MapInPandas" in out._jdf.queryExecution().analyzed().toString()
+    shared = F.coalesce(F.try_divide("both", F.col("n_a") + F.col("n_b") - F.col("both")), F.when(F.col("both").isNotNull(), 1.0))
+    got = {r["id"]: r["s"] for r in out.select("id", shared.alias("s")).collect()}
+    want = {r["id"]: r["s"] for r in df.select("id", set_similarity(trigrams(F.col("a")), trigrams(F.col("b"))).alias("s")).collect()}
+    assert got == want
+
+
+def test_edit_distances_of_many_pairs(spark):
+    """Many pairs at a time in bit vectors, at the edges of 64 bits, empty, equal and beyond ASCII: as one by one, and as Spark's own."""
+    from skein.operators.similarity import line_distances
+
+    rng = random.Random(4)
+    made = lambda signs: "".join(rng.choice(signs) for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 128, 130))))
+    pairs = [(i, made("abc "), made("abc ")) for i in range(900)] + [(900 + i, made("aäé"), made("aäé")) for i in range(20)] + [(999, "same", "same")]
+    df = spark.createDataFrame(pairs, "id long, a string, b string").coalesce(1)
+    got = {r["id"]: (r["distance"], r["n"]) for r in line_distances(df, "a", "b", ["id"]).collect()}
+    assert got == {r["id"]: (r["d"], r["n"]) for r in df.select("id", F.levenshtein("a", "b").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n")).collect()}
