@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -120,6 +121,15 @@ def fuzzy_locate(chunk: str, source: str, index: int = 0, total: int = 1, thresh
     return Hit(start, min(n, start + len(chunk)), 0.3, "approximate")
 
 
+def shared_at_most(grams: set[str], text: str, n: int) -> list[int] | None:
+    """For each start of a window of n signs, a bound on the trigrams that it shares; None where small letters of a part are not a part of the small letters."""
+    low = text.lower()
+    if not grams or n < 3 or len(text) < n or len(low) != len(text) or "Σ" in text or "İ" in text:
+        return None
+    so_far = list(accumulate((low[i:i + 3] in grams for i in range(len(low) - 2)), initial=0))
+    return [b - a for a, b in zip(so_far, so_far[n - 2:], strict=False)]
+
+
 def match_annotation(needle: str, text: str, before: str = "", after: str = "", near: str | None = None, near_at: int = 0) -> Hit | None:
     """Four tiers: exact; between its context (x 0.95); in the chunks around (near, which begins at near_at); by trigrams over all (x 0.9)."""
     k = text.find(needle)
@@ -144,7 +154,10 @@ def match_annotation(needle: str, text: str, before: str = "", after: str = "",
         if best >= 0.75:
             return Hit(near_at + at, near_at + min(len(near), at + len(needle)), best, "chunk_bounded")
     grams, best, at = trigram_set(needle), 0.0, -1
+    most = shared_at_most(grams, text, len(needle))
     for k in windows(needle, text):
+        if most is not None and (most[k] <= best * len(grams) * (1 - 1e-9) or most[k] < 0.65 * len(grams) * (1 - 1e-9)):
+            continue
         v = set_similarity(grams, trigram_set(text[k:k + len(needle)]))
         if v > best:
             best, at = v, k

@@ -279,3 +279,25 @@ def test_edit_distances_of_many_pairs(spark):
     df = spark.createDataFrame(pairs, "id long, a string, b string").coalesce(1)
     got = {r["id"]: (r["distance"], r["n"]) for r in line_distances(df, "a", "b", ["id"]).collect()}
     assert got == {r["id"]: (r["d"], r["n"]) for r in df.select("id", F.levenshtein("a", "b").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n")).collect()}
+
+
+def test_windows_that_cannot_match_are_passed_over(monkeypatch):
+    """The trigram tier takes only windows apart that may share enough, and finds what a look at all windows finds."""
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(600))
+    for seed in range(30):
+        at = rng.randrange(len(text) - 60)
+        needle = list(text[at:at + 60])
+        for _ in range(seed % 8):
+            needle[rng.randrange(60)] = "X"
+        needle = "".join(needle) + "!"
+        taken = []
+        real = matching.trigram_set
+        monkeypatch.setattr(matching, "trigram_set", lambda t, taken=taken: taken.append(t) or real(t))
+        got = matching.match_annotation(needle, text)
+        monkeypatch.setattr(matching, "trigram_set", real)
+        every = [(matching.set_similarity(real(needle), real(text[k:k + 61])), -k) for k in matching.windows(needle, text)]
+        v, k = max(every)
+        want = matching.Hit(-k, -k + 61, v * 0.9, "trigram") if v >= 0.65 and v * 0.9 >= 0.6 else None
+        assert got == want
+        assert len(taken) < len(every) / 4
