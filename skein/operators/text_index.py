@@ -99,16 +99,19 @@ class TextIndex:
 
         @F.pandas_udf("string")
         def term_of(s: pd.Series) -> pd.Series:
-            return s.map(lambda w: None if w in STOP else stem(w))
+            return s.map(stem)
 
-        vocabulary = tokens.select("_word").distinct().select("_word", term_of("_word").alias("term")).where("term is not null")
-        vocabulary.write.parquet(f"{folder}/words")
+        # Stop words go before the distinct, by an expression: a condition on the term would be pushed below it, with the stemmer, which then sees every token.
+        counted = tokens.where(~F.col("_word").isin(sorted(STOP)))
+        counted.select("_word").distinct().select("_word", term_of("_word").alias("term")).write.parquet(f"{folder}/words")
         vocabulary = spark.read.parquet(f"{folder}/words")
         vocabulary = F.broadcast(vocabulary) if vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else vocabulary
-        postings = tokens.join(vocabulary, "_word").groupBy("term", *keys).agg(F.sort_array(F.collect_set("_pos")).alias("positions"))  # a row's own words
         head = F.substring("term", 1, 1)
-        postings = postings.withColumn("head", F.when(head.rlike("[a-z0-9]"), head).otherwise("_"))
-        postings.repartitionByRange("head", "term", *keys).sortWithinPartitions("head", "term", *keys).write.partitionBy("head").parquet(f"{folder}/postings")
+        placed = counted.join(vocabulary, "_word").select(F.when(head.rlike("[a-z0-9]"), head).otherwise("_").alias("head"), "term", *keys, "_pos")
+        by = ["head", "term", *keys]
+        # Dealt out once, before they are grouped: ranges are found by a pass over the tokens, which costs less than one over grouped postings.
+        postings = placed.repartitionByRange(*by).groupBy(*by).agg(F.sort_array(F.collect_set("_pos")).alias("positions"))  # a row's own words
+        postings.select("term", *keys, "positions", "head").sortWithinPartitions(*by).write.partitionBy("head").parquet(f"{folder}/postings")
         own.groupBy(*keys).agg(F.max(F.size("_words")).alias("n_words")).write.parquet(f"{folder}/rows")
         return TextIndex(spark, folder)
 

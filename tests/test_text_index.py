@@ -96,3 +96,19 @@ def test_shapes_equal_a_loop(spark):
     assert sum(len(g) > 0 for g in got.values()) >= 7
     for i, q in enumerate(q_text.SHAPES):
         assert got.get(i, {}) == loop(rows, q), q
+
+
+def test_each_distinct_word_is_stemmed_once(spark, tmp_path, monkeypatch):
+    """However often it stands in the texts; stop words are not stemmed at all."""
+    said = str(tmp_path / "said")
+
+    def told(word):
+        with open(said, "a") as f:
+            f.write(f"{word}\n")
+        return stem(word)
+
+    monkeypatch.setattr("skein.operators.text_index.stem", told)
+    df = spark.createDataFrame([(i, "The cats are running, the cats ran") for i in range(200)], "id long, body string").repartition(4)
+    index = TextIndex.build(df, ["id"], "body", f"{tmp_path}/ix")
+    assert sorted(open(said).read().split()) == ["cats", "ran", "running"]
+    assert index.search("cats ran").count() == 200 and index.search("the").count() == 0
