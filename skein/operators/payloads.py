@@ -1,10 +1,10 @@
 """Payloads of components: JSON of any shape as variants, typed extraction, and containment of array elements by a table of elements.
 
 A payload is text. What parses becomes a variant; what does not is kept as it is, apart. A path is extracted with a type; a payload without it, or with
-something else there, has null. `build` writes one row for each element of the arrays at a path, in the order of elements, so that a search for elements
-reads the row groups that hold them and no payload at all:
+something else there, has null. `build` reads and parses the payloads once and writes one row for each element of the arrays at a path, in the order of
+elements, so that a search for elements reads the row groups that hold them and no payload at all:
 
-    rows/       id, payload, variant          elements/   element, id, at (distinct elements of a row)          malformed/   id, payload
+    payloads/   id, payload, malformed (null: no payload), array (at the path)          elements/   element, id, at (distinct elements of a row)
 
 `contains` answers `payload -> path @> [a, b, ...]` for many searches at once: elements are joined, and a row that has as many of them as a search has distinct
 values holds all. Searches without values find nothing; null elements are never found; rows that repeat an id are one.
@@ -57,18 +57,20 @@ class PayloadTable:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.folder = folder
-        self.rows, self.elements, self.malformed = (spark.read.parquet(f"{folder}/{n}") for n in ("rows", "elements", "malformed"))
+        every, self.elements = (spark.read.parquet(f"{folder}/{n}") for n in ("payloads", "elements"))
+        self.rows, self.malformed = (every.where(x).select("id", "payload") for x in ("not malformed", "malformed"))
 
     @staticmethod
     def build(payloads: DataFrame, path: str, kind: str, folder: str) -> PayloadTable:
         """payloads (id, payload); kind: the type of the elements of the arrays at path."""
         spark = payloads.sparkSession
-        read = payloads.where("payload is not null").select("id", "payload", variant(F.col("payload")).alias("v"))
-        read.where("v is not null").select("id", "payload").write.parquet(f"{folder}/rows")
-        read.where("v is null").select("id", "payload").write.parquet(f"{folder}/malformed")
-        own = read.select("id", extract(F.col("v"), path, f"array<{kind}>").alias("e")).where("e is not null")
-        each = own.select("id", F.posexplode("e").alias("at", "element")).where("element is not null").groupBy("element", "id").agg(F.min("at").alias("at"))
-        each.select("element", "id", "at").repartitionByRange("element", "id").sortWithinPartitions("element", "id").write.parquet(f"{folder}/elements")
+        v = variant(F.col("payload"))
+        malformed = F.when(F.col("payload").isNotNull(), v.isNull())  # a condition on the payload would work it out twice; null payloads are neither
+        payloads.select("id", "payload", malformed.alias("malformed"), extract(v, path, f"array<{kind}>").alias("array")).write.parquet(f"{folder}/payloads")
+        each = spark.read.parquet(f"{folder}/payloads").select("id", F.posexplode("array").alias("at", "element")).where("element is not null")
+        # Dealt out once, before they are grouped: the groups of a row's equal elements lie within a range.
+        each = each.repartitionByRange("element", "id").groupBy("element", "id").agg(F.min("at").alias("at"))
+        each.select("element", "id", "at").sortWithinPartitions("element", "id").write.parquet(f"{folder}/elements")
         return PayloadTable(spark, folder)
 
     def holding(self, *values) -> DataFrame:

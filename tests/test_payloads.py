@@ -42,3 +42,21 @@ def test_objects(spark):
     assert found({"chunk_ids": None}) == [8] and found({"chunk_ids": [2, 3]}) == [1, 2] and found({}) == sorted(i for i, p in PAYLOADS if p and p != "{")
     got = d.where("id = 1").select(extract(F.col("v"), "$.position.page", "int").alias("p"), extract(F.col("v"), "$.tags", "array<string>").alias("t"), extract(F.col("v"), "$.tags", "int").alias("n")).first()
     assert tuple(got) == (4, ["a", "b"], None)
+
+
+def test_payloads_are_read_once(spark, tmp_path):
+    """However many tables are written of them."""
+    said = str(tmp_path / "said")
+
+    def told(frames):
+        for f in frames:
+            with open(said, "a") as out:
+                out.writelines(f"{i}\n" for i in f["id"])
+            yield f
+
+    rows = spark.createDataFrame(PAYLOADS, "id long, payload string").repartition(3).mapInPandas(told, "id long, payload string")
+    t = PayloadTable.build(rows, "$.chunk_ids", "long", f"{tmp_path}/t")
+    assert sorted(map(int, open(said).read().split())) == sorted(i for i, _ in PAYLOADS)
+    assert sorted(map(tuple, t.elements.collect())) == [(1, 1, 0), (2, 1, 1), (2, 2, 0), (2, 9, 0), (3, 1, 2), (3, 2, 1), (3, 9, 0)]
+    nothing = PayloadTable.build(rows.where("id < 0"), "$.chunk_ids", "long", f"{tmp_path}/n")
+    assert nothing.holding(2).count() == nothing.rows.count() == nothing.malformed.count() == 0
