@@ -46,6 +46,7 @@ class Session:
     failed: int = 0
     calls: int = 0
     files: int = 0
+    waiting: int = 0  # rows in `rows`: counted as they come, as the batches held may be of one row each
     rows: list = field(default_factory=list)
     lines: list = field(default_factory=list)
 
@@ -78,11 +79,12 @@ class FolderStore:
             self.check(batch)
         session.rows.append(batch)
         session.inserted += batch.num_rows
-        if sum(b.num_rows for b in session.rows) >= self.held:
+        session.waiting += batch.num_rows
+        if session.waiting >= self.held:
             self._stage(session)
 
     def refuse(self, session: Session, row: pa.RecordBatch, why: str) -> None:
-        session.lines.append(json.dumps({"row": {k: None if v is None else str(v) for k, v in row.to_pylist()[0].items()}, "error": why}))
+        session.lines.append((row, why))
         session.failed += 1
         if len(session.lines) >= self.held:
             self._stage(session)
@@ -100,9 +102,12 @@ class FolderStore:
                     if kind == "rows":
                         pq.write_table(pa.Table.from_batches(held), out)
                     else:
-                        out.write("".join(f"{x}\n" for x in held).encode())
+                        refused = pa.Table.from_batches([row for row, _ in held]).combine_chunks().to_pylist()  # all at once: row by row takes many times as long
+                        for values, (_, why) in zip(refused, held, strict=True):
+                            out.write((json.dumps({"row": {k: None if v is None else str(v) for k, v in values.items()}, "error": why}) + "\n").encode())
                 session.files += 1
                 held.clear()
+        session.waiting = 0
 
     def publish(self, sessions: list[Session]) -> None:
         """Make the sessions' rows visible, at once."""

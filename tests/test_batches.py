@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,32 @@ print("ROWS", sorted(r["id"] for r in B.read_committed(spark, store, df.schema).
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ, timeout=240)
     assert "ROWS True True" in said.stdout, said.stderr[-2000:]  # files of the lost attempt are there and do not count
     assert (tmp_path / "mark").exists()
+
+
+def test_held_batches_are_counted_once(tmp_path):
+    """What a batch costs does not grow with the batches that are held."""
+    asked = []
+
+    class Counted:
+        @property
+        def num_rows(self):
+            asked.append(1)
+            return 1
+
+    store = B.FolderStore(f"file://{tmp_path}/store")
+    session = store.open()
+    for _ in range(1000):
+        store.insert(session, Counted())
+    assert len(asked) <= 3000 and session.inserted == 1000
+
+
+def test_files_hold_as_many_rows_as_asked(tmp_path):
+    store = B.FolderStore(f"file://{tmp_path}/store", refuse_sevens, held=10)
+    session = store.open()
+    for i in range(0, 100, 5):
+        B.insert_isolating(store, session, rows_of(*range(i, i + 5)))
+    store.close(session)
+    store.publish([session])
+    assert session.inserted == 85 and session.failed == 15 and session.waiting == 0
+    files = [pq.read_table(store._at()[0].open_input_file(f))["id"].to_pylist() for f in store.committed_files("rows")]
+    assert sorted(i for f in files for i in f) == [i for i in range(100) if i % 7] and all(len(f) < 15 for f in files)
